@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.common import current_rows, load, squash
 from tallyloom.llm.formatting import hidden_duplicates, payload_fields
+from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.names import resolve_names
 from tallyloom.llm.together import associations, associations_given, lift_at_least
 from tallyloom.llm.topn import top_items
@@ -135,6 +136,27 @@ JOIN {_COUNTS} a ON a.population_id = p.population_id AND a.card_id = card_id_a
 JOIN cooccurrence_populations q ON q.population_id = p.population_id
 WHERE relation = 'm' AND cooccurrence_count >= 5 AND cooccurrence_count::BIGINT * deck_count >= 3 * a.main_deck_count::BIGINT * b.main_deck_count"""
 
+# 9: evaluation texts in the corpus
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a passage of an item within two word edits."""
+    return leaked_items(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("edits = 0 AND passage_words = 12").select("doc_id", "item_id")
+
+
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+def _runs_sql(row_id: str, table: str) -> str:
+    return f"SELECT {row_id}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM (SELECT {row_id}, {_WORDS} AS w FROM {table})"
+
+
+P9_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_runs_sql('doc_id', 'documents')}) d JOIN ({_runs_sql('item_id', 'eval_items')}) e ON d.run = e.run"
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_copies": p2_copies,
@@ -143,11 +165,14 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_deck_pairs": p7_deck_pairs,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
 }
 ORACLE = {
     "p2_found": P2_SQL,
     "p2_copies": f"SELECT table_name, keep_id, count(*) + 1 AS n_copies FROM ({P2_SQL}) GROUP BY ALL",
     "p5_found": P5_SQL,
     "p7_found": P7_SQL,
+    "p9_found": P9_SQL,
     "p7_deck_pairs": f"{_DECK_PAIRS} SELECT *, round(n::DOUBLE * total / (m_a::DOUBLE * m_b), 6) AS lift FROM scored WHERE n >= 2",
 }
