@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.common import current_rows, load, squash
 from tallyloom.llm.formatting import hidden_duplicates, payload_fields
+from tallyloom.llm.containers import fill_containers, fill_report, token_count
+from tallyloom.llm.languages import document_languages, fit_languages, language_segments, stated_language
 from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.names import resolve_names
 from tallyloom.llm.together import associations, associations_given, lift_at_least
@@ -24,10 +26,10 @@ def _sq(column: str) -> str:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists, cards, raw = (load(spark, sf_dir, t) for t in ("deck_list", "deck_cards", "raw_deck_lines"))
-    deck = hidden_duplicates(lists, "id", {"source": squash("source"), "deck_name": squash("deck_name"), "tournament_date": F.col("tournament_date"), "placement": F.col("placement")})
-    line = hidden_duplicates(cards, "id", {"deck_id": F.col("deck_id"), "card_name": squash("card_name"), "board": squash("board"), "count": F.col("count")})
+    deck = hidden_duplicates(spark, lists, "id", {"source": squash("source"), "deck_name": squash("deck_name"), "tournament_date": F.col("tournament_date"), "placement": F.col("placement")})
+    line = hidden_duplicates(spark, cards, "id", {"deck_id": F.col("deck_id"), "card_name": squash("card_name"), "board": squash("board"), "count": F.col("count")})
     fields = {k: squash(v) for k, v in payload_fields(F.col("payload"), ("card_name", "count", "board", "source")).items()}
-    received = hidden_duplicates(raw, "line_id", {"deck_id": F.col("deck_id"), **fields})
+    received = hidden_duplicates(spark, raw, "line_id", {"deck_id": F.col("deck_id"), **fields})
     named = [d.select(F.lit(n).alias("table_name"), "keep_id", "copy_id") for n, d in (("deck_list", deck), ("deck_cards", line), ("raw_deck_lines", received))]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
@@ -136,6 +138,29 @@ JOIN {_COUNTS} a ON a.population_id = p.population_id AND a.card_id = card_id_a
 JOIN cooccurrence_populations q ON q.population_id = p.population_id
 WHERE relation = 'm' AND cooccurrence_count >= 5 AND cooccurrence_count::BIGINT * deck_count >= 3 * a.main_deck_count::BIGINT * b.main_deck_count"""
 
+# 8: filling containers
+
+CAPACITY = 2048
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every text or piece of one."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("n_tokens"), token_count(F.col("text"))).alias("n"))
+    return fill_containers(spark, docs, "doc_id", "n", CAPACITY)
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_report(p8_containers(spark, sf_dir), CAPACITY)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing had to split."""
+    return p8_containers(spark, sf_dir).where("n_pieces > 1").select("doc_id").distinct()
+
+
+_TOKENS = r"coalesce(n_tokens, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[A-Za-z0-9\x{c0}-\x{24f}]+|[^\s\x{3000}\x{a0}\x{2000}-\x{200a}\x{202f}]')))"
+P8_SQL = f"SELECT doc_id FROM documents WHERE {_TOKENS} > 2048"
+
 # 9: evaluation texts in the corpus
 
 
@@ -157,6 +182,25 @@ def _runs_sql(row_id: str, table: str) -> str:
 
 P9_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_runs_sql('doc_id', 'documents')}) d JOIN ({_runs_sql('item_id', 'eval_items')}) e ON d.run = e.run"
 
+# 10: language labels
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of every document with their language and confidence."""
+    documents, checked = load(spark, sf_dir, "documents"), load(spark, sf_dir, "doc_labels")
+    return language_segments(documents, fit_languages(documents, checked))
+
+
+def p10_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(p10_segments(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stated = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), stated_language(F.col("lang")).alias("stated"))
+    found = p10_segments(spark, sf_dir).where(F.col("lang").isNotNull()).select("doc_id", "lang").distinct()
+    return found.join(stated, F.col("doc_id") == F.col("id")).where(~F.col("stated").eqNullSafe(F.col("lang"))).select("doc_id", "lang")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_copies": p2_copies,
@@ -165,14 +209,21 @@ QUERIES = {
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_deck_pairs": p7_deck_pairs,
+    "p8_found": p8_found,
+    "p8_containers": p8_containers,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
+    "p10_documents": p10_documents,
 }
 ORACLE = {
     "p2_found": P2_SQL,
     "p2_copies": f"SELECT table_name, keep_id, count(*) + 1 AS n_copies FROM ({P2_SQL}) GROUP BY ALL",
     "p5_found": P5_SQL,
     "p7_found": P7_SQL,
+    "p8_found": P8_SQL,
     "p9_found": P9_SQL,
     "p7_deck_pairs": f"{_DECK_PAIRS} SELECT *, round(n::DOUBLE * total / (m_a::DOUBLE * m_b), 6) AS lift FROM scored WHERE n >= 2",
 }
