@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.common import all_of, same
+from tallyloom.session import checkpoint_dir
 
 _LOW = 0xFFFFFFFF
 #: Groups with more copies than this share of all rows are spread; there are at most ``1 / HEAVY_SHARE`` of them.
 HEAVY_SHARE = 0.001
-SALTS = 64
 
 
 def fingerprint(fields: Mapping[str, Column]) -> list[Column]:
@@ -33,7 +33,7 @@ def fingerprint(fields: Mapping[str, Column]) -> list[Column]:
     return [F.shiftleft(lanes[i], 32).bitwiseOR(lanes[i + 1]) for i in (0, 2)]
 
 
-def hidden_duplicates(df: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
+def hidden_duplicates(spark: SparkSession, df: DataFrame, row_id: str, fields: Mapping[str, Column]) -> DataFrame:
     """Collapses rows whose normalised fields are equal: one row per copy with the record that is kept.
 
     ``fields``: the normalised values by name. Rows are grouped by the 128-bit
@@ -44,41 +44,41 @@ def hidden_duplicates(df: DataFrame, row_id: str, fields: Mapping[str, Column])
     fingerprint are grouped again by the fields themselves, so a collision costs
     time but never a wrong pair. Groups with more than ``HEAVY_SHARE`` of all
     rows, of which there can be few, are joined by broadcast and never gathered
-    in one task.
+    in one task. The groups and their members, only records that have copies,
+    are checkpointed in the shared folder, which keeps the plans short.
 
     Output: ``keep_id``, ``copy_id`` (bigint), ``n_copies`` (rows in the group).
     Ids must be unique; rows with a null id cannot be named and are left out. An
     empty table gives no rows.
     """
+    checkpoint_dir(spark)
     names = [f"__f{i}" for i in range(len(fields))]
     a, b = fingerprint(fields)
+    total = df.agg(F.count(F.lit(1))).first()[0]
     rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("copy_id"), a.alias("__a"), b.alias("__b"), *[c.alias(n) for c, n in zip(fields.values(), names)])
-    pairs, left = _grouped(rows, ["__a", "__b"], names)
-    again, _ = _grouped(left, names, [])
+    pairs, other = _grouped(rows, ["__a", "__b"], names, names, total)
+    if other.isEmpty():
+        return pairs
+    again, _ = _grouped(other, names, names, [], total)
     return pairs.unionByName(again)
 
 
-def _grouped(rows: DataFrame, keys: list[str], check: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def _grouped(rows: DataFrame, keys: list[str], names: list[str], check: list[str], total: int) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of each group by ``keys``, and the rows that differ from the kept one in ``check``."""
-    names = [c for c in rows.columns if c.startswith("__f")]
+    most = total * HEAVY_SHARE
     kept = [k.replace("__", "__k") for k in keys]
     groups = rows.groupBy(*keys).agg(F.min("copy_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    total = rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    hot = groups.where(F.col("n_copies") > total * F.lit(HEAVY_SHARE))
-    cold = groups.where(F.col("n_copies") <= total * F.lit(HEAVY_SHARE))
-
-    def members(part: DataFrame) -> DataFrame:
-        part = part.select(*[F.col(k).alias(n) for k, n in zip(keys, kept)], "keep_id", "n_copies")
-        return rows.join(part, all_of([same(F.col(k), F.col(n)) for k, n in zip(keys, kept)])).drop(*kept)
-
-    found = members(F.broadcast(hot)).unionByName(members(cold))
-    copies = found.where(F.col("copy_id") != F.col("keep_id"))
+    groups = groups.select(*[F.col(k).alias(n) for k, n in zip(keys, kept)], "keep_id", "n_copies").checkpoint()
+    on = all_of([same(F.col(k), F.col(n)) for k, n in zip(keys, kept)])
+    hot, cold = groups.where(F.col("n_copies") > most), groups.where(F.col("n_copies") <= most)
+    members = rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on)).select("keep_id", "copy_id", "n_copies", *names).checkpoint()
+    copies = members.where(F.col("copy_id") != F.col("keep_id"))
     if not check:
         return copies.select("keep_id", "copy_id", "n_copies"), None
-    first = rows.select(F.col("copy_id").alias("keep_id"), *[F.col(n).alias(f"__o{n}") for n in names])
-    hot_first = F.broadcast(first.join(F.broadcast(hot.select("keep_id")), "keep_id"))
-    n = F.col("n_copies") > total * F.lit(HEAVY_SHARE)
-    verified = copies.where(n).join(hot_first, "keep_id").unionByName(copies.where(~n).join(first, "keep_id"))
+    first = members.where(F.col("copy_id") == F.col("keep_id")).select("keep_id", "n_copies", *[F.col(n).alias(f"__o{n}") for n in names])
+    hot_pairs = copies.where(F.col("n_copies") > most).join(F.broadcast(first.where(F.col("n_copies") > most).drop("n_copies")), "keep_id")
+    cold_pairs = copies.where(F.col("n_copies") <= most).join(first.where(F.col("n_copies") <= most).drop("n_copies"), "keep_id")
+    verified = hot_pairs.unionByName(cold_pairs)
     equal = all_of([same(F.col(c), F.col(f"__o{c}")) for c in names])
     return verified.where(equal).select("keep_id", "copy_id", "n_copies"), verified.where(~equal).select("copy_id", *names)
 
