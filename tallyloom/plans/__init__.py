@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define QUERIES and ORACLE.
-AREAS = ["training", "baskets"]
+AREAS = ["training", "baskets", "maintenance"]
 
 
 def registered() -> tuple[dict, dict]:
