@@ -159,10 +159,10 @@ def _pack_level(items: DataFrame, capacity: int, level: int, count: int, islands
 
         return run
 
+    # The work lies in the computing, not in the bytes: a fixed number of tasks keeps adaptive execution from joining them into one.
+    tasks = max(1, min(blocks * islands, max(3 * items.sparkSession.sparkContext.defaultParallelism, blocks * islands // 16)))
     for turn in range(rounds):
-        # Blocks and islands are spread over tasks one by one; each task holds one block at a time.
-        spread = state.repartition("block", "island") if turn == 0 else state
-        state = spread.mapInPandas(step(turn), "block bigint, island int, items array<bigint>, sizes array<int>, solutions array<array<int>>")
+        state = state.repartition(tasks, "block", "island").mapInPandas(step(turn), "block bigint, island int, items array<bigint>, sizes array<int>, solutions array<array<int>>")
         if turn + 1 < rounds:
             # Elites of every island go to the next one; they are the only thing besides its own state that it gets.
             elites = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("solutions", 1, ELITES).alias("guests"))
