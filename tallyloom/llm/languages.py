@@ -185,10 +185,13 @@ def train(texts: Sequence[str], labels: Sequence[str], trusted: Sequence[bool],
     """
     languages = tuple(languages)
     number = {x: i for i, x in enumerate(languages)}
-    b, o = subwords(texts) if len(texts) else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-    starts = np.searchsorted(o, np.arange(len(texts) + 1))
-    keep = [i for i in range(len(texts)) if labels[i] in number and starts[i + 1] > starts[i]]
-    features = [b[starts[i] : starts[i + 1]] for i in keep]
+    parts: list[np.ndarray] = []
+    for at in range(0, len(texts), 200):
+        b, o = subwords(texts[at : at + 200])
+        starts = np.searchsorted(o, np.arange(len(texts[at : at + 200]) + 1))
+        parts += [b[i:j].astype(np.int32) for i, j in zip(starts[:-1], starts[1:])]
+    keep = [i for i in range(len(texts)) if labels[i] in number and len(parts[i])]
+    features = [parts[i] for i in keep]
     y = np.array([number[labels[i]] for i in keep], np.int64)
     sure = np.array([bool(trusted[i]) for i in keep], bool)
     if not len(y):
