@@ -30,12 +30,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     tests) a temporary folder is made, which is only right for one machine.
     """
     sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    known = sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
+    if not known and not current.isEmpty():
+        return current.get()
     if not known:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set on this cluster")
         known = tempfile.mkdtemp(prefix="tallyloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if current.isEmpty():
         sc.setCheckpointDir(known)
     return known

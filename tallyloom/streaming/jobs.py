@@ -56,11 +56,11 @@ def admit(times: list[float], seen: list[float], most: int, seconds: float) -> t
     return verdict, kept, wait
 
 
-def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60, late: str = "1 minute") -> DataFrame:
     """Verdict on each call; refused calls do not count, so it is stateful and in order of time within each batch.
 
-    The state of a key is at most ``most`` times and is dropped when it has been
-    idle for the window.
+    The state of a key is at most ``most`` times and is dropped when the
+    watermark has passed its window.
     """
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,11 +72,11 @@ def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds:
         times = [t.timestamp() for t in pdf["ts"]]
         verdict, kept, wait = admit(times, seen, most, seconds)
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int(max(times) * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [str(k[0])] * len(pdf), "ts": pdf["ts"], "admitted": verdict, "wait_seconds": wait})
 
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("ts"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean, wait_seconds double", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean, wait_seconds double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_batch(df: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60) -> DataFrame:
