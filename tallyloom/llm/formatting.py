@@ -47,7 +47,7 @@ def hidden_duplicates(spark: SparkSession, df: DataFrame, row_id: str, fields: M
     in one task. The groups and their members, only records that have copies,
     are checkpointed in the shared folder, which keeps the plans short.
 
-    Output: ``keep_id``, ``copy_id`` (bigint), ``n_copies`` (rows in the group).
+    Output: ``keep_id``, ``copy_id`` (bigint); a record has one copy more than rows here.
     Ids must be unique; rows with a null id cannot be named and are left out. An
     empty table gives no rows.
     """
@@ -74,13 +74,13 @@ def _grouped(rows: DataFrame, keys: list[str], names: list[str], check: list[str
     members = rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on)).select("keep_id", "copy_id", "n_copies", *names).checkpoint()
     copies = members.where(F.col("copy_id") != F.col("keep_id"))
     if not check:
-        return copies.select("keep_id", "copy_id", "n_copies"), None
+        return copies.select("keep_id", "copy_id"), None
     first = members.where(F.col("copy_id") == F.col("keep_id")).select("keep_id", "n_copies", *[F.col(n).alias(f"__o{n}") for n in names])
     hot_pairs = copies.where(F.col("n_copies") > most).join(F.broadcast(first.where(F.col("n_copies") > most).drop("n_copies")), "keep_id")
     cold_pairs = copies.where(F.col("n_copies") <= most).join(first.where(F.col("n_copies") <= most).drop("n_copies"), "keep_id")
     verified = hot_pairs.unionByName(cold_pairs)
     equal = all_of([same(F.col(c), F.col(f"__o{c}")) for c in names])
-    return verified.where(equal).select("keep_id", "copy_id", "n_copies"), verified.where(~equal).select("copy_id", *names)
+    return verified.where(equal).select("keep_id", "copy_id"), verified.where(~equal).select("copy_id", *names)
 
 
 def payload_fields(payload: Column, wanted: tuple[str, ...]) -> dict[str, Column]:
