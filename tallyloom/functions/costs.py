@@ -61,3 +61,16 @@ def either_needed(cost: Column) -> Column:
 def bucket(value: Column, top: int = 7) -> Column:
     """Curve bucket: whole values below ``top``, the rest together."""
     return F.least(value.cast("int"), F.lit(top))
+
+
+def pip_masks(cost: Column) -> Column:
+    """A bit mask per symbol that asks for colours, in order: W 1, U 2, B 4, R 8, G 16, C 32; either of two has both bits."""
+    asks = F.filter(symbols(cost), lambda x: x.rlike(r"^[WUBRGC](/[WUBRGC])?$"))
+    bit = lambda x, c, i: F.when(x.contains(c), 1 << i).otherwise(0)
+    return F.transform(asks, lambda x: sum((bit(x, c, i) for i, c in enumerate(COLOURS)), F.lit(0)))
+
+
+def generic(cost: Column) -> Column:
+    """The part of a cost that anything pays: whole numbers, and 2 for each symbol that asks for a colour or two."""
+    rest = F.filter(symbols(cost), lambda x: x.rlike(r"^\d+$|^2/"))
+    return F.aggregate(rest, F.lit(0), lambda a, x: a + F.when(x.startswith("2/"), F.lit(2)).otherwise(x.try_cast("int")))

@@ -30,6 +30,8 @@ def query(name: str, sql: str | None = None):
 
 
 N_ITEMS = 12
+#: A dictionary goes to every worker; longer ones are refused.
+MOST_NAMES = 200_000
 _ITEM = "(l_partkey % 12)::INT"
 
 
@@ -137,6 +139,12 @@ def _(s, d):
     return _costs(s, d).select("p_partkey", "cost", C.cost_value(c).alias("value"), C.payable(c, have).alias("pay"), F.array_join(C.colours_needed(c), "").alias("needed"))
 
 
+@query("d34_pips", ("SELECT p_partkey, array_to_string(list_filter(list_transform([{0}, {1}, {2}], lambda x: CASE x WHEN '{{W}}' THEN 1 WHEN '{{U/R}}' THEN 10 WHEN '{{C}}' THEN 32 END), lambda x: x IS NOT NULL), ',') AS masks, (list_sum(list_transform([{0}, {1}, {2}], lambda x: CASE WHEN x IN ('{{2}}', '{{2/G}}') THEN 2 ELSE 0 END)))::INT AS generic FROM part").format(_SYM.format(1), _SYM.format(5), _SYM.format(7)).replace("{{", "{").replace("}}", "}"))
+def _(s, d):
+    c = F.col("cost")
+    return _costs(s, d).select("p_partkey", F.array_join(F.transform(C.pip_masks(c), lambda x: x.cast("string")), ",").alias("masks"), C.generic(c).alias("generic"))
+
+
 @query("d35_d36_pool", "SELECT CASE WHEN coalesce(type_line LIKE '%Land%', false) THEN 'lands' WHEN cmc IS NULL THEN 'not castable' ELSE 'curve' END AS bucket, CASE WHEN NOT coalesce(type_line LIKE '%Land%', false) AND cmc IS NOT NULL THEN least(cmc::INT, 7) END AS value, count(*) AS n FROM mtg_cards_v2 GROUP BY ALL")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")
@@ -160,7 +168,9 @@ def _(s, d):
 
 @query("d38_verify")
 def _(s, d):
-    cards = load(s, d, "mtg_cards_v2").limit(20_000)
+    cards = load(s, d, "mtg_cards_v2")
+    if cards.count() > MOST_NAMES:
+        raise ValueError(f"the dictionary has more than {MOST_NAMES} entries")
     names = [(n, r["display"]) for r in cards.select("name_en_front", "card_name", "japanese_name", F.when(F.col("japanese_name").isNotNull(), F.concat(F.lit("《"), "japanese_name", F.lit("/"), "card_name", F.lit("》"))).otherwise(F.col("card_name")).alias("display")).collect() for n in (r["name_en_front"], r["card_name"], r["japanese_name"]) if n]
     return K.verify_mentions(load(s, d, "documents"), "doc_id", "text", names)
 

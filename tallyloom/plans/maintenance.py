@@ -86,9 +86,9 @@ QUERIES = {
     "k01_diff_apply_scoped": lambda s, d: M.diff_apply(_old(s, d), _new(s, d).where("population_id < 50"), KEYS, VALUES, F.col("population_id") < 50),
     "k02_verify": k02_verify,
     "k02_verify_applied": k02_verify_applied,
-    "k03_upsert": lambda s, d: M.upsert(_old(s, d), _new(s, d).where("card_id % 2 = 0"), KEYS),
+    "k03_upsert": lambda s, d: M.upsert(_old(s, d), _new(s, d), KEYS),
     "k04_insert_absent": lambda s, d: M.insert_absent(_old(s, d), _new(s, d), KEYS),
-    "k05_sweep": lambda s, d: M.sweep(_old(s, d), F.col("population_id") % 2 == 0, _new(s, d), KEYS),
+    "k05_sweep": lambda s, d: M.sweep(_old(s, d), F.col("main_deck_count") >= 10, _new(s, d), KEYS),
     "k06_reload": lambda s, d: _new(s, d),
     "k07_sync": k07_sync,
     "k08_ghosts": lambda s, d: M.ghosts(_old(s, d), _new(s, d), KEYS),
@@ -108,9 +108,9 @@ ORACLE = {
     "k01_diff_apply_scoped": f"SELECT * FROM {B} WHERE population_id < 50 UNION ALL SELECT * FROM {A} WHERE population_id >= 50",
     "k02_verify": f"SELECT *, only_in_a = 0 AND only_in_b = 0 AS ok FROM (SELECT (SELECT count(*) FROM (SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B})) AS only_in_a, (SELECT count(*) FROM (SELECT * FROM {B} EXCEPT ALL SELECT * FROM {A})) AS only_in_b)",
     "k02_verify_applied": "SELECT 0 AS only_in_a, 0 AS only_in_b, true AS ok",
-    "k03_upsert": f"SELECT * FROM {B} WHERE card_id % 2 = 0 UNION ALL SELECT * FROM {A} o WHERE NOT EXISTS (SELECT 1 FROM {B} n WHERE n.card_id % 2 = 0 AND n.card_id = o.card_id AND n.population_id = o.population_id)",
+    "k03_upsert": f"SELECT * FROM {B} UNION ALL SELECT * FROM {A} o WHERE NOT EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
     "k04_insert_absent": f"SELECT * FROM {B} n WHERE NOT EXISTS (SELECT 1 FROM {A} o WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
-    "k05_sweep": f"SELECT * FROM {A} o WHERE population_id % 2 <> 0 OR EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
+    "k05_sweep": f"SELECT * FROM {A} o WHERE main_deck_count < 10 OR EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
     "k06_reload": f"SELECT * FROM {B}",
     "k07_sync": "SELECT id, 'type_line' AS changed FROM mtg_cards_v2 WHERE id % 7 = 0 AND type_line IS DISTINCT FROM 'Token'",
     "k08_ghosts": f"SELECT * FROM {A} o WHERE NOT EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",

@@ -105,7 +105,7 @@ def d27_number(s, d):
 
 
 def d27_text(s, d):
-    docs = load(s, d, "documents").where("lang = 'en'")
+    docs = load(s, d, "documents")
     index = S.term_index(docs, "doc_id", "text")
     a = S.ranked_search(index, "the pairings went up late for the control decks", 12).withColumn("q", F.lit("all"))
     b = S.ranked_search(index, "pairings zebra", 12).withColumn("q", F.lit("any"))
