@@ -453,3 +453,70 @@ def _(s, d):
 def _(s, d):
     g = load(s, d, "deck_list").groupBy("format_name", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("format_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("m"))
     return g.select("format_name", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("kept"))
+
+
+@query("s13_lookup", "SELECT id, card_name FROM mtg_cards_v2 WHERE id IN (SELECT card_id FROM card_rulings WHERE source_version = (SELECT max(source_version) FROM card_rulings))")
+def _(s, d):
+    r = load(s, d, "card_rulings")
+    latest = r.agg(F.max("source_version").alias("v")).select("v").scalar()
+    wanted = r.where(F.col("source_version") == latest).select(F.col("card_id").alias("id"))
+    return load(s, d, "mtg_cards_v2").join(wanted, "id", "left_semi").select("id", "card_name")
+
+
+@query("s15_values", "SELECT n_name, x FROM nation JOIN (VALUES (1, 'a'), (2, 'b')) v(k, x) ON k = n_regionkey")
+def _(s, d):
+    v = s.createDataFrame([(1, "a"), (2, "b")], "n_regionkey int, x string")
+    return load(s, d, "nation").join(F.broadcast(v), "n_regionkey").select("n_name", "x")  # two rows
+
+
+@query("f_bits", "SELECT deck_id, bit_or(CASE WHEN list_contains(colors, 'W') THEN 1 ELSE 0 END | CASE WHEN list_contains(colors, 'U') THEN 2 ELSE 0 END) AS mask FROM deck_cards JOIN mtg_cards_v2 c ON c.id = card_id GROUP BY 1")
+def _(s, d):
+    c = load(s, d, "mtg_cards_v2").select(F.col("id").alias("card_id"), (F.when(F.array_contains("colors", "W"), 1).otherwise(0) + F.when(F.array_contains("colors", "U"), 2).otherwise(0)).alias("m"))
+    return load(s, d, "deck_cards").join(c, "card_id").groupBy("deck_id").agg(F.bit_or("m").alias("mask"))
+
+
+@query("f_ratio")
+def _(s, d):
+    from tallyloom.functions.text import sequence_ratio
+
+    r = load(s, d, "limited_card_stats").where("db_card_name IS NOT NULL").select("card_name", "db_card_name").distinct()
+    return r.select("card_name", F.round(sequence_ratio(F.col("card_name"), F.col("db_card_name")), 6).alias("ratio"))
+
+
+@query("f_stems")
+def _(s, d):
+    from tallyloom.functions.text import search_tokens
+
+    return load(s, d, "card_rulings").select("id", F.array_join(search_tokens(F.col("comment")), " ").alias("stems"))
+
+
+@query("sql_dialect", "SELECT format_name, count(*) FILTER (WHERE source ILIKE 'MTGO%') AS n, string_agg(DISTINCT source, '|' ORDER BY source) AS sources, max(tournament_date)::VARCHAR AS last, count(*) // 7 AS q, coalesce(sum(placement), 0)::BIGINT AS p FROM deck_list WHERE regexp_matches(deck_name, '[A-Z]') AND tournament_date >= DATE '2026-07-01' - INTERVAL 900 DAY GROUP BY format_name HAVING count(*) > 1")
+def _(s, d):
+    load(s, d, "deck_list").createOrReplaceTempView("tl_deck_list")
+    return s.sql(
+        """SELECT format_name, count(*) FILTER (WHERE source ILIKE 'MTGO%') AS n, listagg(DISTINCT source, '|') WITHIN GROUP (ORDER BY source) AS sources, max(tournament_date)::string AS last,
+        count(*) div 7 AS q, coalesce(sum(placement), 0) AS p FROM tl_deck_list WHERE deck_name RLIKE '[A-Z]' AND tournament_date >= DATE '2026-07-01' - INTERVAL 900 DAY GROUP BY format_name HAVING count(*) > 1"""
+    )
+
+
+@query("sql_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+def _(s, d):
+    return s.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+
+
+@query("sql_correlated", "SELECT p_partkey, (SELECT max(l_quantity) FROM lineitem WHERE l_partkey = p_partkey) AS most FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part q WHERE q.p_brand = part.p_brand)")
+def _(s, d):
+    load(s, d, "part").createOrReplaceTempView("tl_part")
+    load(s, d, "lineitem").createOrReplaceTempView("tl_lineitem")
+    return s.sql("SELECT p_partkey, (SELECT max(l_quantity) FROM tl_lineitem WHERE l_partkey = p_partkey) AS most FROM tl_part p WHERE p_retailprice > (SELECT avg(p_retailprice) FROM tl_part q WHERE q.p_brand = p.p_brand)")
+
+
+@query("sql_pivot", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def _(s, d):
+    return load(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0).select("o_orderpriority", F.col("F").alias("f"), F.col("O").alias("o"), F.col("P").alias("p"))
+
+
+@query("sql_unpivot", "SELECT n_nationkey, k, v FROM (SELECT n_nationkey, n_regionkey::VARCHAR AS region, n_name AS name FROM nation) UNPIVOT (v FOR k IN (region, name))")
+def _(s, d):
+    n = load(s, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("region"), F.col("n_name").alias("name"))
+    return n.unpivot("n_nationkey", ["region", "name"], "k", "v")
