@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.common import heavy_keys
+from tallyloom.common import salted_join
 
 #: A reference key that holds more than this share of the distinct references is spread.
 HEAVY_SHARE = 0.001
@@ -43,12 +43,7 @@ def orphan_references(refs: DataFrame, intervals: DataFrame, salts: int = 32) ->
     nothing and are left out. A null day fits an existing parent.
     """
     distinct = refs.where(F.col("ref_key").isNotNull()).distinct()
-    hot = F.broadcast(heavy_keys(distinct.select("ref_key"), ["ref_key"], HEAVY_SHARE).withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in distinct.columns]), F.lit(salts)).cast("int")
-    left = distinct.join(hot, "ref_key", "left").withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = intervals.join(hot, "ref_key", "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    merged = left.join(right.hint("merge"), ["ref_key", "__salt"], "left")
+    merged = salted_join(distinct, intervals, ["ref_key"], "left", salts, HEAVY_SHARE, hint="merge")
     day = F.col("day")
     holds = F.exists(
         "spans",
@@ -56,7 +51,7 @@ def orphan_references(refs: DataFrame, intervals: DataFrame, salts: int = 32) ->
     )
     ended = F.exists("spans", lambda s: F.coalesce(s["deleted"] <= day, F.lit(False)))
     reason = F.when(F.col("spans").isNull(), "missing").when(holds, None).when(ended, "deleted").otherwise("late")
-    return merged.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("spans", "__salt")
+    return merged.withColumn("reason", reason).where(F.col("reason").isNotNull()).drop("spans")
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:
