@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -223,16 +224,15 @@ class Canon:
         return self.ids[best], "similar", top
 
 
-_built: dict[int, tuple[object, Canon]] = {}
+_built: dict[str, Canon] = {}
 
 
-def _canon(aliases) -> Canon:
-    """One Canon per list and worker process."""
-    key = id(aliases)
-    if key not in _built or _built[key][0] is not aliases:
+def _canon(token: str, aliases) -> Canon:
+    """One Canon per list and worker process; the token stands for the list's content."""
+    if token not in _built:
         _built.clear()
-        _built[key] = (aliases, Canon(aliases))
-    return _built[key][1]
+        _built[token] = Canon(aliases)
+    return _built[token]
 
 
 def resolve_names(values: DataFrame, value: str, canon: DataFrame, canon_id: str, aliases: Sequence[str]) -> DataFrame:
@@ -257,11 +257,15 @@ def resolve_names(values: DataFrame, value: str, canon: DataFrame, canon_id: str
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"the canonical list has more than {MOST_ENTRIES} entries")
     pairs = sorted({(r[0], n) for r in rows for n in r[1:] if n})
+    token = md5(repr(pairs).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _canon(pairs)
+        known = _canon(token, pairs)
         for pdf in batches:
             got = [known.resolve(v) for v in pdf["value"]]
             yield pd.DataFrame({"value": pdf["value"], "entry_id": [g[0] for g in got], "match_kind": [g[1] for g in got], "similarity": [g[2] for g in got]})
 
-    return values.select(F.col(value).cast("string").alias("value")).distinct().mapInPandas(run, "value string, entry_id bigint, match_kind string, similarity double")
+    # The work lies in the computing, not in the bytes: a fixed number of tasks keeps adaptive execution from joining them into one.
+    tasks = 3 * values.sparkSession.sparkContext.defaultParallelism
+    once = values.select(F.col(value).cast("string").alias("value")).distinct()
+    return once.repartition(tasks, "value").mapInPandas(run, "value string, entry_id bigint, match_kind string, similarity double")
