@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -151,14 +152,15 @@ def _verify(known, stream, start, text, p, begin):
     return text[good], p[good], edits[good]
 
 
-_built: dict[int, tuple[object, Passages]] = {}
+_built: dict[str, Passages] = {}
 
 
-def _passages(items, run_words, max_edits) -> Passages:
-    if id(items) not in _built or _built[id(items)][0] is not items:
+def _passages(token: str, items, run_words: int, max_edits: int) -> Passages:
+    """One set of passages per worker process; the token stands for its content."""
+    if token not in _built:
         _built.clear()
-        _built[id(items)] = (items, Passages(items, run_words, max_edits))
-    return _built[id(items)][1]
+        _built[token] = Passages(items, run_words, max_edits)
+    return _built[token]
 
 
 def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, run_words: int = 12, max_edits: int = 2) -> DataFrame:
@@ -191,8 +193,10 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     schema = "doc_id bigint, item_id bigint, edits int, passage_words int"
 
     def block(part):
+        token = md5(repr((part, run_words, max_edits)).encode("utf-8", "surrogatepass")).hexdigest()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _passages(part, run_words, max_edits)
+            known = _passages(token, part, run_words, max_edits)
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 t, item, edits, size = matches(known, batch.column(1).to_pylist())
