@@ -85,6 +85,7 @@ class Canon:
                 self.holders[w].append(i)
         n = max(1, len(self.names))
         self.weight = {w: FREE_WEIGHT if w in FREE_WORDS else math.log(1 + n / len(h)) for w, h in self.holders.items()}
+        self.size = [sum(self.weight[w] for w in set(words)) for words in self.names]
         self.near: dict[str, list[str]] = defaultdict(list)
         self.cut: dict[str, list[str]] = defaultdict(list)
         for w in self.holders:
@@ -202,21 +203,24 @@ class Canon:
                 meant.append(got)
         gain: dict[int, float] = defaultdict(float)
         total = 0.0
+        # Words that weigh next to nothing are counted last and bring in no name of their own.
+        meant.sort(key=lambda got: FREE_WORDS.issuperset(got))
         for got in meant:
+            light = gain and FREE_WORDS.issuperset(got)
             best: dict[int, float] = {}
             for w, share in got.items():
                 for i in self.holders[w]:
-                    best[i] = max(best.get(i, 0.0), share * self.weight[w])
+                    if not light or i in gain:
+                        best[i] = max(best.get(i, 0.0), share * self.weight[w])
             for i, g in best.items():
                 gain[i] += g
             total += max(self.weight[w] for w in got)
         if not gain:
             return 0, "none", 0.0
-        size = {i: sum(self.weight[w] for w in set(self.names[i])) for i in gain}
         text = " ".join(words)
 
         def rank(i):
-            return round(gain[i] / (total + size[i] - gain[i]), 9)
+            return round(gain[i] / (total + self.size[i] - gain[i]), 9)
 
         top = max(rank(i) for i in gain)
         tied = [i for i in gain if rank(i) == top]
