@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,8 +13,24 @@ _TWO64 = "18446744073709551616"
 _HALF = "9223372036854775808"
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Names this package's folder to the Python workers, for a driver that found it by its own path only.
+
+    On a cluster the folder must be there too, or the package be shipped with
+    the job; a folder that a worker lacks does no harm.
+    """
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if _ROOT not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (_ROOT, known) if p)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; a Parquet file or a folder of them."""
+    reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

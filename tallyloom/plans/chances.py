@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.common import load
+from tallyloom.common import load, reach_workers
 from tallyloom.functions import probability as P
 
 
@@ -49,12 +49,14 @@ def vary_table(s, d):
 
 
 def castable_by_turn(s, d):
+    reach_workers(s)
     t = s.range(1, 11).select(F.col("id").cast("int").alias("turn"))
     args = [F.lit(60), F.array(F.lit(10), F.lit(8), F.lit(6)), F.array(F.lit(1), F.lit(2), F.lit(3)), F.array(F.array(F.lit(1), F.lit(1)), F.array(F.lit(2), F.lit(0))), F.array(F.lit(3), F.lit(4))]
     return t.withColumn("p", P.castable(*args, F.col("turn"), F.lit(True), F.lit(0)))
 
 
 def hand_by_turn(s, d):
+    reach_workers(s)
     t = s.range(0, 8).select(F.col("id").cast("int").alias("turn"))
     args = [F.lit(60), F.array(F.lit(24), F.lit(8)), F.array(F.lit(2), F.lit(1)), F.array(F.lit(4), F.lit(8))]
     return t.withColumn("p", P.hand(*args, F.col("turn"), F.lit(False), F.lit(0)))
