@@ -105,16 +105,18 @@ def partial_candidates(cards: DataFrame, rulings: DataFrame, text: str, limit: i
 def near_names(queries: DataFrame, query: str, names: DataFrame, name: str, key: str, k: int = 3, least: float = 0.3) -> DataFrame:
     """The ``k`` names most similar by trigrams to every query.
 
-    Queries and names meet on shared trigrams (an inverted index); only pairs
-    that share one are scored, from trigram counts alone, so no text is compared
-    with all others. Ties go to the smaller key.
+    Queries and names meet on shared trigrams (an inverted index) under 64-bit
+    numbers, so the counting moves no text; only pairs whose counts pass
+    ``least`` get their texts back and are compared exactly, which also tells
+    texts of one number apart. Ties go to the smaller key.
     """
-    q = queries.select(F.col(query).alias("query")).where(F.col("query").isNotNull()).distinct().withColumn("qt", trigrams(F.col("query")))
-    n = names.select(F.col(key).alias("key"), F.col(name).alias("name")).where(F.col("name").isNotNull()).withColumn("nt", trigrams(F.col("name")))
-    left = q.select("query", F.size("qt").alias("qn"), F.explode("qt").alias("g"))
-    right = n.select("key", "name", F.size("nt").alias("nn"), F.explode("nt").alias("g"))
-    shared = left.join(right, "g").groupBy("query", "key", "name", "qn", "nn").agg(F.count(F.lit(1)).alias("s"))
-    scored = shared.select("query", "key", "name", F.round(F.col("s") / (F.col("qn") + F.col("nn") - F.col("s")), 6).alias("similarity")).where(F.col("similarity") > least)
+    q = queries.select(F.col(query).alias("query")).where(F.col("query").isNotNull()).distinct().select("query", trigrams(F.col("query")).alias("qt"), F.xxhash64("query").alias("qid"))
+    n = names.select(F.col(key).alias("key"), F.col(name).alias("name")).where(F.col("name").isNotNull()).select("key", "name", trigrams(F.col("name")).alias("nt"), F.xxhash64("key", "name").alias("nid"))
+    left = q.select("qid", F.size("qt").alias("qn"), F.explode("qt").alias("g"))
+    right = n.select("nid", F.size("nt").alias("nn"), F.explode("nt").alias("g"))
+    shared = left.join(right, "g").groupBy("qid", "nid", "qn", "nn").agg(F.count(F.lit(1)).alias("s"))
+    pairs = shared.where(F.col("s") / (F.col("qn") + F.col("nn") - F.col("s")) > least).select("qid", "nid").distinct()
+    scored = pairs.join(q, "qid").join(n, "nid").select("query", "key", "name", F.round(similarity(F.col("qt"), F.col("nt")), 6).alias("similarity")).where(F.col("similarity") > least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key", "name"))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
