@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.common import reach_workers
+
 
 def printings(rows: DataFrame, key: str, set_code: str, released: str, local: str, digital: str) -> DataFrame:
     """All sets of each entry (physical ones only, unless it has none) and its latest non-null local value, ties by the larger value."""
@@ -145,15 +147,31 @@ def outcome(kind: Column, seconds: Column, slow: float = 10.0) -> Column:
     )
 
 
+_JAPANESE = re.compile("[々-〇ぁ-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ]")
+
+
+def _ends_word(name_end: str, neighbour: str) -> bool:
+    """Whether a name may end here: always in Japanese script, which has no blanks, else where no cased letter goes on."""
+    return bool(_JAPANESE.match(name_end)) or neighbour.lower() == neighbour.upper()
+
+
+def _stands_bare(name: str) -> bool:
+    """Whether a name is looked for outside brackets: two characters in Japanese script, five letters or two words in others."""
+    return len(name) >= 2 if _JAPANESE.search(name) else len(name) >= 5 or " " in name
+
+
 def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """Names written in texts against a dictionary of (name, canonical form): ``key, at, written, canonical, state``.
 
     Bracketed names are ``ok``, ``rewrite`` (another form of a known name) or
-    ``unknown``; bare names of two words or more that are known are ``bare``. Of
-    overlapping names the longest counts. The dictionary is compiled to one
-    automaton per worker; its size is the caller's bound.
+    ``unknown``; known names outside brackets are ``bare``, but for one-word names
+    of less than five letters and Japanese ones of one character. Names in Japanese
+    script are found inside running text, others as whole words. Of overlapping
+    names the longest counts. The dictionary is compiled to one automaton per
+    worker; its size is the caller's bound.
     """
     pairs = sorted(set(names))
+    reach_workers(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -177,8 +195,7 @@ def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple
                 found = []
                 for end, n in tree.iter(t.lower()) if known else ():
                     a, b = end - len(n) + 1, end + 1
-                    edge = (a == 0 or not t[a - 1].isalnum()) and (b == len(t) or not t[b].isalnum())
-                    if edge and (" " in n or not n.isascii()):
+                    if _stands_bare(n) and _ends_word(n[0], t[a - 1 : a]) and _ends_word(n[-1], t[b : b + 1]):
                         found.append((-len(n), a, b, n))
                 for _, a, b, n in sorted(found):
                     if all(b <= x or a >= y for x, y in taken):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import date
 
 import pytest
@@ -278,3 +279,27 @@ def test_pick_states_and_combos(spark):
     t = spark.createDataFrame([(1, "has 《Fire/Ice》 and Old Wall here", ), (2, None), (3, "《nope》")], "id int, t string")
     got = rows(K.verify_mentions(t, "id", "t", [("Ice", "《Fire/Ice》"), ("Old Wall", "Old Wall")]).select("key", "written", "state"))
     assert got == [(1, "Old Wall", "bare"), (1, "《Fire/Ice》", "ok"), (3, "《nope》", "unknown")]
+
+
+def test_bare_names_in_running_text(spark):
+    names = ["太陽の指輪", "指輪", "輪", "ケヌの塔", "Old Wall", "Brainstorm", "Opt", "Relgáda", "Ring 2"]
+    texts = ["太陽の指輪を入れる。", "毎回太陽の指輪とこの指輪、輪。", "デッキにOld Wallを4枚、Brainstormも", "4Brainstorm3枚", "Brainstorms, Old Walls, XOld Wall, Opt", "強いケヌの塔ー", "Relgádas Relgáda。éBrainstorm", "Ring 2個とRing 2x", "brainstorm", "《太陽の指輪》と太陽の指輪", ""]
+
+    def brute(text):
+        taken, found = {i for m in re.finditer("《[^《》]*》", text) for i in range(*m.span())}, []
+        for n in sorted(names, key=len, reverse=True):
+            japanese = any("ぁ" <= c <= "ヿ" or "一" <= c <= "鿿" for c in n)
+            if n in ("輪", "Opt"):  # too short
+                continue
+            for a in range(len(text)):
+                b = a + len(n)
+                letters = [c for c in text[max(a - 1, 0) : a] + text[b : b + 1] if re.match("[A-Za-zà-ÿ]", c)]
+                if text[a:b].lower() == n.lower() and (japanese or not letters) and not taken & set(range(a, b)):
+                    taken |= set(range(a, b))
+                    found.append((a, text[a:b]))
+        return found
+
+    got = K.verify_mentions(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", [(n, n) for n in names]).where("state = 'bare'").select("key", "at", "written")
+    want = sorted(((k, a, w) for k, t in enumerate(texts) for a, w in brute(t)), key=repr)
+    assert rows(got) == want
+    assert (0, 0, "太陽の指輪") in want and (2, 4, "Old Wall") in want and (3, 1, "Brainstorm") in want and len(want) > 8
