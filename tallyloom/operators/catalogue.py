@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.common import reach_workers
@@ -147,7 +147,7 @@ def outcome(kind: Column, seconds: Column, slow: float = 10.0) -> Column:
     )
 
 
-_JAPANESE = re.compile("[々-〇ぁ-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ]")
+_JAPANESE = re.compile("[\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f]")
 
 
 def _ends_word(name_end: str, neighbour: str) -> bool:
@@ -160,6 +160,32 @@ def _stands_bare(name: str) -> bool:
     return len(name) >= 2 if _JAPANESE.search(name) else len(name) >= 5 or " " in name
 
 
+#: Name columns of a card: in English and Japanese, whole, front and back.
+NAME_COLUMNS = ("card_name", "name_en_front", "name_en_back"), ("japanese_name", "name_ja_front", "name_ja_back")
+
+
+def name_forms(cards: Iterable[Row]) -> list[tuple[str, str]]:
+    """All names of cards with their display form; of entries with the same name the first counts.
+
+    A face has the form of its own face, a whole name that of the front; without
+    a Japanese name the form is the English one. English names count in the order
+    whole, front, back, then physical cards first; Japanese ones physical cards
+    first, then in that order.
+    """
+    by_rank: tuple[list, list, list] = [], [], []
+    local = []
+    for r in sorted(cards, key=lambda r: (bool(r["digital"]), r["card_name"])):
+        en, ja = ([r[c] for c in columns] for columns in NAME_COLUMNS)
+        front = en[1] or en[0].split(" // ")[0], ja[1] or (ja[0] or "").split(" // ")[0]
+        for rank, (e, j) in enumerate((front, front, (en[2], ja[2]))):
+            form = f"《{j}/{e}》" if j else e
+            if en[rank]:
+                by_rank[rank].append((en[rank], form))
+                if ja[rank]:
+                    local.append((ja[rank], form))
+    return [x for part in (*by_rank, local) for x in part]
+
+
 def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """Names written in texts against a dictionary of (name, canonical form): ``key, at, written, canonical, state``.
 
@@ -167,17 +193,18 @@ def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple
     ``unknown``; known names outside brackets are ``bare``, but for one-word names
     of less than five letters and Japanese ones of one character. Names in Japanese
     script are found inside running text, others as whole words. Of overlapping
-    names the longest counts. The dictionary is compiled to one automaton per
-    worker; its size is the caller's bound.
+    names the longest counts, of entries with the same name the first. The dictionary
+    is compiled to one automaton per worker; its size is the caller's bound.
     """
-    pairs = sorted(set(names))
+    pairs = list(dict.fromkeys(names))
     reach_workers(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        known = {n.lower(): c for n, c in pairs}
-        known |= {c.lower(): c for _, c in pairs}
+        known: dict[str, str] = {}
+        for n, c in [*pairs, *((c, c) for _, c in pairs)]:
+            known.setdefault(n.lower(), c)
         tree = ahocorasick.Automaton()
         for n in known:
             tree.add_word(n, n)

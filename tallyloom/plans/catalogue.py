@@ -171,7 +171,7 @@ def _(s, d):
     cards = load(s, d, "mtg_cards_v2")
     if cards.count() > MOST_NAMES:
         raise ValueError(f"the dictionary has more than {MOST_NAMES} entries")
-    names = [(n, r["display"]) for r in cards.select("name_en_front", "card_name", "japanese_name", F.when(F.col("japanese_name").isNotNull(), F.concat(F.lit("《"), "japanese_name", F.lit("/"), "card_name", F.lit("》"))).otherwise(F.col("card_name")).alias("display")).collect() for n in (r["name_en_front"], r["card_name"], r["japanese_name"]) if n]
+    names = K.name_forms(cards.select("digital", *[c for columns in K.NAME_COLUMNS for c in columns]).collect())
     return K.verify_mentions(load(s, d, "documents"), "doc_id", "text", names)
 
 

@@ -281,6 +281,28 @@ def test_pick_states_and_combos(spark):
     assert got == [(1, "Old Wall", "bare"), (1, "《Fire/Ice》", "ok"), (3, "《nope》", "unknown")]
 
 
+def test_all_faces_are_known(spark):
+    cards = [
+        ("Fire Song // Ice Song", "Fire Song", "Ice Song", "火の歌 // 氷の歌", "火の歌", "氷の歌", False),
+        ("Far Gate // Old Wall", "Far Gate", "Old Wall", None, None, None, False),
+        ("Old Wall", "Old Wall", None, "古い壁", "古い壁", None, False),
+        ("Arena Song", "Arena Song", None, "氷の歌", "氷の歌", None, True),
+    ]
+    names = K.name_forms(spark.createDataFrame(cards, "card_name string, name_en_front string, name_en_back string, japanese_name string, name_ja_front string, name_ja_back string, digital boolean").collect())
+    texts = ["氷の歌とIce Song、火の歌", "《氷の歌》《Ice Song》《氷の歌/Ice Song》", "《火の歌/Fire Song》《火の歌 // 氷の歌》《Fire Song // Ice Song》", "《Old Wall》《Far Gate // Old Wall》《Arena Song》《壁》"]
+    got = rows(K.verify_mentions(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t", names).select("key", "written", "canonical", "state"))
+    ice, fire = "《氷の歌/Ice Song》", "《火の歌/Fire Song》"
+    assert got == sorted(
+        [
+            *[(0, w, c, "bare") for w, c in (("氷の歌", ice), ("Ice Song", ice), ("火の歌", fire))],
+            *[(1, w, ice, "ok" if w == ice else "rewrite") for w in ("《氷の歌》", "《Ice Song》", ice)],
+            *[(2, w, fire, "ok" if w == fire else "rewrite") for w in (fire, "《火の歌 // 氷の歌》", "《Fire Song // Ice Song》")],
+            *[(3, "《Old Wall》", "《古い壁/Old Wall》", "rewrite"), (3, "《Far Gate // Old Wall》", "Far Gate", "rewrite"), (3, "《Arena Song》", "《氷の歌/Arena Song》", "rewrite"), (3, "《壁》", None, "unknown")],
+        ],
+        key=repr,
+    )
+
+
 def test_bare_names_in_running_text(spark):
     names = ["太陽の指輪", "指輪", "輪", "ケヌの塔", "Old Wall", "Brainstorm", "Opt", "Relgáda", "Ring 2"]
     texts = ["太陽の指輪を入れる。", "毎回太陽の指輪とこの指輪、輪。", "デッキにOld Wallを4枚、Brainstormも", "4Brainstorm3枚", "Brainstorms, Old Walls, XOld Wall, Opt", "強いケヌの塔ー", "Relgádas Relgáda。éBrainstorm", "Ring 2個とRing 2x", "brainstorm", "《太陽の指輪》と太陽の指輪", ""]
