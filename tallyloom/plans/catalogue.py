@@ -345,7 +345,7 @@ def _stream(s, d, build, mode="append"):
 
 @query("st_first_seen", "SELECT count(DISTINCT event_id) AS n FROM events")
 def _(s, d):
-    return _stream(s, d, lambda e: J.first_seen(e, ["event_id"], "ts")).agg(F.count(F.lit(1)).alias("n"))
+    return _stream(s, d, lambda e: J.first_seen(e, ["event_id"], "ts", None)).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st_tumbling", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

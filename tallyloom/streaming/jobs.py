@@ -16,8 +16,14 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def first_seen(stream: DataFrame, keys: Sequence[str], stamp: str, late: str = "1 hour") -> DataFrame:
-    """Rows whose key was not seen within the watermark; state is dropped behind it."""
+def first_seen(stream: DataFrame, keys: Sequence[str], stamp: str, late: str | None = "1 hour") -> DataFrame:
+    """Rows whose key was not seen within the watermark; state is dropped behind it, and rows later than that are lost.
+
+    ``late`` None is for finished input, whose files may come in any order of
+    time: no row is too late, and all keys are kept.
+    """
+    if late is None:
+        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(stamp, late).dropDuplicatesWithinWatermark(list(keys))
 
 

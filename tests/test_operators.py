@@ -275,6 +275,16 @@ def test_foreach_batch_upsert(spark, tmp_path):
     assert rows(state["t"]) == [(1, "a"), (2, "x"), (3, "c")]
 
 
+def test_first_seen_in_files_out_of_order(spark, tmp_path):
+    from tallyloom.plans import registered
+
+    # Newest first in three batches of files, as the watermark drops rows two batches on; event i is in files i and i + 1.
+    e = spark.range(250).selectExpr("id AS file", "explode(array(id, id + 1)) AS event_id").selectExpr("event_id", "file", "timestamp'2025-06-01' - make_interval(0, 0, 0, 0, cast(event_id * 5 AS int)) AS ts")
+    e.repartitionByRange(250, "file").drop("file").write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 200
+    assert rows(registered()[0]["st_first_seen"](spark, str(tmp_path))) == [(251,)]
+
+
 def test_pick_states_and_combos(spark):
     t = spark.createDataFrame([(1, "has 《Fire/Ice》 and Old Wall here", ), (2, None), (3, "《nope》")], "id int, t string")
     got = rows(K.verify_mentions(t, "id", "t", [("Ice", "《Fire/Ice》"), ("Old Wall", "Old Wall")]).select("key", "written", "state"))
