@@ -56,7 +56,7 @@ def rulebook(df: DataFrame, key: str, text: str) -> DataFrame:
     blocks = lines.withColumn("block", F.sum(head.cast("int")).over(Window.partitionBy("key").orderBy("at"))).where((F.col("block") > 0) & (F.trim("line") != ""))
     joined = blocks.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
     first = F.col("l")[0]["line"]
-    body = F.concat_ws(" ", F.array(F.trim(F.regexp_replace(first, r"^\d+(?:\.\d+)*[a-z]?\.?\s+", ""))), F.transform(F.slice("l", 2, 10_000), lambda x: F.trim(x["line"])))
+    body = F.concat_ws(" ", F.array(F.trim(F.regexp_replace(first, r"^\d+(?:\.\d+)*[a-z]?\.?\s+", ""))), F.transform(F.slice("l", 2, F.size("l")), lambda x: F.trim(x["line"])))
     return joined.select("key", F.regexp_extract(first, r"^(\d+(?:\.\d+)*[a-z]?)", 1).alias("number"), body.alias("body"))
 
 

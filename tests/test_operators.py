@@ -275,6 +275,11 @@ def test_foreach_batch_upsert(spark, tmp_path):
     assert rows(state["t"]) == [(1, "a"), (2, "x"), (3, "c")]
 
 
+def test_rulebook_keeps_long_blocks(spark):
+    r = spark.createDataFrame([(1, "1. Start\n" + "\n".join(f"line {i}" for i in range(10_050)) + "\n2. Alone")], "k int, t string")
+    assert rows(S.rulebook(r, "k", "t")) == [(1, "1", "Start " + " ".join(f"line {i}" for i in range(10_050))), (1, "2", "Alone")]
+
+
 def test_first_seen_in_files_out_of_order(spark, tmp_path):
     from tallyloom.plans import registered
 
