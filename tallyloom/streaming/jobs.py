@@ -104,15 +104,19 @@ def rate_limit_batch(df: DataFrame, key: str, stamp: str, most: int = 60, second
     return rows.repartition("key").sortWithinPartitions("key", "us").mapInPandas(run, "key string, us bigint, admitted boolean, wait_seconds double")
 
 
-def apply_changes(old: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], values: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def apply_changes(old: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], values: Sequence[str], stamp: str | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each batch's rows replace those of the same key.
 
+    Of several rows for one key in a batch the one with the largest ``stamp``
+    counts, of equals or without a stamp the one with the largest values.
     ``write`` must replace the table as a whole (a new version, then a pointer),
     so that a batch run twice leaves the same table.
     """
 
     def run(batch: DataFrame, _: int) -> None:
-        latest = batch.dropDuplicates(list(keys))
+        order = F.struct(*([stamp] if stamp else []), *values)
+        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("newest"))
+        latest = newest.select(*keys, *[F.col("newest")[v].alias(v) for v in values])
         base = old()
         rest = base.join(latest.select(*keys), list(keys), "left_anti").select(*keys, *values)
         write(diff_apply(base, rest.unionByName(latest.select(*keys, *values)), keys, values))

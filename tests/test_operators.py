@@ -275,6 +275,21 @@ def test_foreach_batch_upsert(spark, tmp_path):
     assert rows(state["t"]) == [(1, "a"), (2, "x"), (3, "c")]
 
 
+def test_changes_of_one_key_in_a_batch(spark):
+    state = {"t": spark.createDataFrame([(1, "a")], "k int, v string")}
+
+    def write(df):
+        state["t"] = spark.createDataFrame(df.collect(), "k int, v string")
+
+    changes = [(1, "z", 1), (1, None, 3), (1, "y", 2), (2, "b", 5), (2, "c", 5), (2, "x", None), (3, None, 1), (3, "d", 1)]
+    for order in (changes, changes[::-1]):
+        J.apply_changes(lambda: state["t"], write, ["k"], ["v"], "at")(spark.createDataFrame(order, "k int, v string, at int"), 0)
+        assert rows(state["t"]) == [(1, None), (2, "c"), (3, "d")]
+    for order in (changes, changes[::-1]):
+        J.apply_changes(lambda: state["t"], write, ["k"], ["v"])(spark.createDataFrame(order, "k int, v string, at int"), 0)
+        assert rows(state["t"]) == [(1, "z"), (2, "x"), (3, "d")]
+
+
 def test_rulebook_keeps_long_blocks(spark):
     r = spark.createDataFrame([(1, "1. Start\n" + "\n".join(f"line {i}" for i in range(10_050)) + "\n2. Alone")], "k int, t string")
     assert rows(S.rulebook(r, "k", "t")) == [(1, "1", "Start " + " ".join(f"line {i}" for i in range(10_050))), (1, "2", "Alone")]
