@@ -241,7 +241,7 @@ def training_paragraphs(documents: DataFrame, checked: DataFrame, languages: Seq
 
     At most about ``CHECKED_PER_LANGUAGE`` hand-checked documents of each
     language and ``STATED_PER_LANGUAGE`` by stated label, chosen by a hash of the
-    id, with ``PARAGRAPHS_PER_DOCUMENT`` paragraphs each.
+    id, with ``PARAGRAPHS_PER_DOCUMENT`` whole paragraphs each.
     """
     labels = checked.select("doc_id", F.col("lang_checked").alias("label")).where(F.col("label").isin(list(languages))).dropDuplicates(["doc_id"])
     stated = documents.select("doc_id", stated_language(F.col("lang")).alias("label")).where(F.col("label").isin(list(languages)))
@@ -259,7 +259,7 @@ def training_paragraphs(documents: DataFrame, checked: DataFrame, languages: Seq
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p[:1500], a, bool(t)) for x, a, t in zip(pdf["text"], pdf["label"], pdf["trusted"]) for *_, p in paragraphs(x)[:PARAGRAPHS_PER_DOCUMENT]]
+            rows = [(p, a, bool(t)) for x, a, t in zip(pdf["text"], pdf["label"], pdf["trusted"]) for *_, p in paragraphs(x)[:PARAGRAPHS_PER_DOCUMENT]]
             yield pd.DataFrame(rows, columns=["text", "label", "trusted"])
 
     return texts.select("text", "label", "trusted").mapInPandas(cut, "text string, label string, trusted boolean")

@@ -351,3 +351,10 @@ def test_noisy_labels_are_outvoted():
 def test_stated_language(spark):
     df = spark.createDataFrame([("en",), ("EN-us",), (" ja ",), ("und",), ("",), ("  ",), (None,), ("UND",)], "l string")
     assert [r[0] for r in df.select(languages.stated_language(F.col("l"))).collect()] == ["en", "en", "ja", None, None, None, None, None]
+
+
+def test_training_takes_whole_paragraphs(spark):
+    text = " ".join(f"The gate number {i} opens at dusk." for i in range(100))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    checked = spark.createDataFrame([(1, "en")], "doc_id long, lang_checked string")
+    assert rows(languages.training_paragraphs(docs, checked).select("text")) == [(text,)]
