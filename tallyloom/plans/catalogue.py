@@ -166,6 +166,16 @@ def _(s, d):
     return K.apply_picks(known, picks, "game")
 
 
+@query("d37_all_picks", """WITH l AS (SELECT l_orderkey AS game, l_linenumber::INT AS position, min(l_partkey) AS item FROM lineitem GROUP BY ALL), k AS (SELECT * FROM l WHERE position <= 2),
+p AS (SELECT game, position, CASE WHEN item % 5 = 0 THEN -item ELSE item END AS item FROM l WHERE position <> 4), h AS (SELECT game, max(position) AS last FROM k GROUP BY 1), j AS (SELECT p.*, k.item AS old, coalesce(h.last, 0) AS last FROM p LEFT JOIN k USING (game, position) LEFT JOIN h USING (game))
+SELECT game, position, item::VARCHAR AS item, CASE WHEN position <= last THEN CASE WHEN old = item THEN 'resent' ELSE 'conflict' END WHEN position - last = (SELECT count(*) FROM p q WHERE q.game = j.game AND q.position > j.last AND q.position <= j.position) THEN 'added' ELSE 'gap' END AS state FROM j""")
+def _(s, d):
+    """Picks made of all orders: two lines are recorded, the fourth is never sent, every fifth item is another one."""
+    lines = load(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("game"), F.col("l_linenumber").cast("int").alias("position")).agg(F.min("l_partkey").alias("item"))
+    sent = lines.where("position <> 4").withColumn("item", F.when(F.col("item") % 5 == 0, -F.col("item")).otherwise(F.col("item")).cast("string"))
+    return K.apply_picks(lines.where("position <= 2").withColumn("item", F.col("item").cast("string")), sent, "game")
+
+
 @query("d38_verify")
 def _(s, d):
     cards = load(s, d, "mtg_cards_v2")
@@ -191,6 +201,15 @@ def _(s, d):
     return K.clauses(load(s, d, "mtg_cards_v2"), "id", "oracle_text", RULES).where("rule IN ('look', 'harm')").groupBy("key", "rule", "amount").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d40_d42_all_clauses", r"""WITH t AS (SELECT id, regexp_replace(oracle_text, '\([^()]*\)', '', 'g') AS x FROM mtg_cards_v2)
+SELECT id AS key, 'look' AS rule, regexp_extract(m, '(?i)put the top (\d+)', 1)::INT AS amount, NULL AS target, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)put the top \d+ cards aside')) AS m FROM t) GROUP BY ALL
+UNION ALL SELECT id, 'harm', regexp_extract(m, '(?i)deal (\d+)', 1)::INT, regexp_extract(m, '(?i)harm to ([a-z ]+?)[.,]', 1), count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)deal \d+ harm to [a-z ]+?[.,]')) AS m FROM t) GROUP BY ALL
+UNION ALL SELECT id, 'gain', regexp_extract(m, '(?i)gain (\d+)', 1)::INT, nullif(regexp_extract(m, '(?i)for every ([a-z ]+?)[.,]', 1), ''), count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)gain \d+ life(?: for every [a-z ]+?)?[.,]')) AS m FROM t) GROUP BY ALL
+UNION ALL SELECT id, 'discount', try_cast(regexp_extract(m, '(?i)costs (\w+) less', 1) AS INT), regexp_extract(m, '(?i)the next spell'), count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)the next spell you pay for costs \w+ less')) AS m FROM t) GROUP BY ALL""")
+def _(s, d):
+    return K.clauses(load(s, d, "mtg_cards_v2"), "id", "oracle_text", RULES).groupBy("key", "rule", "amount", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("d45_faces")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")
@@ -286,6 +305,13 @@ def _(s, d):
     return R.rulebook(r.select("id", text.alias("t")), "id", "t")
 
 
+@query("s07_rulebook_all", "SELECT id AS key, '12.' || (id % 9) || 'a' AS number, trim(comment) || ' and so on' AS body FROM card_rulings WHERE trim(comment) <> ''")
+def _(s, d):
+    r = load(s, d, "card_rulings").where(F.trim("comment") != "")
+    text = F.concat(F.lit("Preface\n\n12."), (F.col("id") % 9).cast("string"), F.lit("a "), F.col("comment"), F.lit("\nand so on\n"))
+    return R.rulebook(r.select("id", text.alias("t")), "id", "t")
+
+
 @query("s09_links", "SELECT id, '/c/' || id AS href, card_name AS text FROM mtg_cards_v2")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")

@@ -275,6 +275,13 @@ def test_foreach_batch_upsert(spark, tmp_path):
     assert rows(state["t"]) == [(1, "a"), (2, "x"), (3, "c")]
 
 
+def test_all_rulings_are_read(spark, tmp_path):
+    from tallyloom.plans import registered
+
+    spark.createDataFrame([(1, "two  blanks"), (2, None), (3, "plain")], "id int, comment string").write.parquet(f"{tmp_path}/card_rulings.parquet")
+    assert rows(registered()[0]["s07_rulebook_all"](spark, str(tmp_path))) == [(1, "12.1a", "two  blanks and so on"), (3, "12.3a", "plain and so on")]
+
+
 def test_changes_of_one_key_in_a_batch(spark):
     state = {"t": spark.createDataFrame([(1, "a")], "k int, v string")}
 
