@@ -142,6 +142,7 @@ def _decode(code) -> Solution:
 def _pack_level(items: DataFrame, capacity: int, level: int, count: int, islands: int, rounds: int) -> DataFrame:
     """Packs ``item``, ``size`` in blocks of about ``BLOCK_ITEMS``; gives ``bin`` by ``item``."""
     blocks = max(1, -(-count // BLOCK_ITEMS))
+    # The row's own number is dealt, not its id: an id that stands many times is spread like any other rows.
     blocked = items.select(F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)).alias("block"), "item", "size")
     state = blocked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("size", "item")), False).alias("members"))
     state = state.select("block", F.transform("members", lambda m: m["item"]).alias("items"), F.transform("members", lambda m: m["size"]).alias("sizes"))
@@ -177,8 +178,9 @@ def fill_containers(spark: SparkSession, docs: DataFrame, doc_id: str, tokens: s
     """Puts every text into containers of ``capacity`` tokens with little space left.
 
     A text longer than a container is split: full pieces get containers of their
-    own, the rest is an item like any other. No other text is split. Items are
-    dealt into blocks by a hash of the id; each block is solved on several
+    own, the rest is an item like any other. No other text is split. Rows are
+    numbered and checkpointed once, with their size and nothing else, and
+    dealt into blocks by a hash of their number; each block is solved on several
     islands, each evolving its own solutions by a grouping genetic algorithm
     (whole well-filled containers are injected, items that are then twice are
     removed, displaced items are put back by best fit), with the best solutions
@@ -189,18 +191,19 @@ def fill_containers(spark: SparkSession, docs: DataFrame, doc_id: str, tokens: s
 
     Output: ``container_id`` (string), ``doc_id``, ``piece_no`` (from 1),
     ``n_pieces``, ``tokens``. Defined cases: a text without tokens goes into any
-    container; null or negative counts count as 0; repeated ids are packed one
-    by one (``docs`` must then hold each once per text); an empty table gives no
-    rows; a null id is kept.
+    container; null or negative counts count as 0; every row is a text of its
+    own, so repeated and null ids are packed one by one and come out as often as
+    they stand in ``docs``; an empty table gives no rows.
     """
     checkpoint_dir(spark)
     n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(0).cast("bigint"))
-    all_ = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), n.alias("n"))
     full, rest = F.floor(F.col("n") / capacity), F.col("n") % capacity
-    sized = all_.select("doc_id", "n", full.cast("int").alias("full"), rest.cast("int").alias("rest")).withColumn("n_pieces", F.col("full") + F.when((F.col("rest") > 0) | (F.col("n") == 0), 1).otherwise(0))
-    long_ = sized.where("full > 0").select("doc_id", "n_pieces", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"))
-    own = long_.select(F.concat_ws(".", F.lit("full"), F.col("doc_id"), F.col("piece_no")).alias("container_id"), "doc_id", "piece_no", "n_pieces", F.lit(capacity).alias("tokens"))
-    items = sized.where("rest > 0 OR n = 0").select(F.col("doc_id").alias("item"), F.col("rest").alias("size"))
+    all_ = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("item"))
+    sized = all_.select("doc_id", "item", full.cast("int").alias("full"), rest.cast("int").alias("rest"), F.col("n").alias("n")).checkpoint()
+    sized = sized.withColumn("n_pieces", F.col("full") + F.when((F.col("rest") > 0) | (F.col("n") == 0), 1).otherwise(0))
+    long_ = sized.where("full > 0").select("doc_id", "item", "n_pieces", F.explode(F.sequence(F.lit(1), F.col("full"))).alias("piece_no"))
+    own = long_.select(F.concat_ws(".", F.lit("full"), F.col("item"), F.col("piece_no")).alias("container_id"), "doc_id", "piece_no", "n_pieces", F.lit(capacity).alias("tokens"))
+    items = sized.where("rest > 0 OR n = 0").select("item", F.col("rest").alias("size"))
     done: list[DataFrame] = []
     for level in range(levels):
         count = items.count()
@@ -219,8 +222,9 @@ def fill_containers(spark: SparkSession, docs: DataFrame, doc_id: str, tokens: s
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)
-    pieces = sized.select("doc_id", F.col("n_pieces").alias("piece_no"), "n_pieces")
-    placed = placed.join(pieces, F.col("item").eqNullSafe(F.col("doc_id"))).select(F.col("bin").alias("container_id"), "doc_id", "piece_no", "n_pieces", F.col("size").alias("tokens"))
+    # Row numbers are unique, so this join adds no row and knows no hot key.
+    pieces = sized.select("item", "doc_id", F.col("n_pieces").alias("piece_no"), "n_pieces")
+    placed = placed.join(pieces, "item").select(F.col("bin").alias("container_id"), "doc_id", "piece_no", "n_pieces", F.col("size").alias("tokens"))
     return own.unionByName(placed)
 
 
