@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
@@ -153,7 +154,7 @@ def test_top_items(spark, monkeypatch, n, buffer):
 
 
 def test_top_items_refusals(spark):
-    df = spark.createDataFrame([("a", "x", 1)], "g string, i string, s int")
+    df = spark.createDataFrame([("a", ["x"], 1)], "g string, i array<string>, s int")
     with pytest.raises(TypeError):
         topn.top_items(df, ["g"], "s", "i", 3)
     with pytest.raises(ValueError):
@@ -165,13 +166,37 @@ def test_top_items_refusals(spark):
 def test_keep_top(data, n):
     data.sort(key=lambda r: r[0])
     g, s, i = (np.array([r[k] for r in data], np.uint64) for k in range(3))
-    mask = topn.keep_top(g.astype(np.int64), s, i, n)
+    mask = topn.keep_top(g.astype(np.int64), [s, i], n)
     kept = {d for d, m in zip(data, mask) if m}
     want = {d for k in {r[0] for r in data} for d in sorted((r for r in data if r[0] == k), key=lambda r: (-r[1], -r[2]))[:n]}
     assert {d[:2] for d in kept} == {d[:2] for d in want} and Counter(d[0] for d in kept)[0] >= Counter(d[0] for d in want)[0]
     assert kept >= want or len(kept) == len(want)
 
 
+def test_top_items_by_decimal_and_string(spark):
+    big = 9007199254740992
+    data = [("a", f"i{k}", Decimal(big + k)) for k in range(4)] + [("a", "tie", Decimal(10**29)), ("a", "ti", Decimal(10**29)), ("a", "n", None), ("b", "x", Decimal(-5)), ("b", None, Decimal(-5)), ("b", "y", Decimal(-10**28))]
+    df = spark.createDataFrame(data, "g string, i string, s decimal(30,0)")
+    assert rows(topn.top_items(df.where("s < 10000000000000000000"), ["g"], "s", "i", 1).select("g", "i")) == [("a", "i3"), ("b", "x")]
+    assert rows(topn.top_items(df, ["g"], "s", "i", 3).select("g", "i")) == sorted([("a", "ti"), ("a", "tie"), ("a", "i3"), ("b", "x"), ("b", None), ("b", "y")], key=repr)
+    days = df.selectExpr("g", "date'2024-01-01' + length(i) i", "timestamp'2024-01-01' s")
+    assert len(rows(topn.top_items(days, ["g"], "s", "i", 1))) == 2
+
+
+@pytest.mark.parametrize("n", [7, 300])
+def test_top_items_of_hot_groups_by_counts(spark, monkeypatch, n):
+    monkeypatch.setattr(topn, "MANY", 1)
+    monkeypatch.setattr(topn, "BUFFER_ROWS", 50)
+    rnd = random.Random(n)
+    data = list({(rnd.choice(["hot"] * 6 + ["a", "b", None]), rnd.choice([None, *(f"i{k}" for k in range(900))]), rnd.choice([None, *range(-40, 40)])) for _ in range(3000)})
+    df = spark.createDataFrame(data, "g string, i string, s int").repartition(5)
+    groups = defaultdict(list)
+    for g, i, s in data:
+        groups[g].append((-1000 if s is None else s, i))
+    want = [(g, i) for g, items in groups.items() for s, i in sorted(items, key=lambda x: (-x[0], x[1] is None, x[1] or ""))[:n]]
+    assert rows(topn.top_items(df, ["g"], "s", "i", n).select("g", "i")) == sorted(want, key=repr)
+
+
 # 7
 
 
@@ -226,6 +251,12 @@ def test_containers(spark, monkeypatch):
     assert containers.fill_containers(spark, df.limit(0), "doc_id", "n", 100).count() == 0
 
 
+def test_containers_keep_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(None, 6)] * 3 + [(7, 25)] * 2 + [(8, None)], "doc_id long, n int")
+    out = [tuple(r)[1:] for r in containers.fill_containers(spark, df, "doc_id", "n", 10).collect()]
+    assert Counter(out) == Counter([(None, 1, 1, 6)] * 3 + [(7, 1, 3, 10), (7, 2, 3, 10), (7, 3, 3, 5)] * 2 + [(8, 1, 1, 0)])
+
+
 def test_genetic_steps_keep_all_items():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 90, 120)
