@@ -96,15 +96,18 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001) -> Data
     return counts.where(F.col("__n") > total * F.lit(share)).select(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32, share: float = 0.001, hint: str | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 32, share: float = 0.001, hint: str | None = None, heavy: DataFrame | None = None) -> DataFrame:
     """Equi-join of a large, possibly skewed ``left`` with ``right`` on ``keys``.
 
     Rows of ``left`` under a heavy key are spread over ``salts`` buckets and the
     matching rows of ``right`` are repeated once per bucket; all other keys join
     as they are. Null keys match nothing (they stay in a left join, spread).
-    ``how``: inner, left, left_semi or left_anti; ``hint``: a join strategy.
+    ``how``: inner, left, left_semi or left_anti; ``hint``: a join strategy;
+    ``heavy``: the heavy keys where they are known, at most ``1 / share``.
     """
-    heavy = F.broadcast(heavy_keys(left.where(all_of([F.col(k).isNotNull() for k in keys])), keys, share).withColumn("__hot", F.lit(True)))
+    if heavy is None:
+        heavy = heavy_keys(left.where(all_of([F.col(k).isNotNull() for k in keys])), keys, share)
+    heavy = F.broadcast(heavy.select(*keys).withColumn("__hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if not left.schema[c].dataType.typeName() == "map"]), F.lit(salts)).cast("int")
     anynull = reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])
     a = left.join(heavy, list(keys), "left").withColumn("__salt", F.when(F.col("__hot") | anynull, spread).otherwise(F.lit(0))).drop("__hot")

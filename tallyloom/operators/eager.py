@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.common import payload_of, stamp_and_payload
+from tallyloom.common import payload_of, salted_join, stamp_and_payload
 
 
 def eager_join_aggregate(
@@ -31,7 +31,9 @@ def eager_join_aggregate(
     rows reaches a reducer as one record per map task.
 
     ``distinct``: a left column whose distinct values are counted; it joins the
-    first fold's key, which also spreads a hot group over its values.
+    first fold's key, which also spreads a hot group over its values. As a join
+    key may then have many states, keys with more than a thousandth of them (at
+    most 1000) are spread over the tasks of the join too.
 
     Output: groups, ``n_rows``, ``value_sum``, ``value_max``, ``value_latest``
     (latest ``stamp``, of equal stamps the larger value) and ``n_distinct``.
@@ -49,7 +51,12 @@ def eager_join_aggregate(
     )
     right_group = [F.col(g).alias(f"__r_{g}") for g in group_right]
     b = right.select(F.col(join_key).alias("__k"), *right_group).groupBy("__k", *[f"__r_{g}" for g in group_right]).agg(F.count(F.lit(1)).alias("__m"))
-    joined = a.join(b, a[join_key] == b["__k"], "left" if outer else "inner").withColumn("__m", F.coalesce("__m", F.lit(1)))
+    how = "left" if outer else "inner"
+    if len(left_keys) > 1:
+        joined = salted_join(a, b.withColumnRenamed("__k", join_key), [join_key], how)
+    else:
+        joined = a.join(b, a[join_key] == b["__k"], how)
+    joined = joined.withColumn("__m", F.coalesce("__m", F.lit(1)))
     groups = [F.col(g) for g in group_left] + [F.col(f"__r_{g}").alias(g) for g in group_right]
     weighted = joined.select(
         *groups,
