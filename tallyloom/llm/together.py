@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Baskets with more distinct items than this are split into chunks of about this many items.
-CHUNK = 256
+from tallyloom.common import salted_join
+from tallyloom.operators.pairs import CHUNK, HOT_SHARE, pair_counts
+from tallyloom.session import checkpoint_dir
 
 
 def basket_counts(items: DataFrame, basket: str, item: str) -> DataFrame:
@@ -16,48 +17,6 @@ def basket_counts(items: DataFrame, basket: str, item: str) -> DataFrame:
     return items.groupBy(F.col(item).alias("item")).agg(F.count(F.lit(1)).alias("m"))
 
 
-def _pairs_of(lists: DataFrame, left: str, right: str | None) -> DataFrame:
-    """Rows ``item_a < item_b``: within one sorted list, or across two lists of different chunks."""
-    if right is None:
-        firsts = lists.select(F.posexplode(left).alias("at", "item_a"), F.col(left).alias("all"))
-        rest = F.slice("all", F.col("at") + 2, F.greatest(F.size("all") - F.col("at") - 1, F.lit(0)))
-        return firsts.select("item_a", F.explode(rest).alias("item_b"))
-    across = lists.select(F.explode(left).alias("x"), F.col(right).alias("others")).select("x", F.explode("others").alias("y"))
-    return across.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
-
-
-def pair_counts(items: DataFrame, basket: str, item: str, chunk: int = CHUNK) -> DataFrame:
-    """Number of baskets that hold both items, for every pair that occurs: ``item_a < item_b``, ``n``.
-
-    ``items`` must hold each (basket, item) once. Baskets of up to ``chunk``
-    items become one sorted array each, whose pairs are emitted by one task.
-    Larger baskets are split into chunks by a hash of the item; every pair of
-    chunks is a block of its own that any task may take, so a basket with a
-    third of all rows is spread over ``(items / chunk) ** 2 / 2`` blocks and is
-    never gathered. Pairs within a chunk and across two chunks are added to those
-    of ordinary baskets in one aggregation that combines before its shuffle.
-    Nothing is capped: all pairs of all baskets are counted.
-    """
-    rows = items.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull())
-    sizes = rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size"))
-    huge = sizes.where(F.col("size") > chunk).select("basket", F.ceil(F.col("size") / chunk).cast("int").alias("chunks"))
-    # There are at most (rows / chunk) huge baskets; the join strategy is left to the optimiser.
-    ordinary = rows.join(huge.select("basket"), "basket", "left_anti")
-    small = ordinary.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("list")).where(F.size("list") > 1)
-    chunked = rows.join(huge, "basket").withColumn("c", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-    blocks = chunked.select("basket", "item", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
-        "basket", "item", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") <= F.col("o")).alias("first")
-    )
-    lists = blocks.groupBy("basket", "i", "j").agg(
-        F.sort_array(F.collect_list(F.when(F.col("first"), F.col("item")))).alias("left"),
-        F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"),
-    )
-    inside = _pairs_of(lists.where("i = j"), "left", None)
-    across = _pairs_of(lists.where("i < j"), "left", "right")
-    pairs = _pairs_of(small, "list", None).unionByName(inside).unionByName(across)
-    return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
-
-
 def lift(n: Column, total: Column, m_a: Column, m_b: Column) -> Column:
     """How much more often than by chance: ``n * total / (m_a * m_b)``."""
     return n.cast("double") * total / (m_a.cast("double") * m_b)
@@ -80,22 +39,23 @@ def associations(items: DataFrame, basket: str, item: str, least_n: int = 1, lea
     least count itself, and a pair with lift ``L`` needs both counts to be at
     most ``total / L``. This is exact. Co-occurring alone, with no thresholds,
     all pairs come out. An empty table gives no rows.
+
+    The distinct rows and the counts of their items are checkpointed once in the
+    shared folder, as each is used several times.
     """
-    once = items.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct()
+    checkpoint_dir(items.sparkSession)
+    once = items.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where(F.col("basket").isNotNull() & F.col("item").isNotNull()).distinct().checkpoint()
     total = once.agg(F.countDistinct("basket").alias("t")).select("t").scalar()
-    return associations_of(once, total, least_n, least_share, least_lift, chunk)
-
-
-def associations_of(once: DataFrame, total: Column, least_n: int, least_share: int | None, least_lift: int | None, chunk: int = CHUNK) -> DataFrame:
-    """The same for rows that hold each (``basket``, ``item``) once."""
-    m = basket_counts(once, "basket", "item")
+    m = basket_counts(once, "basket", "item").checkpoint()
     fits = F.col("m") >= least_n
     if least_share:
         fits = fits & (F.col("m") * least_share >= total)
     if least_lift:
         fits = fits & (F.col("m") * least_lift <= total)
     kept = m.where(fits)
-    n = pair_counts(once.join(kept.select("item"), "item", "left_semi"), "basket", "item", chunk)
+    # Items with more than a thousandth of all rows, at most 1000, are spread over the join.
+    popular = kept.where(F.col("m") > m.agg(F.sum("m").alias("t")).select("t").scalar() * F.lit(HOT_SHARE))
+    n = pair_counts(salted_join(once, kept.select("item"), ["item"], "left_semi", heavy=popular).checkpoint(), ["basket"], "item", chunk)
     enough = F.col("n") >= least_n
     if least_share:
         enough = enough & (F.col("n") * least_share >= total)
