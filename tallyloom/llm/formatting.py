@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.common import all_of, same
@@ -43,9 +43,10 @@ def hidden_duplicates(spark: SparkSession, df: DataFrame, row_id: str, fields: M
     compared (null equals null). Rows of another content under the same
     fingerprint are grouped again by the fields themselves, so a collision costs
     time but never a wrong pair. Groups with more than ``HEAVY_SHARE`` of all
-    rows, of which there can be few, are joined by broadcast and never gathered
-    in one task. The groups and their members, only records that have copies,
-    are checkpointed in the shared folder, which keeps the plans short.
+    rows, of which there can be few, are broadcast; their rows are told apart
+    before the shuffle of the others and are never gathered in one task. The
+    groups and their members, only records that have copies, are checkpointed
+    in the shared folder, which keeps the plans short.
 
     Output: ``keep_id``, ``copy_id`` (bigint); a record has one copy more than rows here.
     Ids must be unique; rows with a null id cannot be named and are left out. An
@@ -54,24 +55,25 @@ def hidden_duplicates(spark: SparkSession, df: DataFrame, row_id: str, fields: M
     checkpoint_dir(spark)
     names = [f"__f{i}" for i in range(len(fields))]
     a, b = fingerprint(fields)
-    total = df.agg(F.count(F.lit(1))).first()[0]
     rows = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("copy_id"), a.alias("__a"), b.alias("__b"), *[c.alias(n) for c, n in zip(fields.values(), names)])
-    pairs, other = _grouped(rows, ["__a", "__b"], names, names, total)
+    pairs, other = _grouped(rows, ["__a", "__b"], names, names)
     if other.isEmpty():
         return pairs
-    again, _ = _grouped(other, names, names, [], total)
+    again, _ = _grouped(other, names, names, [])
     return pairs.unionByName(again)
 
 
-def _grouped(rows: DataFrame, keys: list[str], names: list[str], check: list[str], total: int) -> tuple[DataFrame, DataFrame | None]:
+def _grouped(rows: DataFrame, keys: list[str], names: list[str], check: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """Pairs of each group by ``keys``, and the rows that differ from the kept one in ``check``."""
-    most = total * HEAVY_SHARE
     kept = [k.replace("__", "__k") for k in keys]
-    groups = rows.groupBy(*keys).agg(F.min("copy_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
-    groups = groups.select(*[F.col(k).alias(n) for k, n in zip(keys, kept)], "keep_id", "n_copies").checkpoint()
+    seen = Observation()
+    sizes = rows.groupBy(*keys).agg(F.min("copy_id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).observe(seen, F.sum("n_copies").alias("rows"))
+    groups = sizes.where("n_copies > 1").select(*[F.col(k).alias(n) for k, n in zip(keys, kept)], "keep_id", "n_copies").checkpoint()
+    most = (seen.get["rows"] or 0) * HEAVY_SHARE
     on = all_of([same(F.col(k), F.col(n)) for k, n in zip(keys, kept)])
-    hot, cold = groups.where(F.col("n_copies") > most), groups.where(F.col("n_copies") <= most)
-    members = rows.join(F.broadcast(hot), on).unionByName(rows.join(cold, on)).select("keep_id", "copy_id", "n_copies", *names).checkpoint()
+    hot, cold = F.broadcast(groups.where(F.col("n_copies") > most)), groups.where(F.col("n_copies") <= most)
+    wanted = ["keep_id", "copy_id", "n_copies", *names]
+    members = rows.join(hot, on).select(*wanted).unionByName(rows.join(hot, on, "left_anti").join(cold, on).select(*wanted)).checkpoint()
     copies = members.where(F.col("copy_id") != F.col("keep_id"))
     if not check:
         return copies.select("keep_id", "copy_id"), None
