@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Evaluation items per pass over the corpus; longer lists are matched in blocks.
+from tallyloom.session import checkpoint_dir
+
+#: Evaluation items per pass over the corpus; longer lists are matched in blocks of about this many.
 BLOCK_ITEMS = 20_000
-#: Blocks in one call; beyond it the items are refused rather than listed on the driver.
-MOST_BLOCKS = 50
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -174,9 +174,12 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     surrounding text. Items shorter than ``run_words`` are one passage with a
     proportionate budget.
 
-    The items are matched against all rows in blocks of ``BLOCK_ITEMS``, each
-    known to every worker; the documents are never shuffled, only the pairs
-    found are. Whole texts are read.
+    The items are matched against all rows in blocks of about ``BLOCK_ITEMS``,
+    each sent to every worker as one broadcast; the documents are never
+    shuffled, only the pairs found are. Whole texts are read. Any number of
+    items is taken: the blocks of a longer list are matched one after another,
+    each reading the corpus once, and the pairs of each are checkpointed, so
+    neither the driver nor a worker holds more than one block.
 
     Output: ``doc_id``, ``item_id`` (bigint), ``edits`` (the least), and
     ``passage_words`` (the longest passage among those); one row per pair.
@@ -185,18 +188,16 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     """
     if not 1 <= run_words <= 64 or not 0 <= max_edits < run_words:
         raise ValueError("run_words must be 1 to 64, max_edits less")
-    rows = items.select(F.col(item_id).cast("bigint"), item_text).where(F.col(item_id).isNotNull()).distinct().limit(BLOCK_ITEMS * MOST_BLOCKS + 1).collect()
-    if len(rows) > BLOCK_ITEMS * MOST_BLOCKS:
-        raise ValueError("too many evaluation items for one call")
-    pairs = sorted((r[0], r[1]) for r in rows if r[1])
+    listed = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id bigint, item_id bigint, edits int, passage_words int"
 
     def block(part):
         token = md5(repr((part, run_words, max_edits)).encode("utf-8", "surrogatepass")).hexdigest()
+        sent = documents.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _passages(token, part, run_words, max_edits)
+            known = _passages(token, sent.value, run_words, max_edits)
             for batch in batches:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 t, item, edits, size = matches(known, batch.column(1).to_pylist())
@@ -204,9 +205,17 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
 
         return slim.mapInArrow(run, schema)
 
-    found = block(pairs[:BLOCK_ITEMS])
-    for i in range(BLOCK_ITEMS, len(pairs), BLOCK_ITEMS):
-        found = found.unionByName(block(pairs[i : i + BLOCK_ITEMS]))
+    count = listed.count()
+    if count <= BLOCK_ITEMS:
+        found = block(sorted((r[0], r[1]) for r in listed.collect()))
+    else:
+        checkpoint_dir(documents.sparkSession)
+        blocks = -(-count // BLOCK_ITEMS)
+        numbered = listed.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).checkpoint()
+        found = None
+        for i in range(blocks):
+            pairs = block(sorted((r[0], r[1]) for r in numbered.where(F.col("block") == i).collect())).checkpoint()
+            found = pairs if found is None else found.unionByName(pairs)
     # Fewest edits first, of these the longest passage; both fit one number.
     best = F.min(F.col("edits") * 1000 - F.col("passage_words"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select(
