@@ -42,49 +42,31 @@ def paragraphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _letters() -> np.ndarray:
-    flags = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
-        if 0xD800 <= c < 0xE000:
-            continue
-        ch = chr(c)
-        if ch.isalpha():
-            flags[c] = 2 if ch.isupper() else 1
-    return flags
+    """For every code point its lower-case letter, 0 where it is none."""
+    codes = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
+            codes[c] = ord(ch.lower()[0])
+    return codes
 
 
-_FLAGS: list[np.ndarray] = []
+_CODES: list[np.ndarray] = []
 
 
 def subwords(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed subwords of all texts: buckets, and the text of each. Order within a text is of no meaning.
 
-    Words that begin with a capital, mostly names, are left out of texts that
-    have other words. A subword is a run of letters within a word, the word's
-    bounds included.
+    A subword is a run of letters of any script within a word, case ignored,
+    the word's bounds included.
     """
-    if not _FLAGS:
-        _FLAGS.append(_letters())
-    flags = _FLAGS[0]
+    if not _CODES:
+        _CODES.append(_letters())
     joined = " " + " ".join(texts) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     owner = np.concatenate([owner[:1], owner]) if len(owner) else np.zeros(len(points), np.int32)
-    kind = flags[np.minimum(points, 0xFFFF)]
-    kind[points > 0xFFFF] = 0
-    letter = kind > 0
-    begins = letter & ~np.concatenate([[False], letter[:-1]])
-    word = np.cumsum(begins)
-    named = np.zeros(int(word[-1]) + 1, bool)
-    named[word[begins]] = kind[begins] == 2
-    plain = letter & ~named[word]
-    has_plain = np.bincount(owner[plain], minlength=len(texts)) > 0
-    used = letter & (~named[word] | ~has_plain[owner])
-    lower = points.copy()
-    upper = kind == 2
-    if upper.any():
-        lower[upper] = [ord(chr(c).lower()[0]) for c in points[upper]]
-    code = np.where(used, lower, 0).astype(np.uint64)
+    code = _CODES[0][points].astype(np.uint64)
     buckets, owners = [], []
     for n in LENGTHS:
         if len(code) < n:
@@ -265,10 +247,23 @@ def training_paragraphs(documents: DataFrame, checked: DataFrame, languages: Seq
     return texts.select("text", "label", "trusted").mapInPandas(cut, "text string, label string, trusted boolean")
 
 
+_fitted: dict[tuple, Model] = {}
+
+
 def fit_languages(documents: DataFrame, checked: DataFrame, languages: Sequence[str] = LANGUAGES) -> Model:
-    """Trains the model on the driver from :func:`training_paragraphs`, whose size the parameters bound."""
-    rows = sorted(tuple(r) for r in training_paragraphs(documents, checked, languages).collect())
-    return train([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], languages)
+    """Trains the model on the driver from :func:`training_paragraphs`, whose size the parameters bound.
+
+    The last model is kept for the same tables of the same application, so that
+    several queries train once.
+    """
+    app = documents.sparkSession.sparkContext.applicationId
+    sizes = (CHECKED_PER_LANGUAGE, STATED_PER_LANGUAGE, PARAGRAPHS_PER_DOCUMENT)
+    key = (app, documents.semanticHash(), checked.semanticHash(), tuple(languages), sizes)
+    if key not in _fitted:
+        rows = sorted(tuple(r) for r in training_paragraphs(documents, checked, languages).collect())
+        _fitted.clear()
+        _fitted[key] = train([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], languages)
+    return _fitted[key]
 
 
 def language_segments(documents: DataFrame, model: Model) -> DataFrame:
@@ -287,8 +282,10 @@ def language_segments(documents: DataFrame, model: Model) -> DataFrame:
     texts, card lists and bare names have no stretch.
     """
     schema = "doc_id bigint, segment_no int, first_char int, last_char int, n_paragraphs int, lang string, confidence double"
+    sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = sent.value
         for pdf in batches:
             ids, spans, texts = [], [], []
             for d, text in zip(pdf["doc_id"], pdf["text"]):

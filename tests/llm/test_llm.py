@@ -407,6 +407,16 @@ def test_stated_language(spark):
     assert [r[0] for r in df.select(languages.stated_language(F.col("l"))).collect()] == ["en", "en", "ja", None, None, None, None, None]
 
 
+def test_letters_of_any_script_and_case():
+    def of(text):
+        return sorted(languages.subwords([text])[0].tolist())
+
+    assert of("Haus AUF") == of("haus auf") != of("haus")
+    assert of("\U00020000\U00020001") and not of("12 ... !") and languages.subwords([])[0].size == 0
+    b, o = languages.subwords(["abc", "", "1", "de"])
+    assert set(o.tolist()) == {0, 3} and sorted(b[o == 3].tolist()) == of("de")
+
+
 def test_training_takes_whole_paragraphs(spark):
     text = " ".join(f"The gate number {i} opens at dusk." for i in range(100))
     docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
