@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "ja", "de", "fr", "es", "it")
 #: Buckets of the hashed subwords, size of their vectors, lengths of the subwords.
-BUCKETS, SIZE, LENGTHS = 1 << 16, 16, (2, 3, 4)
+BUCKET_BITS, SIZE, LENGTHS = 16, 16, (2, 3, 4)
+BUCKETS = 1 << BUCKET_BITS
 #: Labelled documents sampled for training: of each language, by hand-checked label and by stated label.
 CHECKED_PER_LANGUAGE, STATED_PER_LANGUAGE = 400, 400
 #: Paragraphs taken of one sampled document.
 PARAGRAPHS_PER_DOCUMENT = 6
 #: Characters of text embedded at once.
-CHUNK_CHARS = 400_000
+CHUNK_CHARS = 100_000
 
 _LINE = r"(?:\r\n|[\n\r\x0b\x0c\x85  ])"
 _BLANK = re.compile(rf"{_LINE}(?:[^\S\n\r]|[​﻿])*{_LINE}(?:\s|[​﻿])*")
@@ -44,7 +45,8 @@ def paragraphs(text: str) -> list[tuple[int, int, str]]:
 def _letters() -> np.ndarray:
     """For every code point its lower-case letter, 0 where it is none."""
     codes = np.zeros(0x110000, np.uint32)
-    for c in range(0x110000):
+    # Beyond the planes of scripts and ideographs no letter is assigned.
+    for c in range(0x33480):
         if not 0xD800 <= c < 0xE000 and (ch := chr(c)).isalpha():
             codes[c] = ord(ch.lower()[0])
     return codes
@@ -53,12 +55,8 @@ def _letters() -> np.ndarray:
 _CODES: list[np.ndarray] = []
 
 
-def subwords(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed subwords of all texts: buckets, and the text of each. Order within a text is of no meaning.
-
-    A subword is a run of letters of any script within a word, case ignored,
-    the word's bounds included.
-    """
+def _grams(texts: Sequence[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every length of subwords their buckets in the order of the texts, and the text of each."""
     if not _CODES:
         _CODES.append(_letters())
     joined = " " + " ".join(texts) + " "
@@ -66,31 +64,41 @@ def subwords(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     owner = np.concatenate([owner[:1], owner]) if len(owner) else np.zeros(len(points), np.int32)
-    code = _CODES[0][points].astype(np.uint64)
-    buckets, owners = [], []
-    for n in LENGTHS:
-        if len(code) < n:
-            continue
+    code = _CODES[0][points]
+    letter = code > 0
+    out = []
+    h = np.zeros(len(code), np.uint32)
+    some, inner = letter.copy(), None
+    for n in range(1, max(LENGTHS) + 1):
         count = len(code) - n + 1
-        h = np.zeros(count, np.uint64)
-        inner = np.ones(count, bool)
-        some = np.zeros(count, bool)
-        for j in range(n):
-            c = code[j : j + count]
-            h = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-            some |= c > 0
-            if 0 < j < n - 1:
-                inner &= c > 0
-        if n == 2:
-            inner &= (code[:count] > 0) | (code[1 : 1 + count] > 0)
-        good = np.flatnonzero(inner & some)
-        buckets.append((h[good] >> np.uint64(17)).astype(np.int64) % BUCKETS)
-        # A subword with a text's bound in it belongs to the text of its letters.
-        owners.append(owner[good + 1] if n > 2 else np.where(code[good] > 0, owner[good], owner[good + 1]))
-    if not buckets:
+        if count < 1:
+            break
+        # The hash of a longer subword goes on from that of its beginning.
+        h = (h[:count] + code[n - 1 :] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n == 1:
+            continue
+        some = some[:count] | letter[n - 1 :]
+        if n > 2:
+            inner = letter[1 : 1 + count].copy() if n == 3 else inner[:count] & letter[n - 2 : n - 2 + count]
+        if n in LENGTHS:
+            good = np.flatnonzero(some if inner is None else some & inner)
+            # A subword with a text's bound in it belongs to the text of its letters.
+            own = owner[good + 1] if n > 2 else np.where(letter[good], owner[good], owner[good + 1])
+            out.append(((h[good] >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), own))
+    return out
+
+
+def subwords(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed subwords of all texts: buckets, and the text of each, text by text.
+
+    A subword is a run of letters of any script within a word, case ignored,
+    the word's bounds included.
+    """
+    parts = _grams(texts)
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    b, o = np.concatenate(buckets), np.concatenate(owners)
+    b, o = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(o, kind="stable")
     return b[order], o[order]
 
@@ -109,15 +117,23 @@ class Model:
     def confidences(self, texts: Sequence[str]) -> np.ndarray:
         """Calibrated probabilities, one row per text; all zero where a text has no letters."""
         out = np.zeros((len(texts), len(self.languages)))
+        columns = np.ascontiguousarray(self.table.T)
         at = 0
         while at < len(texts):
             to, chars = at, 0
             while to < len(texts) and (to == at or chars + len(texts[to]) <= CHUNK_CHARS):
                 chars += len(texts[to])
                 to += 1
-            b, o = subwords(texts[at:to])
-            n = np.bincount(o, minlength=to - at)
-            total = np.stack([np.bincount(o, self.table[b, k], minlength=to - at) for k in range(len(self.languages))], axis=1)
+            n = np.zeros(to - at, np.int64)
+            total = np.zeros((to - at, len(self.languages)))
+            for b, o in _grams(texts[at:to]):
+                # The texts of the subwords stand in order: sums are differences of running sums.
+                bounds = np.searchsorted(o, np.arange(to - at + 1, dtype=np.int32))
+                n += np.diff(bounds)
+                for k, row in enumerate(columns):
+                    running = np.zeros(len(b) + 1)
+                    np.cumsum(row[b], dtype=np.float64, out=running[1:])
+                    total[:, k] += running[bounds[1:]] - running[bounds[:-1]]
             logits = (total / np.maximum(n, 1)[:, None] + self.offset) / self.temperature
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             out[at:to] = p / p.sum(axis=1, keepdims=True) * (n > 0)[:, None]
@@ -126,7 +142,10 @@ class Model:
 
 
 def _sgd(features, labels, weights, classes, epochs, rate, seed):
-    """Stochastic gradient descent on averaged subword vectors and softmax weights together."""
+    """Stochastic gradient descent on averaged subword vectors and softmax weights together.
+
+    ``features``: for each text its distinct buckets and the share of its subwords in each.
+    """
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     softmax = rng.normal(0, 0.1, (SIZE, classes)).astype(np.float32)
@@ -139,9 +158,10 @@ def _sgd(features, labels, weights, classes, epochs, rate, seed):
             lr = rate * (1 - steps / total)
             steps += 1
             own = order[i : i + batch]
-            sizes = np.array([len(features[k]) for k in own])
-            ids = np.concatenate([features[k] for k in own])
-            mean = np.add.reduceat(vectors[ids], np.append(0, np.cumsum(sizes)[:-1])) / sizes[:, None]
+            ids = np.concatenate([features[k][0] for k in own])
+            share = np.concatenate([features[k][1] for k in own])
+            starts = np.append(0, np.cumsum([len(features[k][0]) for k in own])[:-1])
+            mean = np.add.reduceat(vectors[ids] * share[:, None], starts)
             logits = mean @ softmax + offset
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -150,10 +170,10 @@ def _sgd(features, labels, weights, classes, epochs, rate, seed):
             back = g @ softmax.T
             softmax -= lr * mean.T @ g / batch
             offset -= lr * g.mean(axis=0)
-            unique, inverse = np.unique(ids, return_inverse=True)
-            share = np.zeros((len(unique), len(own)), np.float32)
-            np.add.at(share, (inverse, np.repeat(np.arange(len(own)), sizes)), np.repeat(1.0 / sizes, sizes).astype(np.float32))
-            vectors[unique] -= lr * (share @ back)
+            # A text's buckets are distinct, so its part of the step needs no folding.
+            for k, step in zip(own, lr * back):
+                at, part = features[k]
+                vectors[at] -= part[:, None] * step
     return vectors @ softmax, offset
 
 
@@ -173,7 +193,10 @@ def train(texts: Sequence[str], labels: Sequence[str], trusted: Sequence[bool],
         starts = np.searchsorted(o, np.arange(len(texts[at : at + 200]) + 1))
         parts += [b[i:j].astype(np.int32) for i, j in zip(starts[:-1], starts[1:])]
     keep = [i for i in range(len(texts)) if labels[i] in number and len(parts[i])]
-    features = [parts[i] for i in keep]
+    features = []
+    for i in keep:
+        at, n = np.unique(parts[i], return_counts=True)
+        features.append((at, (n / n.sum()).astype(np.float32)))
     y = np.array([number[labels[i]] for i in keep], np.int64)
     sure = np.array([bool(trusted[i]) for i in keep], bool)
     if not len(y):
@@ -188,7 +211,7 @@ def train(texts: Sequence[str], labels: Sequence[str], trusted: Sequence[bool],
         return _sgd([features[i] for i in use], y[use], w / w.mean(), len(languages), epochs, rate, seed)
 
     def logits(table, offset):
-        return np.stack([table[f].mean(axis=0) + offset for f in features])
+        return np.stack([part @ table[at] + offset for at, part in features])
 
     first = logits(*fit(np.ones(len(y), bool))).argmax(axis=1)
     right = sure | (first == y)
