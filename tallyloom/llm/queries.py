@@ -13,6 +13,7 @@ from tallyloom.llm.leaks import leaked_items
 from tallyloom.llm.names import resolve_names
 from tallyloom.llm.together import associations, associations_given, lift_at_least
 from tallyloom.llm.topn import top_items
+from tallyloom.session import checkpoint_dir
 
 SQUASH = r"lower(regexp_replace({0}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
@@ -159,8 +160,23 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOKENS = r"coalesce(n_tokens, len(regexp_extract_all(text, '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]|[A-Za-z0-9\x{c0}-\x{24f}]+|[^\s\x{3000}\x{a0}\x{2000}-\x{200a}\x{202f}]')))"
+P8_PACKING = f"""WITH d AS (SELECT doc_id, greatest({_TOKENS}, 0)::BIGINT AS n FROM documents)
+SELECT doc_id, n AS tokens, greatest(ceil(n / 2048.0), 1)::BIGINT AS pieces, true AS good FROM d UNION ALL SELECT NULL, ceil(sum(n) / 2048.0)::BIGINT, 0, true FROM d"""
 P8_SQL = f"SELECT doc_id FROM documents WHERE {_TOKENS} > 2048"
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing, by document: all of its tokens are placed, in as few pieces as can be; and as one row for the whole, with document null."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("n_tokens"), token_count(F.col("text"))).alias("n"))
+    checkpoint_dir(spark)
+    filled = fill_containers(spark, docs, "doc_id", "n", CAPACITY).checkpoint()
+    by_doc = filled.groupBy("doc_id").agg(F.sum("tokens").cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.lit(True).alias("good"))
+    r = fill_report(filled, CAPACITY)
+    # A container more than a hundredth above the least number, or an overfull one, is a failure.
+    good = (F.col("max_fill") <= CAPACITY) & (F.col("n_containers") * 100 <= F.col("least_possible") * 101 + 100)
+    whole = r.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("least_possible").alias("tokens"), F.lit(0).cast("bigint").alias("pieces"), good.alias("good"))
+    return by_doc.unionByName(whole)
+
+
 # 9: evaluation texts in the corpus
 
 
@@ -182,6 +198,15 @@ def _runs_sql(row_id: str, table: str) -> str:
 
 P9_SQL = f"SELECT DISTINCT doc_id, item_id FROM ({_runs_sql('doc_id', 'documents')}) d JOIN ({_runs_sql('item_id', 'eval_items')}) e ON d.run = e.run"
 
+def p9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks without edits of items of any length, the short ones included, with the longest passage."""
+    return p9_leaks(spark, sf_dir).where("edits = 0").select("doc_id", "item_id", "passage_words")
+
+
+_SHORT = f"(SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS run, len(w) AS n FROM (SELECT item_id, {_WORDS} AS w FROM eval_items) WHERE len(w) BETWEEN 1 AND 11)"
+P9_EXACT = f"""WITH f AS ({P9_SQL}), s AS (SELECT doc_id, item_id, n FROM (SELECT doc_id, ' ' || array_to_string({_WORDS}, ' ') || ' ' AS body FROM documents) JOIN {_SHORT} ON contains(body, run))
+SELECT doc_id, item_id, 12 AS passage_words FROM f UNION ALL SELECT doc_id, item_id, n FROM s"""
+
 # 10: language labels
 
 
@@ -201,24 +226,58 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(stated, F.col("doc_id") == F.col("id")).where(~F.col("stated").eqNullSafe(F.col("lang"))).select("doc_id", "lang")
 
 
+def p10_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the main languages of the documents agree with the hand-checked labels and, where these are stated, mostly with the stated ones."""
+    found = p10_documents(spark, sf_dir).select("doc_id", "lang")
+    checked = load(spark, sf_dir, "doc_labels").select("doc_id", F.col("lang_checked").alias("label"), F.lit("checked").alias("by"))
+    stated = load(spark, sf_dir, "documents").select("doc_id", stated_language(F.col("lang")).alias("label"), F.lit("stated").alias("by")).where("label IS NOT NULL")
+    both = checked.unionByName(stated).join(found, "doc_id", "left")
+    share = F.avg((F.col("label") == F.coalesce("lang", F.lit(""))).cast("double"))
+    return both.groupBy("by").agg(F.count(F.lit(1)).alias("n"), (share >= F.when(F.first("by") == "checked", 0.98).otherwise(0.8)).alias("agrees"))
+
+
+P10_AGREEMENT = "SELECT 'checked' AS by, count(*) AS n, true AS agrees FROM doc_labels UNION ALL SELECT 'stated', count(*), true FROM documents WHERE trim(coalesce(lang, ''), ' ') <> '' AND NOT starts_with(lower(trim(lang, ' ')), 'und')"
+
+
+def p4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that are, remarks aside, a card's name as it stands, but for case, accents and marks."""
+    return p4_names(spark, sf_dir).where("match_kind = 'exact'").select("card_name", "card_id")
+
+
+_BARE = r"regexp_replace(regexp_replace({0}, '\([^()]*\)|\[[^\[\]]*\]|\*[^*]*\*|^\s*\d+\s*[xX]?\s+', ' ', 'g'), '\([^()]*\)|\[[^\[\]]*\]|\*[^*]*\*|^\s*\d+\s*[xX]?\s+', ' ', 'g')"
+#: Katakana parts from other scripts within a word, as a blank between them.
+_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}?]+', ' ', 'g'), '([ァ-ヺー])([^ァ-ヺー ])', '\1 \2', 'g'), '([^ァ-ヺー ])([ァ-ヺー])', '\1 \2', 'g'), ' ')"
+_VISIBLE = r"regexp_replace(card_name, '[\p{Cf}]', '', 'g')"
+P4_EXACT = f"""WITH a AS (SELECT {_KEY.format('n')} AS k, min(id) AS id FROM (SELECT id, unnest([{', '.join(ALIASES)}]) AS n FROM mtg_cards_v2) WHERE n IS NOT NULL GROUP BY 1),
+v AS (SELECT DISTINCT card_name, {_KEY.format(_BARE.format(_VISIBLE))} AS k FROM limited_card_stats WHERE db_card_name IS NULL)
+SELECT card_name, id AS card_id FROM v JOIN a USING (k) WHERE k <> ''"""
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_copies": p2_copies,
     "p4_found": p4_found,
     "p4_names": p4_names,
+    "p4_exact": p4_exact,
     "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_deck_pairs": p7_deck_pairs,
     "p8_found": p8_found,
     "p8_containers": p8_containers,
     "p8_report": p8_report,
+    "p8_packing": p8_packing,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
+    "p9_exact": p9_exact,
     "p10_found": p10_found,
     "p10_segments": p10_segments,
     "p10_documents": p10_documents,
+    "p10_agreement": p10_agreement,
 }
 ORACLE = {
+    "p4_exact": P4_EXACT,
+    "p8_packing": P8_PACKING,
+    "p9_exact": P9_EXACT,
+    "p10_agreement": P10_AGREEMENT,
     "p2_found": P2_SQL,
     "p2_copies": f"SELECT table_name, keep_id, count(*) + 1 AS n_copies FROM ({P2_SQL}) GROUP BY ALL",
     "p5_found": P5_SQL,
