@@ -7,7 +7,7 @@ C(500, 250) and exact to about 4e-16; results are rounded to six digits.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -72,18 +72,50 @@ def int_array_ok(values: Column, n: Column) -> Column:
     return F.coalesce((F.size(values) == n) & F.forall(values, lambda v: v.isNotNull() & (v >= 0)), F.lit(False))
 
 
-def register_sql(spark: SparkSession) -> list[str]:
-    """Registers the functions for SQL users as one-level SQL functions; gives their names.
+def _comb_sql(n: str, k: str) -> str:
+    small = f"least({k}, {n} - ({k}))"
+    product = f"aggregate(sequence(1, greatest({small}, 1)), 1D, (p, j) -> p * ({n} - {small} + j) / j)"
+    return f"(CASE WHEN {k} < 0 OR {k} > {n} THEN 0D WHEN {small} = 0 THEN 1D ELSE {product} END)"
 
-    They take numbers only, never text that becomes SQL.
+
+def _atleast_sql(n: str, k: str, d: str, m: str) -> str:
+    hits = f"CASE WHEN {m} <= least({k}, {d}) THEN sequence(greatest({m}, 0), greatest({k}, {d}, {m}, 0)) ELSE array() END"
+    total = f"aggregate({hits}, 0D, (t, i) -> t + CASE WHEN i <= least({k}, {d}) THEN {_comb_sql(k, 'i')} * {_comb_sql(f'({n} - {k})', f'({d} - i)')} ELSE 0D END)"
+    return f"CASE WHEN {n} <= 0 OR {d} < 0 OR {d} > {n} OR {k} < 0 OR {k} > {n} THEN NULL WHEN {m} IS NULL THEN NULL WHEN {m} <= 0 THEN 1D ELSE round({total} / {_comb_sql(n, d)}, 6) END"
+
+
+_SEEN_SQL = "(7 - mulligans + greatest(turn - CASE WHEN on_play THEN 1 ELSE 0 END, 0))"
+_DRAWN_SQL = f"least({_SEEN_SQL}, deck)"
+_TURN = ("turn INT", "on_play BOOLEAN", "mulligans INT DEFAULT 0")
+
+
+def register_sql(spark: SparkSession, prefix: str = "mtg_") -> list[str]:
+    """Registers all probability functions for SQL users under ``prefix``; gives their names.
+
+    They take numbers only, never text that becomes SQL. Nested lambdas can't
+    call SQL functions, so each is one expression with the sums written out.
+    ``castable`` and ``hand_prob`` enumerate draws and are Arrow-batched.
     """
+    exact = (
+        "CASE WHEN n <= 0 OR d < 0 OR d > n OR k < 0 OR k > n THEN NULL WHEN m < 0 OR m > d OR m > k OR d - m > n - k THEN 0D "
+        f"ELSE round({_comb_sql('k', 'm')} * {_comb_sql('(n - k)', '(d - m)')} / {_comb_sql('n', 'd')}, 6) END"
+    )
+    both = f"1D - ({_comb_sql('(deck - a)', _DRAWN_SQL)} + {_comb_sql('(deck - b)', _DRAWN_SQL)} - {_comb_sql('(deck - a - b)', _DRAWN_SQL)}) / {_comb_sql('deck', _DRAWN_SQL)}"
     specs = {
-        "ways": (("n INT", "k INT"), "CASE WHEN k < 0 OR k > n THEN 0D WHEN least(k, n - k) = 0 THEN 1D ELSE aggregate(sequence(1, greatest(least(k, n - k), 1)), 1D, (a, j) -> a * (n - least(k, n - k) + j) / j) END"),
-        "cards_seen": (("turn INT", "on_play BOOLEAN", "mulligans INT"), "7 - mulligans + greatest(turn - CASE WHEN on_play THEN 1 ELSE 0 END, 0)"),
+        "comb": (("n INT", "k INT"), "DOUBLE", _comb_sql("n", "k")),
+        "hypergeom_exact": (("n INT", "k INT", "d INT", "m INT"), "DOUBLE", exact),
+        "hypergeom_atleast": (("n INT", "k INT", "d INT", "m INT"), "DOUBLE", _atleast_sql("n", "k", "d", "m")),
+        "cards_seen": (_TURN, "INT", _SEEN_SQL),
+        "prob_by_turn": (("deck INT", "copies INT", "turn INT", "on_play BOOLEAN", "m INT DEFAULT 1", "mulligans INT DEFAULT 0"), "DOUBLE", _atleast_sql("deck", "copies", _DRAWN_SQL, "m")),
+        "land_drops": (("deck INT", "lands INT", *_TURN), "DOUBLE", _atleast_sql("deck", "lands", _DRAWN_SQL, "turn")),
+        "combo_by_turn": (("deck INT", "a INT", "b INT", *_TURN), "DOUBLE", f"CASE WHEN a + b > deck THEN NULL ELSE round({both}, 6) END"),
+        "int_array_ok": (("v ARRAY<INT>", "n INT"), "BOOLEAN", "coalesce(size(v) = n AND forall(v, x -> x IS NOT NULL AND x >= 0), false)"),
     }
-    for name, (args, text) in specs.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(args)}) RETURNS {'DOUBLE' if name == 'ways' else 'INT'} RETURN {text}")
-    return sorted(specs)
+    for name, (args, kind, text) in specs.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({', '.join(args)}) RETURNS {kind} RETURN {text}")
+    spark.udf.register(f"{prefix}castable", _castable_udf())
+    spark.udf.register(f"{prefix}hand_prob", _hand_udf())
+    return sorted(prefix + name for name in (*specs, "castable", "hand_prob"))
 
 
 def _draws(counts: list[int], low: list[int], high: list[int], d: int) -> np.ndarray:
@@ -173,30 +205,52 @@ def hand_value(deck, counts, low, high, turn, on_play, mulligans):
     return _weigh(deck, counts, x, d, np.ones(len(x), bool))
 
 
-def _plain(v):
-    return None if v is None else [_plain(x) if isinstance(x, (list, np.ndarray)) else None if x is None else int(x) for x in v]
+def _key(v):
+    """A value of an argument row as something that can be compared: numbers, and lists of them as tuples."""
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return tuple(_key(x) for x in v)
+    return None if v is None or v is pd.NA or v != v else int(v)
 
 
-def castable(*columns: Column) -> Column:
-    """:func:`castable_value` over columns; an Arrow-batched function, as the enumeration needs arrays of draws."""
+@lru_cache(50_000)
+def _castable_once(*args):
+    return castable_value(*args)
 
+
+@lru_cache(50_000)
+def _hand_once(*args):
+    return hand_value(*args)
+
+
+def _each(once, columns) -> pd.Series:
+    """Each distinct row of arguments is worked out once in a worker."""
+    return pd.Series([once(*map(_key, r)) for r in zip(*columns)], dtype="float64")
+
+
+def _castable_udf():
     @F.pandas_udf("double")
     def run(deck: pd.Series, counts: pd.Series, canpay: pd.Series, need: pd.Series, mana: pd.Series, turn: pd.Series, on_play: pd.Series, mulligans: pd.Series) -> pd.Series:
-        rows = zip(deck, counts, canpay, need, mana, turn, on_play, mulligans)
-        return pd.Series([castable_value(*[None if pd.isna(v) else int(v) for v in (r[0],)], *[_plain(v) for v in r[1:5]], *[None if pd.isna(v) else int(v) for v in r[5:]]) for r in rows], dtype="float64")
+        return _each(_castable_once, (deck, counts, canpay, need, mana, turn, on_play, mulligans))
 
-    return run(*columns)
+    return run
 
 
-def hand(*columns: Column) -> Column:
-    """:func:`hand_value` over columns."""
-
+def _hand_udf():
     @F.pandas_udf("double")
     def run(deck: pd.Series, counts: pd.Series, low: pd.Series, high: pd.Series, turn: pd.Series, on_play: pd.Series, mulligans: pd.Series) -> pd.Series:
-        rows = zip(deck, counts, low, high, turn, on_play, mulligans)
-        return pd.Series([hand_value(*[None if pd.isna(v) else int(v) for v in (r[0],)], *[_plain(v) for v in r[1:4]], *[None if pd.isna(v) else int(v) for v in r[4:]]) for r in rows], dtype="float64")
+        return _each(_hand_once, (deck, counts, low, high, turn, on_play, mulligans))
+
+    return run
 
-    return run(*columns)
+
+def castable(*columns: Column) -> Column:
+    """:func:`castable_value` over columns; Arrow-batched, as the enumeration needs arrays of draws."""
+    return _castable_udf()(*columns)
+
+
+def hand(*columns: Column) -> Column:
+    """:func:`hand_value` over columns."""
+    return _hand_udf()(*columns)
 
 
 def grid(spark: SparkSession, vary: dict[str, list[int]], most: int = 50) -> DataFrame:
@@ -222,3 +276,64 @@ def grid(spark: SparkSession, vary: dict[str, list[int]], most: int = 50) -> Dat
 def grid_table(df: DataFrame, down: str, across: str, value: str, columns: list[int]) -> DataFrame:
     """A two-argument grid as a table: a row per ``down``, a column per value of ``across``."""
     return df.groupBy(down).pivot(across, columns).agg(F.first(value))
+
+
+def grid_markdown(df: DataFrame, vary: dict[str, list[int]], value: str) -> DataFrame:
+    """The lines of a grid's tables in markdown: ``table_no``, ``line_no``, ``line``.
+
+    One argument: a row per value. Two: the first down, the second across.
+    Three: such a table for each value of the third. Values stand in the order
+    given, percent with one digit; undefined ones are a dash. ``df`` has one row
+    per combination (see :func:`grid`), of which there are few.
+    """
+    names = list(vary)
+    lists = [list(dict.fromkeys(v)) for v in vary.values()]
+    cell = F.coalesce(F.concat(F.format_number(F.col(value) * 100, 1), F.lit("%")), F.lit("-"))
+    table = F.lit(0) if len(names) < 3 else F.array_position(F.array(*[F.lit(x) for x in lists[2]]), F.col(names[2])).cast("int") - 1
+    down = F.array_position(F.array(*[F.lit(x) for x in lists[0]]), F.col(names[0])).cast("int")
+    across = F.lit(0) if len(names) < 2 else F.array_position(F.array(*[F.lit(x) for x in lists[1]]), F.col(names[1])).cast("int")
+    bar = lambda first, rest: F.concat(F.lit("| "), F.concat_ws(" | ", first, rest), F.lit(" |"))
+    rows = df.groupBy(table.alias("table_no"), (down + 1).alias("line_no"), F.col(names[0]).alias("__d"), *([F.col(names[2]).alias("__t")] if len(names) > 2 else [])).agg(F.array_sort(F.collect_list(F.struct(across.alias("at"), cell.alias("cell")))).alias("cells"))
+    body = rows.select("table_no", "line_no", bar(F.col("__d").cast("string"), F.col("cells.cell")).alias("line"))
+    heads = [str(x) for x in lists[1]] if len(names) > 1 else [value]
+    corner = F.lit(names[0] if len(names) < 2 else f"{names[0]} \\ {names[1]}")
+    if len(names) > 2:
+        corner = F.concat(corner, F.lit(f" ({names[2]} = "), F.col("__t").cast("string"), F.lit(")"))
+    tables = rows.select("table_no", *(["__t"] if len(names) > 2 else [])).distinct()
+    top = tables.select("table_no", F.lit(0).alias("line_no"), bar(corner, F.array(*[F.lit(h) for h in heads])).alias("line"))
+    rule = tables.select("table_no", F.lit(1).alias("line_no"), F.lit("|" + " --- |" * (len(heads) + 1)).alias("line"))
+    return top.unionByName(rule).unionByName(body)
+
+
+#: What can be asked for (fixed values), and what an answer is: worked out, not such a kind, out of range, or not defined for the input.
+KINDS = ("at_least", "by_turn", "land_drops", "combo_by_turn")
+OK, UNKNOWN_KIND, OUT_OF_RANGE, UNDEFINED = "ok", "unknown kind", "out of range", "undefined"
+
+
+def answer_chances(calls: DataFrame) -> DataFrame:
+    """One answer per call: adds ``status``, ``cards_seen``, ``probability`` (four digits) and ``percent`` (text, one digit).
+
+    ``calls``: ``kind, deck_size, copies, copies_b, draws, turn, on_play,
+    at_least, mulligans``. Argument ranges (fixed values): deck 1 to 500, copies,
+    draws and at_least 0 to the deck, turn 1 to 60, mulligans 0 to 6; a null
+    argument is out of range. A result that is not defined, such as two cards
+    with more copies than the deck holds, is told apart from bad input.
+    """
+    c = F.col
+    deck, turn, play, mull = c("deck_size"), c("turn"), c("on_play"), c("mulligans")
+    within = lambda x, low, high: F.coalesce(x.between(low, high), F.lit(False))
+    fine = within(deck, 1, 500) & within(turn, 1, 60) & within(mull, 0, 6) & play.isNotNull()
+    for name in ("copies", "copies_b", "draws", "at_least"):
+        fine = fine & within(c(name), F.lit(0), deck)
+    seen = F.when(c("kind") == "at_least", c("draws")).otherwise(cards_seen(turn, play, mull))
+    value = (
+        F.when(c("kind") == "at_least", hypergeom_atleast(deck, c("copies"), c("draws"), c("at_least")))
+        .when(c("kind") == "by_turn", prob_by_turn(deck, c("copies"), turn, play, c("at_least"), mull))
+        .when(c("kind") == "land_drops", land_drops(deck, c("copies"), turn, play, mull))
+        .when(c("kind") == "combo_by_turn", combo_by_turn(deck, c("copies"), c("copies_b"), turn, play, mull))
+    )
+    known = F.coalesce(c("kind").isin(list(KINDS)), F.lit(False))
+    status = F.when(~known, UNKNOWN_KIND).when(~fine, OUT_OF_RANGE)
+    out = calls.withColumn("__p", F.when(known & fine, value)).withColumn("status", F.coalesce(status, F.when(c("__p").isNull(), UNDEFINED).otherwise(OK)))
+    good = c("status") == OK
+    return out.select("*", F.when(good, seen).alias("cards_seen"), F.when(good, F.round("__p", 4)).alias("probability"), F.when(good, F.concat(F.format_number(F.round(c("__p") * 100, 1), 1), F.lit("%"))).alias("percent")).drop("__p")

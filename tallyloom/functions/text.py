@@ -23,7 +23,8 @@ STOP_WORDS = (
     "s she so some such t than that the their them then there these they this those to too under until up very was we were what when where which while who will with you your"
 ).split()
 
-_NOISE = r"[\s,、・'’\"\-‐–—.:：/!！?？()（）「」『』《》]+"
+#: What does not count when names are compared: blanks, invisible characters and punctuation of any script, but for signs that stand for a word.
+MARKS = r"(?:[^\P{P}&*#%@\\_]|[\p{Z}\p{C}\s])+"
 
 
 def trigrams(c: Column) -> Column:
@@ -68,7 +69,7 @@ def nfkc(values: pd.Series) -> pd.Series:
 
 def name_form(c: Column) -> Column:
     """Form in which names are compared: NFKC, lower case, without blanks and marks."""
-    return F.regexp_replace(F.lower(nfkc(c)), _NOISE, "")
+    return F.regexp_replace(F.lower(nfkc(c)), MARKS, "")
 
 
 @F.pandas_udf(_T.StringType())
@@ -155,45 +156,6 @@ def search_tokens(values: pd.Series) -> pd.Series:
     return values.map(stems)
 
 
-def score_names(key: str, names: list[str]) -> float:
-    """How near a typed name is to the names of one entry, 0 to 1.
-
-    1 equal without marks; 0.9 the key is part of a name (0.6 for up to three
-    characters); 0.85 a name is part of the key; between 0.5 and 0.8 by the share
-    of the key's words found in a name; else the order-sensitive ratio. Parts of
-    ASCII names count at bounds of words only. Short keys get no ratio.
-    """
-    clean = lambda s: re.sub(_NOISE, "", unicodedata.normalize("NFKC", s or "").lower())
-    split = lambda s: re.findall("[a-z0-9]+", unicodedata.normalize("NFKC", s or "").lower())
-    run = lambda a, b: bool(b) and f" {' '.join(b)} " in f" {' '.join(a)} "
-    k = clean(key)
-    if not k:
-        return 0.0
-    plain, short = k.isascii(), len(k) <= 3
-    parts = [w for w in split(key) if len(w) > 1] if plain else [p for p in map(clean, key.split()) if len(p) > 1]
-    best = 0.0
-    for name in names:
-        n = clean(name)
-        if not n:
-            continue
-        if n == k:
-            return 1.0
-        words = split(name) if plain else []
-        if run(words, split(key)) if plain else len(k) > 1 and k in n:
-            score = 0.6 if short else 0.9
-        elif short:
-            score = 0.0
-        elif run(split(key), words) if plain else len(n) > 1 and n in k:
-            score = 0.85
-        else:
-            found = sum(p in words if plain else p in n for p in parts)
-            some = 0.5 + 0.3 * found / len(parts) if len(parts) > 1 and found else 0.0
-            score = max(some, difflib.SequenceMatcher(None, k, n).ratio())
-        best = max(best, score)
-    return best
-
-
-@F.pandas_udf(_T.DoubleType())
-def name_score(key: pd.Series, names: pd.Series) -> pd.Series:
-    """:func:`score_names` over a column of keys and a column of arrays of names."""
-    return pd.Series([None if k is None else score_names(k, [n for n in (v if v is not None else []) if n]) for k, v in zip(key, names)], dtype="float64")
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What :func:`sequence_ratio` can be at most, by the lengths alone."""
+    return 2.0 * F.least(F.length(a), F.length(b)) / F.nullif(F.length(a) + F.length(b), F.lit(0))

@@ -14,14 +14,15 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.pairs import cross_counts, pair_counts
+
 RECENT_DAYS = 90
 
 
 def _reprint(baskets: DataFrame, official: str, aggregator: str, marker: str) -> DataFrame:
     """Baskets with the flag ``reprint``: null where it can't be told."""
     first = baskets.where(F.col("source").like(f"{official}%")).groupBy("format").agg(F.min("day").alias("first_official"))
-    # One row per format.
-    return baskets.join(F.broadcast(first), "format", "left").withColumn(
+    return baskets.join(first, "format", "left").withColumn(
         "reprint", F.col("source").like(f"{aggregator}%") & F.col("event").like(f"{marker}%") & (F.col("day") >= F.col("first_official"))
     ).drop("first_official")
 
@@ -82,7 +83,7 @@ def population_windows(populations: DataFrame, baskets: DataFrame, end: date, da
     """Half-open windows ``[window_start, window_end)``; null bounds are open, also where a format has no dates."""
     dated = baskets.where(F.col("day").isNotNull()).select("format").distinct().withColumn("dated", F.lit(True))
     start = F.when(F.col("window_code") != "all", F.lit(end - timedelta(days=days)))
-    return populations.join(F.broadcast(dated), "format", "left").withColumn("window_start", start).withColumn("window_end", F.when(F.col("dated"), F.lit(end))).drop("dated")
+    return populations.join(dated, "format", "left").withColumn("window_start", start).withColumn("window_end", F.when(F.col("dated"), F.lit(end))).drop("dated")
 
 
 def windowed_baskets(windows: DataFrame, baskets: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def item_sets(reps: DataFrame, lines: DataFrame, windows: DataFrame, excluded: D
     """
     known = lines.where(F.col("item").isNotNull()).join(excluded.select("item"), "item", "left_anti").select("basket", "board", "item")
     flags = windows.select("population_id", "has_side", "merge_extra")
-    joined = reps.select("population_id", "basket").join(F.broadcast(flags), "population_id").join(known, "basket")
+    joined = reps.select("population_id", "basket").join(flags, "population_id").join(known, "basket")
     main = joined.where((F.col("board") == "main") | ((F.col("board") == "commander") & F.col("merge_extra")))
     side = joined.where((F.col("board") == "side") & F.col("has_side"))
     return tuple(x.select("population_id", "basket", "item").distinct() for x in (main, side))
@@ -116,29 +117,35 @@ def denominators(main: DataFrame, side: DataFrame, windows: DataFrame) -> DataFr
     """Baskets per population and item: main count, and side count (null where the population has no side)."""
     both = main.select("population_id", "item", F.lit(1).alias("m"), F.lit(0).alias("s")).unionByName(side.select("population_id", "item", F.lit(0).alias("m"), F.lit(1).alias("s")))
     summed = both.groupBy("population_id", "item").agg(F.sum("m").alias("main_count"), F.sum("s").alias("side"))
-    return summed.join(F.broadcast(windows.select("population_id", "has_side")), "population_id").select("population_id", "item", "main_count", F.when(F.col("has_side"), F.col("side")).alias("side_count"))
+    return summed.join(windows.select("population_id", "has_side"), "population_id").select("population_id", "item", "main_count", F.when(F.col("has_side"), F.col("side")).alias("side_count"))
 
 
 def population_pairs(main: DataFrame, side: DataFrame, windows: DataFrame) -> DataFrame:
-    """Pairs with their number of baskets: ``m`` main-main with a < b, ``s`` main-side directed; only from each population's floor up."""
-    a, b = main.alias("a"), main.alias("b")
-    on = (F.col("a.population_id") == F.col("b.population_id")) & (F.col("a.basket") == F.col("b.basket"))
-    one = a.join(b, on & (F.col("a.item") < F.col("b.item"))).select("a.population_id", F.lit("m").alias("relation"), F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
-    s = side.alias("b")
-    two = a.join(s, on).select("a.population_id", F.lit("s").alias("relation"), F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b"))
-    counted = one.unionByName(two).groupBy("population_id", "relation", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(windows.select("population_id", "floor")), "population_id").where("n >= floor").drop("floor")
+    """Pairs with their number of baskets: ``m`` main-main with a < b, ``s`` main-side directed; only from each population's floor up.
+
+    A pair is in no more baskets than either of its items, so items below the
+    floor of their population leave before any pair is made. Main and side are
+    read several times and should be written tables.
+    """
+    floors = windows.select("population_id", "floor")
+    common = lambda d: d.groupBy("population_id", "item").agg(F.count(F.lit(1)).alias("m")).join(floors, "population_id").where("m >= floor").select("population_id", "item")
+    a, b = (d.join(common(d), ["population_id", "item"], "left_semi") for d in (main, side))
+    scope = ["population_id"]
+    one = pair_counts(a, ["population_id", "basket"], "item", scope=scope).withColumn("relation", F.lit("m"))
+    two = cross_counts(a, b, ["population_id", "basket"], "item", scope=scope).withColumn("relation", F.lit("s"))
+    counted = one.unionByName(two).select("population_id", "relation", "item_a", "item_b", "n")
+    return counted.join(floors, "population_id").where("n >= floor").drop("floor")
 
 
 def consistency(reps: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per population: lists, and how many counts, pairs without counts, and impossible pairs there are. Good ones have three zeros."""
     n = reps.groupBy("population_id").agg(F.count(F.lit(1)).alias("n_lists"))
-    bad_counts = counts.join(F.broadcast(n), "population_id", "left").groupBy("population_id").agg(
+    bad_counts = counts.join(n, "population_id", "left").groupBy("population_id").agg(
         F.count_if((F.col("main_count") > F.coalesce("n_lists", F.lit(0))) | (F.col("side_count") > F.coalesce("n_lists", F.lit(0)))).alias("bad_counts")
     )
     a = counts.select("population_id", F.col("item").alias("item_a"), F.col("main_count").alias("ma"))
     b = counts.select("population_id", F.col("item").alias("item_b"), F.col("main_count").alias("mb"), F.col("side_count").alias("sb"))
-    ends = pairs.join(a, ["population_id", "item_a"], "left").join(b, ["population_id", "item_b"], "left").join(F.broadcast(n), "population_id", "left")
+    ends = pairs.join(a, ["population_id", "item_a"], "left").join(b, ["population_id", "item_b"], "left").join(n, "population_id", "left")
     nb = F.when(F.col("relation") == "m", F.col("mb")).otherwise(F.col("sb"))
     judged = ends.withColumn("nb", nb).groupBy("population_id").agg(
         F.count_if(F.col("ma").isNull() | F.col("nb").isNull()).alias("orphan_pairs"),
@@ -153,15 +160,18 @@ def publishable(checked: DataFrame) -> DataFrame:
 
 
 def population_stats(windows: DataFrame, raw: DataFrame, reps: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per population: window, dates, raw and kept lists, rows, and kept lists by source as a map."""
+    """One row per population: window, dates, raw and kept lists, rows, and raw and kept lists by source as maps in order of the source; lists of no source are in the totals only."""
     r = raw.groupBy("population_id").agg(F.min("day").alias("first_day"), F.max("day").alias("latest_day"), F.count(F.lit(1)).alias("raw_count"))
     k = reps.groupBy("population_id").agg(F.count(F.lit(1)).alias("deck_count"), F.count_if("has_unresolved").alias("unresolved_count"))
-    by = reps.groupBy("population_id", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("population_id").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("kept"))
-    by = by.select("population_id", F.map_from_entries("kept").alias("kept_by_source"))
+
+    def by_source(df: DataFrame, name: str) -> DataFrame:
+        counted = df.where(F.col("source").isNotNull()).groupBy("population_id", "source").agg(F.count(F.lit(1)).alias("n"))
+        return counted.groupBy("population_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias(name))
+
     c = counts.groupBy("population_id").agg(F.count(F.lit(1)).alias("card_rows"))
     p = pairs.groupBy("population_id").agg(F.count(F.lit(1)).alias("pair_rows"))
     out = windows.select("population_id", "window_start", "window_end")
-    for part in (r, k, by, c, p):
+    for part in (r, k, by_source(raw, "raw_by_source"), by_source(reps, "kept_by_source"), c, p):
         out = out.join(part, "population_id", "left")
     return out.fillna(0, ["raw_count", "deck_count", "unresolved_count", "card_rows", "pair_rows"])
 
@@ -229,11 +239,12 @@ def readiness(stats: DataFrame, counts: DataFrame, now: Column, stale_days: int
     return joined.select("population_id", F.when(broken, "not ready").when(old, "stale").otherwise("ready").alias("state"))
 
 
-def colour_partners(baskets: DataFrame, lines: DataFrame, cards: DataFrame, anchor: int, board: str = "main", least_with: int = 3, excluded: str = "Basic Land") -> DataFrame:
+def colour_partners(baskets: DataFrame, lines: DataFrame, cards: DataFrame, anchor: int | Column, board: str = "main", least_with: int = 3, excluded: str = "Basic Land") -> DataFrame:
     """Partners of one item against lists that have at least the item's colours.
 
     Lists are deduplicated by their plain signature. Shares in percent; ``ratio``
     is the share with the anchor over the share in lists of those colours.
+    ``anchor`` may be a scalar subquery.
     """
     kept = basket_lines(lines.join(baskets.select("basket"), "basket", "left_semi"))
     first = plain_signatures(kept).groupBy("sig").agg(F.min("basket").alias("basket")).select("basket")
@@ -266,7 +277,7 @@ def adoption(baskets: DataFrame, lines: DataFrame, cards: DataFrame, excluded: s
     kinds = cards.where(~F.lower("type_line").contains(excluded)).select(F.col("id").alias("item"))
     main = lines.where((F.col("board") == "main") & F.col("item").isNotNull()).select("basket", "item").distinct()
     played = main.join(kinds, "item").join(baskets.where(F.col("format").isNotNull()).select("basket", "format"), "basket").groupBy("item", "format").agg(F.count(F.lit(1)).alias("play_decks"))
-    return played.join(F.broadcast(total), "format").withColumn("rate", F.round(F.col("play_decks") / F.col("total_decks"), 6))
+    return played.join(total, "format").withColumn("rate", F.round(F.col("play_decks") / F.col("total_decks"), 6))
 
 
 def constant_populations(formats: Sequence[str], first: int = 1) -> list[tuple[int, str, str, int]]:

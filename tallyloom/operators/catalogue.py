@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.common import reach_workers
+from tallyloom.session import checkpoint_dir
 
 
 def printings(rows: DataFrame, key: str, set_code: str, released: str, local: str, digital: str) -> DataFrame:
@@ -101,6 +102,17 @@ def face_filter(faces: Column, castable: Column | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda f: F.coalesce(f["oracle_text"], F.lit(""))), "\n//\n")
 
 
+def front_keywords(df: DataFrame, key: str, text: Column, vocabulary: DataFrame, word: str) -> DataFrame:
+    """Which words of a vocabulary stand in the front of each text (up to ``//``), ignoring case: ``key``, ``words``, sorted.
+
+    The words of the texts meet the vocabulary in an equality join, so either may be long. A text without any has an empty array.
+    """
+    front = F.lower(F.split_part(text, F.lit(" // "), F.lit(1)))
+    words = df.select(key, F.explode(F.array_distinct(F.split(front, r"[^\p{L}\p{N}]+"))).alias("__w")).where("__w <> ''")
+    found = words.join(vocabulary.select(F.lower(word).alias("__w")).distinct(), "__w", "left_semi").groupBy(key).agg(F.array_sort(F.collect_list("__w")).alias("words"))
+    return df.select(key).join(found, key, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
 def encode_codes(df: DataFrame, version: str, scope: str, names: Column) -> DataFrame:
     """A state as text: version, scope, number of names, check sum and names, joined by a bar."""
     head = F.concat_ws("|", F.lit(version), F.col(scope), F.size(names).cast("string"))
@@ -186,6 +198,88 @@ def name_forms(cards: Iterable[Row]) -> list[tuple[str, str]]:
     return [x for part in (*by_rank, local) for x in part]
 
 
+#: Names a worker holds at once; a longer dictionary is matched in blocks of about this many.
+BLOCK_NAMES = 200_000
+
+
+def name_dictionary(cards: DataFrame) -> DataFrame:
+    """The dictionary of :func:`name_forms` as a table, in lower case, the forms themselves included: ``name``, ``form``."""
+    (whole, front, back), (local, local_front, local_back) = NAME_COLUMNS
+    blank = lambda c: F.nullif(c, F.lit(""))
+    en = F.coalesce(blank(F.col(front)), F.split_part(whole, F.lit(" // "), F.lit(1)))
+    ja = F.coalesce(blank(F.col(local_front)), blank(F.split_part(F.coalesce(local, F.lit("")), F.lit(" // "), F.lit(1))))
+    form = lambda e, j: F.when(j.isNotNull(), F.concat(F.lit("《"), j, F.lit("/"), e, F.lit("》"))).otherwise(e)
+    of_front, of_back = form(en, ja), form(F.col(back), blank(F.col(local_back)))
+    named = [(whole, of_front, 0, 0, None), (front, of_front, 1, 1, None), (back, of_back, 2, 2, None), (local, of_front, 3, 0, whole), (local_front, of_front, 3, 1, front), (local_back, of_back, 3, 2, back)]
+    rows = []
+    for name, shown, part, rank, needs in named:
+        there = F.coalesce(F.col(name) != "", F.lit(False)) & (F.coalesce(F.col(needs) != "", F.lit(False)) if needs else F.lit(True))
+        for offset, text in ((0, F.col(name)), (4, shown)):
+            rows.append(F.when(there, F.struct(F.lower(text).alias("name"), F.lit(part + offset).alias("part"), F.col("digital"), F.col(whole).alias("c"), F.lit(rank).alias("rank"), shown.alias("form"))))
+    flat = cards.select(F.explode(F.array_compact(F.array(*rows))).alias("r"))
+    return flat.groupBy("r.name").agg(F.min(F.struct("r.part", "r.digital", "r.c", "r.rank", "r.form")).alias("b")).select("name", F.col("b.form").alias("form"))
+
+
+def _low(text: str) -> str:
+    """Lower case that keeps every position."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+class _Dictionary:
+    """Names in lower case with their forms, and one automaton over them."""
+
+    def __init__(self, known: dict[str, str]):
+        import ahocorasick
+
+        self.known = known
+        self.tree = ahocorasick.Automaton()
+        for n in known:
+            self.tree.add_word(n, n)
+        if known:
+            self.tree.make_automaton()
+
+    def find(self, t: str) -> list[tuple[int, int, int, str | None]]:
+        """All mentions of a text: begin, end, level, form. Level 0 to 2 and up: brackets known as a whole, without them, by a part; -1: bare."""
+        out: list[tuple[int, int, int, str | None]] = []
+        for m in re.finditer("《[^《》]*》", t):
+            inner = m.group()[1:-1]
+            tries = [m.group(), inner, *[p.strip() for p in inner.split("/")]]
+            level = next((i for i, x in enumerate(tries) if _low(x) in self.known), None)
+            out.append((m.start(), m.end(), UNKNOWN if level is None else level, None if level is None else self.known[_low(tries[level])]))
+        for end, n in self.tree.iter(_low(t)) if self.known else ():
+            a, b = end - len(n) + 1, end + 1
+            if _stands_bare(n) and _ends_word(n[0], t[a - 1 : a]) and _ends_word(n[-1], t[b : b + 1]):
+                out.append((a, b, BARE, self.known[n]))
+        return out
+
+
+#: Levels of brackets that hold no known name, and of names outside of brackets.
+UNKNOWN, BARE = 1 << 20, -1
+
+
+def _settle(found, written) -> list[tuple[int, str, str | None, str]]:
+    """Mentions that count: of the findings of one bracket the lowest level, of overlapping bare names the longest, of equals the first."""
+    best: dict[tuple[int, int], tuple[int, str | None]] = {}
+    bare = []
+    for a, b, level, form in found:
+        if level == BARE:
+            bare.append((a - b, a, b, form))
+        elif (a, b) not in best or level < best[a, b][0]:
+            best[a, b] = (level, form)
+    rows, taken = [], sorted(best)
+    for (a, b), (_, form) in sorted(best.items()):
+        rows.append((a, written(a, b), form, "unknown" if form is None else "ok" if form == written(a, b) else "rewrite"))
+    for _, a, b, form in sorted(bare):
+        if all(b <= x or a >= y for x, y in taken):
+            taken.append((a, b))
+            rows.append((a, written(a, b), form, "bare"))
+    return rows
+
+
+_MENTIONS = "key bigint, at int, written string, canonical string, state string"
+
+
 def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple[str, str]]) -> DataFrame:
     """Names written in texts against a dictionary of (name, canonical form): ``key, at, written, canonical, state``.
 
@@ -194,43 +288,86 @@ def verify_mentions(texts: DataFrame, key: str, text: str, names: Sequence[tuple
     of less than five letters and Japanese ones of one character. Names in Japanese
     script are found inside running text, others as whole words. Of overlapping
     names the longest counts, of entries with the same name the first. The dictionary
-    is compiled to one automaton per worker; its size is the caller's bound.
+    is compiled to one automaton per worker; its size is the caller's bound (see
+    :func:`verify_texts` for any size).
     """
-    pairs = list(dict.fromkeys(names))
+    known: dict[str, str] = {}
+    for n, c in [*names, *((c, c) for _, c in names)]:
+        known.setdefault(_low(n), c)
+    return _verified(texts, key, text, known)
+
+
+def _verified(texts: DataFrame, key: str, text: str, known: dict[str, str]) -> DataFrame:
     reach_workers(texts.sparkSession)
+    sent = texts.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+        dictionary = _Dictionary(sent.value)
+        for pdf in batches:
+            rows = [(k, *r) for k, t in zip(pdf["key"], pdf["text"]) if t for r in _settle(dictionary.find(t), lambda a, b, t=t: t[a:b])]
+            yield pd.DataFrame(rows, columns=["key", "at", "written", "canonical", "state"])
 
-        known: dict[str, str] = {}
-        for n, c in [*pairs, *((c, c) for _, c in pairs)]:
-            known.setdefault(n.lower(), c)
-        tree = ahocorasick.Automaton()
-        for n in known:
-            tree.add_word(n, n)
-        if known:
-            tree.make_automaton()
+    return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, _MENTIONS)
+
+
+def verify_texts(texts: DataFrame, key: str, text: str, cards: DataFrame) -> DataFrame:
+    """:func:`verify_mentions` against all names of ``cards``, however many.
+
+    Up to ``BLOCK_NAMES`` names go to every worker as one broadcast. More are
+    matched block by block: each pass gives all findings of its block, which
+    are checkpointed, and the findings of a text, which its length bounds, are
+    settled together. Texts need unique keys there.
+    """
+    checkpoint_dir(texts.sparkSession)
+    names = name_dictionary(cards).checkpoint()
+    count = names.count()
+    if count <= BLOCK_NAMES:
+        return _verified(texts, key, text, {r["name"]: r["form"] for r in names.collect()})
+    reach_workers(texts.sparkSession)
+    blocks = -(-count // BLOCK_NAMES)
+    slim = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
+
+    def found_in(block: DataFrame):
+        sent = texts.sparkSession.sparkContext.broadcast({r["name"]: r["form"] for r in block.collect()})
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dictionary = _Dictionary(sent.value)
+            for pdf in batches:
+                rows = [(k, a, b, level, form, t[a:b]) for k, t in zip(pdf["key"], pdf["text"]) for a, b, level, form in dictionary.find(t)]
+                yield pd.DataFrame(rows, columns=["key", "a", "b", "level", "form", "written"])
+
+        return slim.mapInPandas(run, "key bigint, a int, b int, level int, form string, written string").checkpoint()
+
+    parts = [found_in(names.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == i)) for i in range(blocks)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    grouped = every.groupBy("key").agg(F.collect_list(F.struct("a", "b", "level", "form", "written")).alias("found"))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for k, t in zip(pdf["key"], pdf["text"]):
-                t = t or ""
-                taken = [(m.start(), m.end()) for m in re.finditer("《[^《》]*》", t)]
-                for a, b in taken:
-                    inner = t[a + 1 : b - 1]
-                    full = known.get(t[a:b].lower()) or known.get(inner.lower()) or next((known[p.strip().lower()] for p in inner.split("/") if p.strip().lower() in known), None)
-                    rows.append((k, a, t[a:b], full, "unknown" if full is None else "ok" if full == t[a:b] else "rewrite"))
-                found = []
-                for end, n in tree.iter(t.lower()) if known else ():
-                    a, b = end - len(n) + 1, end + 1
-                    if _stands_bare(n) and _ends_word(n[0], t[a - 1 : a]) and _ends_word(n[-1], t[b : b + 1]):
-                        found.append((-len(n), a, b, n))
-                for _, a, b, n in sorted(found):
-                    if all(b <= x or a >= y for x, y in taken):
-                        taken.append((a, b))
-                        rows.append((k, a, t[a:b], known[n], "bare"))
+            for k, found in zip(pdf["key"], pdf["found"]):
+                words = {(f["a"], f["b"]): f["written"] for f in found}
+                rows += [(k, *r) for r in _settle([(f["a"], f["b"], f["level"], f["form"]) for f in found], lambda a, b, w=words: w[a, b])]
             yield pd.DataFrame(rows, columns=["key", "at", "written", "canonical", "state"])
 
-    return texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key bigint, at int, written string, canonical string, state string")
+    return grouped.mapInPandas(settle, _MENTIONS)
+
+
+def rewritten(texts: DataFrame, key: str, text: str, mentions: DataFrame) -> DataFrame:
+    """Texts with every ``rewrite`` and ``bare`` mention replaced by its canonical form: ``key``, ``text``, ``n_changed``.
+
+    Native: the places of a text, in order, cut it into pieces that are joined with the forms between them.
+    """
+    wrong = mentions.where("state IN ('rewrite', 'bare')").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "written", "canonical"))).alias("m"))
+    joined = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wrong, "key", "left")
+    start = F.struct(F.lit(1).alias("pos"), F.lit("").alias("out"))
+    step = lambda acc, m: F.struct(
+        (m["at"] + F.length(m["written"]) + 1).alias("pos"), F.concat(acc["out"], F.substr(F.col("text"), acc["pos"], m["at"] + 1 - acc["pos"]), m["canonical"]).alias("out")
+    )
+    end = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["pos"]))
+    return joined.select("key", F.when(F.col("m").isNull(), F.col("text")).otherwise(F.aggregate("m", start, step, end)).alias("text"), F.coalesce(F.size("m"), F.lit(0)).alias("n_changed"))
 
 
 def fidelity(found: DataFrame) -> DataFrame:
@@ -239,9 +376,13 @@ def fidelity(found: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(n.alias("n"), F.round(F.count_if(F.col("state") == "ok") / n, 4).alias("faithful"))
 
 
+#: Layouts of items that a pool can place (fixed values).
+LAYOUTS = ("normal", "adventure", "modal_dfc", "split", "transform", "flip", "saga", "class", "leveler", "mutate", "prototype")
+
+
 def classify(forms: Column, type_line: Column, cost: Column) -> Column:
     """Bucket of an item in a pool: ``lands``, ``curve``, ``not castable`` (no cost), or ``unclassified`` (unknown layout)."""
-    known = forms.isin("normal", "adventure", "modal_dfc", "split", "transform", "flip", "saga", "class", "leveler", "mutate", "prototype")
+    known = forms.isin(list(LAYOUTS))
     return F.when(~known | forms.isNull(), "unclassified").when(F.coalesce(type_line.contains("Land"), F.lit(False)), "lands").when(cost.isNull(), "not castable").otherwise("curve")
 
 
@@ -249,3 +390,19 @@ def pool_summary(pool: DataFrame, bucket: Column, value: Column) -> DataFrame:
     """Items by bucket and curve value; the counts add up to the pool."""
     v = F.when(bucket == "curve", F.least(value.cast("int"), F.lit(7)))
     return pool.groupBy(bucket.alias("bucket"), v.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def pool_facets(pool: DataFrame, bucket: Column, value: Column, colours: Column, type_line: Column, types: Sequence[str]) -> DataFrame:
+    """A pool by bucket, curve value, colours and types: ``facet, member, n``.
+
+    Buckets, curve and colour groups (the colours together, ``C`` for none) each
+    add up to their part of the pool. ``colour`` counts an item once under each
+    of its colours, ``type`` under each of its types (``other`` for none).
+    """
+    of = lambda facet, member: F.struct(F.lit(facet).alias("facet"), member.alias("member"))
+    have = F.coalesce(colours, F.array().cast("array<string>"))
+    line = F.coalesce(type_line, F.lit(""))
+    kinds = F.filter(F.array(*[F.lit(t) for t in types]), lambda t: F.contains(line, t))
+    single = F.array(of("bucket", bucket), of("curve", F.when(bucket == "curve", F.least(value.cast("int"), F.lit(7)).cast("string"))), of("colours", F.when(F.size(have) > 0, F.array_join(F.array_sort(have), "")).otherwise(F.lit("C"))))
+    many = F.concat(F.transform(F.array_distinct(have), lambda c: of("colour", c)), F.transform(F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit("other"))), lambda t: of("type", t)))
+    return pool.select(F.inline(F.concat(single, many))).where("member IS NOT NULL").groupBy("facet", "member").agg(F.count(F.lit(1)).alias("n"))

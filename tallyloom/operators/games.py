@@ -92,11 +92,6 @@ def pick_means(df: DataFrame, pick: str, main: str, side: str, wins: str, losses
     )
 
 
-def merge_stats(games: DataFrame, picks: DataFrame) -> DataFrame:
-    """Game and pick statistics of every item that has either."""
-    return games.join(picks, "item", "outer")
-
-
 def two_group_table(colours: DataFrame, scope: str, code: str = "main_colors") -> DataFrame:
     """Two-letter groups without a splash: share of the scope's games and win rate beside the scope's own."""
     w = Window.partitionBy(scope)
@@ -105,40 +100,58 @@ def two_group_table(colours: DataFrame, scope: str, code: str = "main_colors") -
     return two.select(scope, code, "games", F.round(100.0 * F.col("games") / F.sum("games").over(w), 2).alias("share_pct"), F.round(F.col("wins") / F.nullif(F.col("games"), F.lit(0)), 4).alias("wr"), "baseline_wr")
 
 
-def attach_stats(items: DataFrame, stats: DataFrame, key: str, scope: str, allowed: Sequence[str]) -> DataFrame:
-    """Statistics of allowed scopes beside each item, and where else the item has any. Duplicate keys are an error, not a choice."""
+def attach_stats(items: DataFrame, stats: DataFrame, key: str, scope: str, allowed: Sequence[str] | DataFrame) -> DataFrame:
+    """Statistics of allowed scopes (a list, or a table of them) beside each item, and where else the item has any. Duplicate keys are an error, not a choice."""
     twice = stats.groupBy(key, scope).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m")).select("m").scalar()
-    inside = F.col(scope).isin(list(allowed))
+    if isinstance(allowed, DataFrame):
+        stats = stats.join(allowed.select(scope).distinct().withColumn("__in", F.lit(True)), scope, "left")
+        inside = F.coalesce("__in", F.lit(False))
+    else:
+        inside = F.col(scope).isin(list(allowed))
     by = stats.groupBy(key).agg(F.array_sort(F.collect_list(F.when(inside, F.struct(scope, "gih_games", "gih_wr")))).alias("stats"), F.array_sort(F.collect_set(F.when(~inside, F.col(scope)))).alias("elsewhere"))
     checked = F.when(F.coalesce(twice, F.lit(1)) > 1, F.raise_error(F.lit("duplicate statistics key")).cast("boolean")).otherwise(F.lit(True))
     return items.join(by, key, "left").where(checked).withColumn("has_stats", F.coalesce(F.size("stats") > 0, F.lit(False)))
 
 
-def resolve_scope(text: str, scopes: DataFrame, code: str, name: str, prefixes: Sequence[str] = ("limited", "quickdraft", "premierdraft", "draft", "sealed")) -> DataFrame:
-    """A scope by code, by name, or by the only name that contains the text (four characters or more); no row where that is not one."""
-    key = text.strip().lstrip("#").strip()
-    for p in prefixes:
-        if key.lower().startswith(p):
-            key = key[len(p) :].strip(" _-:")
-    low = key.lower()
-    if not low:
-        return scopes.limit(0)
-    n = F.coalesce(F.lower(name), F.lit(""))
-    part = (n != "") & (F.contains(n, F.lit(low)) | F.contains(F.lit(low), n)) if len(low) >= 4 else F.lit(False)
-    staged = scopes.withColumn("stage", F.when(F.lower(code) == low, 0).when(n == low, 1).when(part, 2)).where("stage IS NOT NULL")
-    first = staged.agg(F.min("stage").alias("m")).select("m").scalar()
-    hits = staged.where(F.col("stage") == first)
-    one = hits.agg((F.count(F.lit(1)) == 1).alias("o")).select("o").scalar()
-    return hits.where(one)
-
-
-def pack_report(pack: DataFrame, name: str, stats: DataFrame, scope: str, small: int = 500) -> DataFrame:
-    """Each name of a pack with its statistics in one scope: ``exact``, ``ambiguous`` or ``not in set``; few games are flagged."""
-    inside = stats.where(F.col("expansion") == scope).select(F.col("card_name").alias("__n"), "gih_games", "gih_wr", "alsa", "ata")
-    hits = pack.select(F.col(name).alias("name")).distinct().join(inside, F.lower("name") == F.lower("__n"), "left")
-    n = F.count("__n").over(Window.partitionBy("name"))
-    kind = F.when(n == 0, "not in set").when(n == 1, "exact").otherwise("ambiguous")
-    return hits.select("name", kind.alias("status"), F.when(n == 1, F.col("gih_wr")).alias("gih_wr"), F.when(n == 1, F.col("alsa")).alias("alsa"), F.when(n == 1, F.col("gih_games") < small).alias("small_sample")).distinct()
+#: Kinds of games that may stand before the name of a scope (fixed values).
+PREFIXES = ("limited", "quickdraft", "premierdraft", "draft", "sealed")
+
+
+def resolve_scopes(queries: DataFrame, query: str, scopes: DataFrame, key: str, code: str, name: str) -> DataFrame:
+    """A scope for each query by code, by name, or by the only name that contains it or that it contains (four characters or more).
+
+    A leading ``#`` and the kind of game are stripped. Output: ``query``,
+    ``key`` (null unless one scope is meant), ``status`` (resolved, ambiguous,
+    unknown). Codes and names are looked up by equality; only texts that
+    neither finds are compared with all scopes, of which there are some hundred.
+    """
+    text = F.trim(F.regexp_replace(F.trim(F.col(query)), "^#+", ""))
+    bare = F.lower(F.trim(F.regexp_replace(text, f"(?i)^({'|'.join(PREFIXES)})[ _:-]*", "")))
+    q = queries.select(F.col(query)).distinct().withColumn("__x", bare)
+    s = scopes.select(F.col(key).alias("__key"), F.lower(code).alias("__code"), F.lower(F.coalesce(name, F.lit(""))).alias("__name"))
+    by = lambda stage, column: q.where("__x <> ''").join(s, F.col("__x") == F.col(column)).select(query, "__key", F.lit(stage).alias("__stage"))
+    equal = by(0, "__code").unionByName(by(1, "__name"))
+    left = q.where(F.length("__x") >= 4).join(equal.select(query).distinct(), query, "left_anti")
+    part = left.join(s, (F.col("__name") != "") & (F.contains("__name", "__x") | F.contains("__x", "__name"))).select(query, "__key", F.lit(2).alias("__stage"))
+    hits = equal.unionByName(part).groupBy(query, "__stage").agg(F.count(F.lit(1)).alias("n"), F.min("__key").alias("hit"))
+    best = hits.groupBy(query).agg(F.min(F.struct("__stage", "n", "hit")).alias("b"))
+    one = F.col("b.n") == 1
+    return q.join(best, query, "left").select(query, F.when(one, F.col("b.hit")).alias(key), F.when(F.col("b").isNull(), "unknown").when(one, "resolved").otherwise("ambiguous").alias("status"))
+
+
+def pack_report(packs: DataFrame, name: str, stats: DataFrame, scope: str, known: DataFrame, known_name: str, small: int = 500) -> DataFrame:
+    """Each name of a pack with its statistics in the pack's own scope: ``scope``, ``name``, ``status``, ``gih_wr``, ``alsa``, ``small_sample``.
+
+    ``exact``, ``ambiguous`` (several entries), ``not in set`` (a known name
+    without statistics there), ``unverified`` (no known name); few games are
+    flagged. Case is ignored. Names of a pack come out once; null ones are left out.
+    """
+    p = packs.select(scope, F.col(name).alias("name"), F.lower(name).alias("__n")).where(F.col("name").isNotNull()).distinct()
+    by = stats.groupBy(scope, F.lower("card_name").alias("__n")).agg(F.count(F.lit(1)).alias("n"), F.min("gih_games").alias("games"), F.min("gih_wr").alias("gih_wr"), F.min("alsa").alias("alsa"))
+    some = known.select(F.lower(known_name).alias("__n"), F.lit(True).alias("known")).distinct()
+    one = F.col("n") == 1
+    kind = F.when(one, "exact").when(F.col("n") > 1, "ambiguous").when(F.col("known"), "not in set").otherwise("unverified")
+    return p.join(by, [scope, "__n"], "left").join(some, "__n", "left").select(scope, "name", kind.alias("status"), F.when(one, F.col("gih_wr")).alias("gih_wr"), F.when(one, F.col("alsa")).alias("alsa"), F.when(one, F.col("games") < small).alias("small_sample"))
 
 
 def stack(parts: Sequence[DataFrame]) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.common import all_of, null_safe_hash, same
@@ -19,17 +20,20 @@ def diff_actions(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Se
     """
     if scope is not None:
         old = old.where(scope)
-    a = old.select(*keys, null_safe_hash(*[F.col(v) for v in values]).alias("__h"), F.lit(None).alias("__row")).withColumn("__side", F.lit(0))
-    b = new.select(*keys, null_safe_hash(*[F.col(v) for v in values]).alias("__h"), F.struct(*values).alias("__row")).withColumn("__side", F.lit(1))
-    a = a.withColumn("__row", F.lit(None).cast(b.schema["__row"].dataType))
+    h = null_safe_hash(*[F.col(v) for v in values]).alias("__h")
+    kinds = {f.name: f.dataType for f in new.schema.fields}
+    a = old.select(*keys, h, F.lit(0).alias("__side"), *[F.lit(None).cast(kinds[v]).alias(f"__v_{v}") for v in values])
+    b = new.select(*keys, h, F.lit(1).alias("__side"), *[F.col(v).alias(f"__v_{v}") for v in values])
+    # Only rows of ``new`` carry values, one of a key: the largest is the only one. Numbers and dates stay in a hash aggregate.
+    pick = lambda v: F.first(f"__v_{v}", ignorenulls=True) if kinds[v].typeName() in ("map", "variant") else F.max(f"__v_{v}")
     folded = a.unionByName(b).groupBy(*keys).agg(
         F.max(F.when(F.col("__side") == 0, F.col("__h"))).alias("__old"),
         F.max(F.when(F.col("__side") == 1, F.col("__h"))).alias("__new"),
-        F.first("__row", ignorenulls=True).alias("__row"),
+        *[pick(v).alias(f"__v_{v}") for v in values],
     )
     o, n = F.col("__old"), F.col("__new")
     action = F.when(o.isNull(), "insert").when(n.isNull(), "delete").when(o != n, "update").otherwise("same")
-    return folded.select(*keys, *[F.col(f"__row.{v}").alias(v) for v in values], action.alias("action"))
+    return folded.select(*keys, *[F.col(f"__v_{v}").alias(v) for v in values], action.alias("action"))
 
 
 def diff_apply(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], scope: Column | None = None) -> DataFrame:
@@ -159,6 +163,31 @@ def health(tables: dict[str, tuple[DataFrame, str | None]]) -> DataFrame:
     return out
 
 
-def equal_on(a: str, b: str, columns: Sequence[str]) -> Column:
-    """Null-safe equality of the same columns of two aliased tables."""
-    return all_of([same(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in columns])
+def reload_table(df: DataFrame, folder: str) -> str:
+    """Replaces a table as a whole: writes a new version beside the old one, then turns the pointer to it in one step.
+
+    Readers see the old version until the pointer is renamed, which is atomic on
+    a file system that can rename over a file; a failed write leaves the old
+    table. Gives the folder of the new version. Old versions are kept.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{version}")
+    jvm = spark._jvm
+    hadoop = spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(hadoop)
+    out = fs.create(path(f"{folder}/.{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    target = fs.makeQualified(path(folder))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), hadoop).rename(path(target, f".{version}"), path(target, "CURRENT"), over)
+    return f"{folder}/{version}"
+
+
+def current_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The version of a table that :func:`reload_table` turned the pointer to last."""
+    version = spark.read.text(f"{folder}/CURRENT").first()[0]
+    return spark.read.parquet(f"{folder}/{version}")

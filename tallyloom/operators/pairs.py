@@ -23,6 +23,30 @@ def _pairs_of(lists: DataFrame, left: str, right: str | None, scope: Sequence[st
     return across.select(*scope, F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"))
 
 
+def _split(rows: DataFrame, basket: list[str], chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary baskets, and those of larger ones with their number of ``chunks``.
+
+    The largest baskets, those with over ``HOT_SHARE`` of all rows, get it by
+    broadcast, so their rows are not even shuffled together to learn it.
+    """
+    sizes = rows.groupBy(*basket).agg(F.count(F.lit(1)).alias("size"))
+    total = sizes.agg(F.sum("size").alias("t")).select("t").scalar()
+    huge = sizes.where(F.col("size") > chunk).select(*basket, F.ceil(F.col("size") / chunk).cast("int").alias("chunks"), (F.col("size") > total * F.lit(HOT_SHARE)).alias("hot"))
+    hot = F.broadcast(huge.where("hot").drop("hot"))
+    # All other baskets are small against the whole: their rows may meet in a task.
+    rest = rows.join(hot, basket, "left_anti").join(huge.where("NOT hot").drop("hot"), basket, "left")
+    large = rows.join(hot, basket).unionByName(rest.where("chunks IS NOT NULL"))
+    chunked = large.withColumn("c", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+    return rest.where("chunks IS NULL").drop("chunks"), chunked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+
+def _complete(items: DataFrame, basket: list[str], item: str) -> DataFrame:
+    whole = F.col(item).isNotNull()
+    for b in basket:
+        whole = whole & F.col(b).isNotNull()
+    return items.where(whole).select(*basket, F.col(item).alias("item"))
+
+
 def pair_counts(items: DataFrame, basket: Sequence[str], item: str, chunk: int = CHUNK, scope: Sequence[str] = ()) -> DataFrame:
     """Number of baskets that hold both items, for every pair that occurs: ``scope``, ``item_a < item_b``, ``n``.
 
@@ -41,22 +65,9 @@ def pair_counts(items: DataFrame, basket: Sequence[str], item: str, chunk: int =
     items are left out.
     """
     basket = list(basket)
-    whole = F.col(item).isNotNull()
-    for b in basket:
-        whole = whole & F.col(b).isNotNull()
-    rows = items.where(whole).select(*basket, F.col(item).alias("item"))
-    sizes = rows.groupBy(*basket).agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(F.sum("size").alias("t")).select("t").scalar()
-    huge = sizes.where(F.col("size") > chunk).select(*basket, F.ceil(F.col("size") / chunk).cast("int").alias("chunks"), (F.col("size") > total * F.lit(HOT_SHARE)).alias("hot"))
-    hot = F.broadcast(huge.where("hot").drop("hot"))
-    # All other baskets are small against the whole: their rows may meet in a task.
-    rest = rows.join(hot, basket, "left_anti").join(huge.where("NOT hot").drop("hot"), basket, "left")
-    small = rest.where("chunks IS NULL").groupBy(*basket).agg(F.sort_array(F.collect_list("item")).alias("list")).where(F.size("list") > 1)
-    large = rows.join(hot, basket).unionByName(rest.where("chunks IS NOT NULL"))
-    chunked = large.withColumn("c", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
-    blocks = chunked.select(*basket, "item", "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
-        *basket, "item", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") <= F.col("o")).alias("first")
-    )
+    ordinary, large = _split(_complete(items, basket, item), basket, chunk)
+    small = ordinary.groupBy(*basket).agg(F.sort_array(F.collect_list("item")).alias("list")).where(F.size("list") > 1)
+    blocks = large.select(*basket, "item", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") <= F.col("o")).alias("first"))
     lists = blocks.groupBy(*basket, "i", "j").agg(
         F.sort_array(F.collect_list(F.when(F.col("first"), F.col("item")))).alias("left"),
         F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"),
@@ -65,3 +76,19 @@ def pair_counts(items: DataFrame, basket: Sequence[str], item: str, chunk: int =
     across = _pairs_of(lists.where("i < j"), "left", "right", scope)
     pairs = _pairs_of(small, "list", None, scope).unionByName(inside).unionByName(across)
     return pairs.groupBy(*scope, "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cross_counts(left: DataFrame, right: DataFrame, basket: Sequence[str], item: str, chunk: int = CHUNK, scope: Sequence[str] = ()) -> DataFrame:
+    """Number of baskets that hold ``item_a`` on the left and ``item_b`` on the right: ``scope``, ``item_a``, ``item_b``, ``n``.
+
+    Baskets and chunks as in :func:`pair_counts`; both sides must hold each
+    (basket, item) once. An item may be paired with itself.
+    """
+    basket = list(basket)
+    both = _complete(left, basket, item).withColumn("on_left", F.lit(True)).unionByName(_complete(right, basket, item).withColumn("on_left", F.lit(False)))
+    ordinary, large = _split(both, basket, chunk)
+    sides = [F.collect_list(F.when(F.col("on_left"), F.col("item"))).alias("left"), F.collect_list(F.when(~F.col("on_left"), F.col("item"))).alias("right")]
+    blocks = large.select(*basket, "item", "on_left", F.when(F.col("on_left"), F.col("c")).otherwise(F.col("o")).alias("i"), F.when(F.col("on_left"), F.col("o")).otherwise(F.col("c")).alias("j"))
+    lists = ordinary.groupBy(*basket).agg(*sides).select(*basket, "left", "right").unionByName(blocks.groupBy(*basket, "i", "j").agg(*sides).select(*basket, "left", "right"))
+    pairs = lists.select(*scope, F.explode("left").alias("item_a"), "right").select(*scope, "item_a", F.explode("right").alias("item_b"))
+    return pairs.groupBy(*scope, "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))

@@ -52,8 +52,8 @@ def merge_ranked(lists: Sequence[DataFrame], key: str, rank: str, k: int) -> Dat
 
 
 def round_robin(df: DataFrame, stratum: str, key: str, k: int, seed: int = 1) -> DataFrame:
-    """``k`` rows taken in turn from every stratum, in an order fixed by a seeded hash."""
-    n = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)))
+    """``k`` rows taken in turn from every stratum, in an order fixed by a seeded hash (md5, the same in every engine)."""
+    n = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), F.col(key)))
     return df.withColumn("round", n).orderBy("round", stratum).limit(k)
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import name_score, similarity, trigrams
+from tallyloom.functions.text import MARKS, name_form, nfkc, ratio_bound, sequence_ratio, similarity, trigrams
+
+#: Scores of a typed name against a name (fixed values): equal, part of it, part of it but short, holds it whole,
+#: and the least and the range by the share of its words that are found.
+EQUAL, PART, SHORT_PART, WHOLE, WORDS, WORDS_RANGE = 1.0, 0.9, 0.6, 0.85, 0.5, 0.3
+#: Typed names of up to this many characters are short.
+SHORT = 3
 
 #: Stages in order: as written, ignoring case, with one slash read as two (fixed values).
 EXACT, ANY_CASE, SLASH = 0, 1, 2
@@ -92,46 +98,101 @@ def display_name(cards: DataFrame) -> DataFrame:
     return cards.select("id", F.when(F.col("japanese_name").isNotNull(), F.concat(F.lit("《"), F.col("japanese_name"), F.lit("/"), F.col("card_name"), F.lit("》"))).otherwise(F.col("card_name")).alias("display"))
 
 
-def partial_candidates(cards: DataFrame, rulings: DataFrame, text: str, limit: int = 5) -> DataFrame:
-    """Names that contain the text (three characters or more): physical ones first, then by popularity; then names that only the rulings have."""
-    if len(text.strip()) < 3:
-        return cards.select("card_name", F.lit(0).alias("source")).limit(0)
-    has = F.contains(F.lower("card_name"), F.lit(text.strip().lower()))
-    a = cards.where(has).orderBy("digital", F.col("edhrec_rank").asc_nulls_last(), "id").limit(limit).select("card_name", F.lit(0).alias("source"))
-    b = rulings.where(has).select("card_name").distinct().join(cards, "card_name", "left_anti").orderBy("card_name").limit(limit).select("card_name", F.lit(1).alias("source"))
-    return a.unionByName(b)
-
-
-def near_names(queries: DataFrame, query: str, names: DataFrame, name: str, key: str, k: int = 3, least: float = 0.3) -> DataFrame:
-    """The ``k`` names most similar by trigrams to every query.
+def near_names(queries: DataFrame, query: str, names: DataFrame, name: str, key: str, k: int = 3, least: float = 0.3, ties: bool = False) -> DataFrame:
+    """The ``k`` names most similar by trigrams to every query; with ``ties`` also those as similar as the last.
 
-    Queries and names meet on shared trigrams (an inverted index) under 64-bit
-    numbers, so the counting moves no text; only pairs whose counts pass
-    ``least`` get their texts back and are compared exactly, which also tells
-    texts of one number apart. Ties go to the smaller key.
+    Exact prefix filter: texts that share more than ``least`` of all their
+    trigrams agree in one of the rarest ``size - floor(least * size)`` of
+    either. Only these, ordered by how many names have them, go into the
+    inverted index, so frequent trigrams hardly ever meet. The candidates, one
+    row for each pair whose sizes can pass ``least``, get their trigrams back
+    and are compared exactly. Ties go to the smaller key, then name.
     """
     q = queries.select(F.col(query).alias("query")).where(F.col("query").isNotNull()).distinct().select("query", trigrams(F.col("query")).alias("qt"), F.xxhash64("query").alias("qid"))
-    n = names.select(F.col(key).alias("key"), F.col(name).alias("name")).where(F.col("name").isNotNull()).select("key", "name", trigrams(F.col("name")).alias("nt"), F.xxhash64("key", "name").alias("nid"))
-    left = q.select("qid", F.size("qt").alias("qn"), F.explode("qt").alias("g"))
-    right = n.select("nid", F.size("nt").alias("nn"), F.explode("nt").alias("g"))
-    shared = left.join(right, "g").groupBy("qid", "nid", "qn", "nn").agg(F.count(F.lit(1)).alias("s"))
-    pairs = shared.where(F.col("s") / (F.col("qn") + F.col("nn") - F.col("s")) > least).select("qid", "nid").distinct()
+    n = names.select(F.col(key).alias("key"), F.col(name).alias("name")).where(F.col("name").isNotNull()).distinct().select("key", "name", trigrams(F.col("name")).alias("nt"), F.xxhash64("key", "name").alias("nid"))
+    n_grams = n.select("nid", F.size("nt").alias("nn"), F.explode("nt").alias("g"))
+    df = n_grams.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(grams: DataFrame, id_: str, size: str) -> DataFrame:
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
+        keep = F.col(size) - F.floor(F.col(size) * F.lit(least) - F.lit(1e-9)).cast("int")
+        ranked = grams.join(df, "g", "left").groupBy(id_, size).agg(order.alias("o"))
+        return ranked.select(id_, size, F.explode(F.slice("o", F.lit(1), F.greatest(keep, F.lit(1)))).alias("x")).select(id_, size, "x.g")
+
+    left = rarest(q.select("qid", F.size("qt").alias("qn"), F.explode("qt").alias("g")), "qid", "qn")
+    right = rarest(n_grams, "nid", "nn")
+    fits = (F.col("qn") > F.col("nn") * F.lit(least)) & (F.col("nn") > F.col("qn") * F.lit(least))
+    pairs = left.join(right, "g").where(fits).select("qid", "nid").distinct()
     scored = pairs.join(q, "qid").join(n, "nid").select("query", "key", "name", F.round(similarity(F.col("qt"), F.col("nt")), 6).alias("similarity")).where(F.col("similarity") > least)
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("similarity").desc(), "key", "name"))
+    w = Window.partitionBy("query")
+    place = F.rank().over(w.orderBy(F.col("similarity").desc())) if ties else F.row_number().over(w.orderBy(F.col("similarity").desc(), "key", "name"))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def near_in_list(queries: DataFrame, query: str, entries: DataFrame, scope: str, names: str, key: str, k: int = 3, least: float = 0.5) -> DataFrame:
+def _forms(df: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Adds the compared form of a text, its ASCII words and those as one padded text."""
+    low = F.lower(nfkc(F.col(text)))
+    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+    out = df.withColumn(f"{prefix}form", name_form(F.col(text))).withColumn(f"{prefix}words", words)
+    return out.withColumn(f"{prefix}run", F.concat(F.lit(" "), F.array_join(f"{prefix}words", " "), F.lit(" ")))
+
+
+def name_scores(queries: DataFrame, query: str, entries: DataFrame, scope: str, names: str, key: str, least: float, fuzzy: bool = True) -> DataFrame:
+    """How near typed names are to the entries of their scope, from ``least`` up: ``scope, query, key, score``.
+
+    An entry's score is that of its nearest name. 1: equal without marks. 0.9:
+    the query is part of the name (0.6 if it has three characters or fewer).
+    0.85: the name is part of the query. Else 0.5 to 0.8 by the share of the
+    query's words found in the name, or the order-sensitive ratio if that is
+    higher (left out with ``fuzzy=False``). Queries in ASCII are compared word
+    by word, others by their characters. Short queries are only looked for.
+
+    Every text is brought to its forms once; the rest are native expressions
+    over the pairs, and only pairs that none of the rules decides and whose
+    lengths let them reach ``least`` are given to the ratio. A query without
+    letters scores nothing; null queries and names are left out.
+    """
+    q = queries.select(scope, F.col(query).alias("query")).where(F.col("query").isNotNull()).distinct()
+    q = _forms(q, "query", "q_").where(F.col("q_form") != "").withColumn("q_plain", ~F.col("q_form").rlike(r"[^\x00-\x7f]"))
+    cut = F.filter(F.transform(F.split("query", r"\s+"), lambda p: F.regexp_replace(F.lower(p), MARKS, "")), lambda p: F.length(p) > 1)
+    q = q.withColumn("q_parts", F.when(F.col("q_plain"), F.filter("q_words", lambda w: F.length(w) > 1)).otherwise(cut))
+    n = entries.select(scope, F.col(key).alias("key"), F.explode(names).alias("name")).where(F.col("name").isNotNull()).distinct()
+    n = _forms(n, "name", "n_").where(F.col("n_form") != "")
+    pairs = q.join(n, scope)
+    qf, nf, plain = F.col("q_form"), F.col("n_form"), F.col("q_plain")
+    short = F.length(qf) <= SHORT
+    inside = F.when(plain, (F.size("q_words") > 0) & F.contains("n_run", "q_run")).otherwise((F.length(qf) > 1) & F.contains(nf, qf))
+    around = F.when(plain, (F.size("n_words") > 0) & F.contains("q_run", "n_run")).otherwise((F.length(nf) > 1) & F.contains(qf, nf))
+    found = F.size(F.filter("q_parts", lambda p: F.when(plain, F.array_contains("n_words", p)).otherwise(F.contains(nf, p))))
+    words = F.when((F.size("q_parts") > 1) & (found > 0), WORDS + WORDS_RANGE * found / F.size("q_parts")).otherwise(F.lit(0.0))
+    sure = (
+        F.when(qf == nf, F.lit(EQUAL))
+        .when(inside, F.when(short, F.lit(SHORT_PART)).otherwise(F.lit(PART)))
+        .when(short, F.lit(0.0))
+        .when(around, F.lit(WHOLE))
+    )
+    judged = pairs.select(scope, "query", "key", "q_form", "n_form", sure.alias("sure"), words.alias("words"))
+    score = F.coalesce("sure", "words")
+    if fuzzy:
+        bound = ratio_bound(F.col("q_form"), F.col("n_form"))
+        open_ = F.col("sure").isNull() & (bound >= least) & (bound > F.col("words"))
+        ratio = sequence_ratio(F.when(open_, F.col("q_form")), F.when(open_, F.col("n_form")))
+        score = F.coalesce("sure", F.greatest("words", F.coalesce(ratio, F.lit(0.0))))
+    best = judged.withColumn("score", score).groupBy(scope, "query", "key").agg(F.round(F.max("score"), 6).alias("score"))
+    return best.where(F.col("score") >= least)
+
+
+def near_in_list(queries: DataFrame, query: str, entries: DataFrame, scope: str, names: str, key: str, k: int = 3, least: float = 0.5, fuzzy: bool = True) -> DataFrame:
     """The ``k`` nearest entries within the query's own scope (a set of some hundred entries), and the ties cut off.
 
-    ``entries`` has an array of names per entry; both sides have ``scope``.
+    ``entries`` has an array of names per entry; both sides have ``scope``. The
+    distinct queries are a stated query set against their list; see :func:`name_scores`.
     """
-    pairs = queries.select(scope, F.col(query).alias("query")).distinct().join(entries.select(scope, F.col(key).alias("key"), F.col(names).alias("names")), scope)
-    scored = pairs.withColumn("score", F.round(name_score(F.col("query"), F.col("names")), 6)).where(F.col("score") >= least)
+    scored = name_scores(queries, query, entries, scope, names, key, least, fuzzy)
     w = Window.partitionBy(scope, "query")
     ranked = scored.withColumn("place", F.row_number().over(w.orderBy(F.col("score").desc(), "key")))
     last = F.min(F.when(F.col("place") <= k, F.col("score"))).over(w)
-    return ranked.withColumn("ties_left", F.count_if((F.col("place") > k) & (F.col("score") == last)).over(w)).where(F.col("place") <= k).drop("names")
+    return ranked.withColumn("ties_left", F.count_if((F.col("place") > k) & (F.col("score") == last)).over(w)).where(F.col("place") <= k)
 
 
 def close_key(value: str, allowed: list[str], cutoff: float = 0.8) -> tuple[str | None, str]:

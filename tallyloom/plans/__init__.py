@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package that define QUERIES and ORACLE.
-AREAS = ["training", "baskets", "maintenance", "chances", "surface", "names", "catalogue"]
+AREAS = ["training", "baskets", "maintenance", "chances", "surface", "names", "catalogue", "answers"]
 
 
 def registered() -> tuple[dict, dict]:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.common import load, squash
 from tallyloom.operators import basket as B
+from tallyloom.operators.pairs import pair_counts
+from tallyloom.session import checkpoint_dir
 
 END = date(2026, 7, 1)
 FORMATS = ("Commander", "Legacy", "Modern", "Pauper", "Pioneer", "Premodern", "Standard", "Vintage")
@@ -31,23 +34,47 @@ def populations(spark: SparkSession) -> DataFrame:
 
 
 class Build:
-    """The stages of one build; each is read where it is needed."""
+    """The stages of one build; each is declared where it is needed, item sets that feed pairs are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        cards = load(spark, sf_dir, "mtg_cards_v2")
+        self.spark = spark
+        self.cards = load(spark, sf_dir, "mtg_cards_v2")
         self.decks = B.source_coverage(baskets(spark, sf_dir), OFFICIAL, AGGREGATOR, MARKER)
         self.lines = B.basket_lines(lines(spark, sf_dir), self.decks)
-        self.sigs = B.basket_signatures(self.lines)
         self.windows = B.population_windows(populations(spark), self.decks, END)
+        self._derive()
+
+    def _derive(self, write=lambda df: df) -> None:
+        self.sigs = B.basket_signatures(self.lines)
         self.raw = B.windowed_baskets(self.windows, self.decks, self.sigs)
-        self.reps = B.representatives(self.raw)
-        self.main, self.side = B.item_sets(self.reps, self.lines, self.windows, cards.where(F.col("type_line").startswith("Basic")).select(F.col("id").alias("item")))
-        self.counts = B.denominators(self.main, self.side, self.windows)
-        self.pairs = B.population_pairs(self.main, self.side, self.windows)
-        self.totals = self.reps.groupBy("population_id").agg(F.count(F.lit(1)).alias("n_lists"))
+        self.reps = write(B.representatives(self.raw))
+        basic = self.cards.where(F.col("type_line").startswith("Basic")).select(F.col("id").alias("item"))
+        self.main, self.side = map(write, B.item_sets(self.reps, self.lines, self.windows, basic))
+
+    @cached_property
+    def written(self) -> "Build":
+        """The same build with lines, windows, representatives and item sets checkpointed in the shared folder, each derived from the one before."""
+        checkpoint_dir(self.spark)
+        self.lines, self.windows = self.lines.checkpoint(), self.windows.checkpoint()
+        self._derive(lambda df: df.checkpoint())
+        return self
+
+    @property
+    def counts(self) -> DataFrame:
+        return B.denominators(self.main, self.side, self.windows)
+
+    @property
+    def pairs(self) -> DataFrame:
+        w = self.written
+        return B.population_pairs(w.main, w.side, w.windows)
+
+    @property
+    def totals(self) -> DataFrame:
+        return self.reps.groupBy("population_id").agg(F.count(F.lit(1)).alias("n_lists"))
 
     def partners(self) -> DataFrame:
-        return B.partner_table(self.pairs, self.counts, self.totals)
+        pairs = self.pairs
+        return B.partner_table(pairs, self.counts, self.totals)
 
 
 _POPS = ", ".join(f"({p[0]}, '{p[1]}', '{p[2]}', {p[3]}, {p[1] not in SINGLETON}, {p[1] in SINGLETON})" for p in B.constant_populations(FORMATS))
@@ -95,6 +122,37 @@ def d03_source_coverage(spark, sf_dir):
     return kept.unionByName(B.source_coverage(b, OFFICIAL, AGGREGATOR, MARKER, keep_unknown=False).select(F.lit("drop unknown").alias("rule"), "basket"))
 
 
+def _broken(b: Build) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The build with faults put into some populations: counts above the lists, counts taken away, pairs above their items'."""
+    pairs = b.pairs.withColumn("n", F.when((F.col("population_id") % 5 == 2) & (F.col("item_a") % 7 == 0), F.col("n") + 100_000).otherwise(F.col("n")))
+    counts = b.counts.withColumn("main_count", F.when((F.col("population_id") % 5 == 0) & (F.col("item") % 3 == 0), F.col("main_count") + 100_000).otherwise(F.col("main_count")))
+    return b.reps, counts.where("NOT (population_id % 5 = 1 AND item % 11 = 0)"), pairs
+
+
+def d09_broken(spark, sf_dir):
+    """The gate over faulty populations."""
+    return B.consistency(*_broken(Build(spark, sf_dir)))
+
+
+def d09_publishable(spark, sf_dir):
+    return B.publishable(B.consistency(*_broken(Build(spark, sf_dir))))
+
+
+_GATE = """, {counts}, {pairs}, nl AS (SELECT population_id, count(*) AS n_lists FROM reps GROUP BY 1),
+bc AS (SELECT c.population_id, count(*) FILTER (main_count > coalesce(n_lists, 0) OR side_count > coalesce(n_lists, 0)) AS bad_counts FROM gc c LEFT JOIN nl USING (population_id) GROUP BY 1),
+e AS (SELECT p.*, a.main_count AS ma, CASE WHEN relation = 'm' THEN b.main_count ELSE b.side_count END AS nb, coalesce(n_lists, 0) AS nl FROM gp p
+  LEFT JOIN gc a ON a.population_id = p.population_id AND a.item = item_a LEFT JOIN gc b ON b.population_id = p.population_id AND b.item = item_b LEFT JOIN nl ON nl.population_id = p.population_id),
+bp AS (SELECT population_id, count(*) FILTER (ma IS NULL OR nb IS NULL) AS orphan_pairs, count(*) FILTER (ma IS NOT NULL AND nb IS NOT NULL AND (n > ma OR n > nb OR ma + nb - n > nl)) AS bad_pairs FROM e GROUP BY 1),
+gate AS (SELECT coalesce(nl.population_id, bc.population_id, bp.population_id) AS population_id, coalesce(n_lists, 0) AS n_lists, coalesce(bad_counts, 0) AS bad_counts, coalesce(orphan_pairs, 0) AS orphan_pairs, coalesce(bad_pairs, 0) AS bad_pairs
+  FROM nl FULL JOIN bc ON bc.population_id = nl.population_id FULL JOIN bp ON bp.population_id = coalesce(nl.population_id, bc.population_id))
+"""
+_GOOD = _GATE.format(counts="gc AS (SELECT * FROM counts)", pairs="gp AS (SELECT * FROM pairs)")
+_FAULTY = _GATE.format(
+    counts="gc AS (SELECT population_id, item, main_count + CASE WHEN population_id % 5 = 0 AND item % 3 = 0 THEN 100000 ELSE 0 END AS main_count, side_count FROM counts WHERE NOT (population_id % 5 = 1 AND item % 11 = 0))",
+    pairs="gp AS (SELECT population_id, relation, item_a, item_b, n + CASE WHEN population_id % 5 = 2 AND item_a % 7 = 0 THEN 100000 ELSE 0 END AS n FROM pairs)",
+)
+
+
 def d11_top_partners(spark, sf_dir):
     return B.top_partners(Build(spark, sf_dir).partners(), 5)
 
@@ -118,7 +176,7 @@ def d13_readiness(spark, sf_dir):
 
 def d15_colour_partners(spark, sf_dir):
     items = lines(spark, sf_dir)
-    anchor = items.where("board = 'main' AND item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "item").first()[0]
+    anchor = items.where("board = 'main' AND item IS NOT NULL").groupBy("item").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "item").limit(1).select("item").scalar()
     return B.colour_partners(baskets(spark, sf_dir), items, load(spark, sf_dir, "mtg_cards_v2"), anchor)
 
 
@@ -147,11 +205,9 @@ def order_baskets(spark, sf_dir):
 
 def partner_lift(spark, sf_dir):
     """Partners of parts within orders: pairs in two orders or more, share and lift."""
-    items = order_baskets(spark, sf_dir)
-    lists = items.groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("list"))
-    firsts = lists.select(F.posexplode("list").alias("at", "item_a"), "list")
-    pairs = firsts.select("item_a", F.explode(F.slice("list", F.col("at") + 2, F.greatest(F.size("list") - F.col("at") - 1, F.lit(0)))).alias("item_b"))
-    n = pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    checkpoint_dir(spark)
+    items = order_baskets(spark, sf_dir).checkpoint()
+    n = pair_counts(items, ["basket"], "item").where("n >= 2")
     m = items.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
     total = items.agg(F.countDistinct("basket").alias("t")).select("t").scalar()
     scored = n.join(m.select(F.col("item").alias("item_a"), F.col("m").alias("ma")), "item_a").join(m.select(F.col("item").alias("item_b"), F.col("m").alias("mb")), "item_b")
@@ -174,8 +230,10 @@ QUERIES = {
     "d06_side_items": _stage(lambda b: b.side),
     "d07_denominators": _stage(lambda b: b.counts),
     "d08_pairs": _stage(lambda b: b.pairs),
-    "d09_consistency": _stage(lambda b: B.consistency(b.reps, b.counts, b.pairs)),
-    "d10_population_stats": _stage(lambda b: B.population_stats(b.windows, b.raw, b.reps, b.counts, b.pairs).drop("kept_by_source")),
+    "d09_consistency": _stage(lambda b: B.consistency(b.written.reps, b.counts, b.pairs)),
+    "d09_broken": d09_broken,
+    "d09_publishable": d09_publishable,
+    "d10_population_stats": _stage(lambda b: B.population_stats(b.written.windows, b.raw, b.reps, b.counts, b.pairs).withColumn("raw_by_source", F.to_json("raw_by_source")).withColumn("kept_by_source", F.to_json("kept_by_source"))),
     "d11_partners": _stage(lambda b: b.partners()),
     "d11_top_partners": d11_top_partners,
     "d12_window_choice": d12_window_choice,
@@ -195,10 +253,14 @@ ORACLE = {
     "d06_side_items": CTE + "SELECT * FROM side",
     "d07_denominators": CTE + "SELECT * FROM counts",
     "d08_pairs": CTE + "SELECT * FROM pairs",
-    "d09_consistency": CTE + "SELECT population_id, n_lists, 0 AS bad_counts, 0 AS orphan_pairs, 0 AS bad_pairs FROM totals",
+    "d09_consistency": CTE + _GOOD + "SELECT * FROM gate",
+    "d09_broken": CTE + _FAULTY + "SELECT * FROM gate",
+    "d09_publishable": CTE + _FAULTY + "SELECT population_id FROM gate WHERE bad_counts = 0 AND orphan_pairs = 0 AND bad_pairs = 0",
     "d10_population_stats": CTE + """SELECT w.population_id, window_start, window_end, min(day) AS first_day, max(day) AS latest_day, count(r.basket) AS raw_count,
   (SELECT count(*) FROM reps x WHERE x.population_id = w.population_id) AS deck_count, (SELECT count(*) FROM reps x WHERE x.population_id = w.population_id AND has_unresolved) AS unresolved_count,
-  (SELECT count(*) FROM counts x WHERE x.population_id = w.population_id) AS card_rows, (SELECT count(*) FROM pairs x WHERE x.population_id = w.population_id) AS pair_rows
+  (SELECT count(*) FROM counts x WHERE x.population_id = w.population_id) AS card_rows, (SELECT count(*) FROM pairs x WHERE x.population_id = w.population_id) AS pair_rows,
+  (SELECT '{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}' FROM (SELECT source, count(*) AS n FROM raw x WHERE x.population_id = w.population_id AND source IS NOT NULL GROUP BY 1)) AS raw_by_source,
+  (SELECT '{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}' FROM (SELECT source, count(*) AS n FROM reps x WHERE x.population_id = w.population_id AND source IS NOT NULL GROUP BY 1)) AS kept_by_source
 FROM windows w LEFT JOIN raw r ON r.population_id = w.population_id GROUP BY w.population_id, window_start, window_end""",
     "d11_partners": CTE + "SELECT * FROM partners",
     "d11_top_partners": CTE + "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY population_id, relation, anchor ORDER BY n DESC, partner) AS place, 'count' AS ordered_by FROM partners) WHERE place <= 5",

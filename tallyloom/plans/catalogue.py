@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.common import load, squash
@@ -30,8 +31,6 @@ def query(name: str, sql: str | None = None):
 
 
 N_ITEMS = 12
-#: A dictionary goes to every worker; longer ones are refused.
-MOST_NAMES = 200_000
 _ITEM = "(l_partkey % 12)::INT"
 
 
@@ -100,26 +99,61 @@ def _(s, d):
     return G.pick_means(e, "pick", "m", "x", "w", "l")
 
 
-@query("d30_attach_stats", "WITH st AS (SELECT db_card_name AS n, expansion, gih_games, gih_wr FROM (SELECT *, row_number() OVER (PARTITION BY expansion, db_card_name ORDER BY computed_at DESC, event_type, card_name) AS rn FROM limited_card_stats WHERE db_card_name IS NOT NULL) WHERE rn = 1) SELECT id, coalesce((SELECT count(*) FROM st WHERE n = card_name AND expansion = 'AAAA') > 0, false) AS has_stats, (SELECT string_agg(expansion, ',' ORDER BY expansion) FROM (SELECT DISTINCT expansion FROM st WHERE n = card_name AND expansion <> 'AAAA')) AS elsewhere FROM mtg_cards_v2")
+_STATS = "(SELECT db_card_name AS n, expansion, gih_games, gih_wr FROM (SELECT *, row_number() OVER (PARTITION BY expansion, db_card_name ORDER BY computed_at DESC, event_type, card_name) AS rn FROM limited_card_stats WHERE db_card_name IS NOT NULL) WHERE rn = 1)"
+
+
+@query("d30_attach_stats", f"WITH st AS {_STATS}, a AS (SELECT expansion FROM (SELECT DISTINCT expansion FROM limited_card_stats) ORDER BY expansion DESC LIMIT 2) SELECT id, coalesce(i.stats, '') AS stats, coalesce(i.stats, '') <> '' AS has_stats, e.elsewhere FROM mtg_cards_v2 LEFT JOIN (SELECT n, string_agg(expansion || ':' || gih_games, ',' ORDER BY expansion) AS stats FROM st WHERE expansion IN (SELECT * FROM a) GROUP BY n) i ON i.n = card_name LEFT JOIN (SELECT n, string_agg(DISTINCT expansion, ',' ORDER BY expansion) AS elsewhere FROM st WHERE expansion NOT IN (SELECT * FROM a) GROUP BY n) e ON e.n = card_name")
 def _(s, d):
+    """Statistics of the two newest sets beside every card, and the other sets that have any."""
     from tallyloom.operators.relational import first_per_key
 
-    stats = load(s, d, "limited_card_stats").where("db_card_name IS NOT NULL")
-    once = first_per_key(stats, ["expansion", "db_card_name"], [F.col("computed_at").desc(), F.col("event_type"), F.col("card_name")]).select(F.col("db_card_name").alias("card_name"), "expansion", "gih_games", "gih_wr")
-    got = G.attach_stats(load(s, d, "mtg_cards_v2").select("id", "card_name"), once, "card_name", "expansion", ["AAAA"])
-    return got.select("id", "has_stats", F.when(F.size("elsewhere") > 0, F.array_join("elsewhere", ",")).alias("elsewhere"))
+    stats = load(s, d, "limited_card_stats")
+    newest = stats.select("expansion").distinct().orderBy(F.col("expansion").desc()).limit(2)
+    once = first_per_key(stats.where("db_card_name IS NOT NULL"), ["expansion", "db_card_name"], [F.col("computed_at").desc(), F.col("event_type"), F.col("card_name")]).select(F.col("db_card_name").alias("card_name"), "expansion", "gih_games", "gih_wr")
+    got = G.attach_stats(load(s, d, "mtg_cards_v2").select("id", "card_name"), once, "card_name", "expansion", newest)
+    shown = F.array_join(F.transform("stats", lambda x: F.concat_ws(":", x["expansion"], x["gih_games"])), ",")
+    return got.select("id", F.coalesce(shown, F.lit("")).alias("stats"), "has_stats", F.when(F.size("elsewhere") > 0, F.array_join("elsewhere", ",")).alias("elsewhere"))
+
+
+_SCOPES = """WITH q AS (SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN '#Draft N' || n_nationkey WHEN 1 THEN 'limited ' || lower(n_name) WHEN 2 THEN substr(n_name, 1, 4) ELSE 'Sealed: ' || substr(n_name, 1, 3) END AS t FROM nation),
+b AS (SELECT k, t, lower(trim(regexp_replace(trim(ltrim(trim(t), '#')), '^(limited|quickdraft|premierdraft|draft|sealed)[ _:-]*', '', 'i'))) AS x FROM q),
+h AS (SELECT k, t, n_nationkey AS hit, CASE WHEN lower('N' || n_nationkey) = x THEN 0 WHEN lower(n_name) = x THEN 1 WHEN length(x) >= 4 AND (contains(lower(n_name), x) OR contains(x, lower(n_name))) THEN 2 END AS stage FROM b, nation WHERE x <> ''),
+f AS (SELECT k, min(stage) AS first FROM h GROUP BY 1), o AS (SELECT h.k, count(*) AS n, min(hit) AS hit, min(stage) AS stage FROM h JOIN f ON f.k = h.k AND stage = first GROUP BY 1)
+SELECT q.k, q.t AS asked, CASE WHEN n = 1 THEN hit END AS hit, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM q LEFT JOIN o USING (k)"""
 
 
-@query("d29_scope", "SELECT n_nationkey FROM nation WHERE lower(n_name) = (SELECT lower(n_name) FROM nation WHERE n_nationkey = 3)")
+@query("d29_scope", _SCOPES)
 def _(s, d):
-    n = load(s, d, "nation").withColumn("code", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")))
-    return G.resolve_scope("#Draft N3", n, "code", "n_name").select("n_nationkey")
+    """A code, a name with a prefix, or a part of a name of every nation, against all nations."""
+    n = load(s, d, "nation")
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    asked = F.when(k % 4 == 0, F.concat(F.lit("#Draft N"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("limited "), F.lower(name))).when(k % 4 == 2, F.substring(name, 1, 4)).otherwise(F.concat(F.lit("Sealed: "), F.substring(name, 1, 3)))
+    queries = n.select(k.alias("k"), asked.alias("asked"))
+    scopes = n.select(k.alias("hit"), F.concat(F.lit("N"), k.cast("string")).alias("code"), name.alias("name"))
+    got = G.resolve_scopes(queries, "asked", scopes, "hit", "code", "name")
+    return queries.join(got, "asked").select("k", "asked", "hit", "status")
 
 
-@query("d32_pack", "WITH p AS (SELECT DISTINCT card_name AS name FROM limited_card_stats WHERE expansion = 'AAAB'), h AS (SELECT name, count(l.card_name) AS n, count(DISTINCT (gih_wr, alsa, gih_games)) AS v, min(gih_wr) AS gih_wr, min(alsa) AS alsa, min(gih_games) AS g FROM p LEFT JOIN limited_card_stats l ON lower(l.card_name) = lower(name) AND expansion = 'AAAA' GROUP BY 1) SELECT name, CASE n WHEN 0 THEN 'not in set' WHEN 1 THEN 'exact' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN gih_wr END AS gih_wr, CASE WHEN n = 1 THEN alsa END AS alsa, CASE WHEN n = 1 THEN g < 500 END AS small_sample FROM h")
+_PACKS = """WITH p AS (SELECT DISTINCT a.expansion, l.card_name AS name FROM (SELECT expansion, row_number() OVER (ORDER BY expansion) AS i FROM (SELECT DISTINCT expansion FROM limited_card_stats)) a
+  JOIN (SELECT expansion, row_number() OVER (ORDER BY expansion) AS i FROM (SELECT DISTINCT expansion FROM limited_card_stats)) b ON b.i = a.i + 1 JOIN limited_card_stats l ON l.expansion = b.expansion),
+st AS (SELECT DISTINCT expansion, card_name, gih_games, gih_wr, alsa FROM limited_card_stats),
+h AS (SELECT p.expansion, name, count(l.card_name) AS n, min(gih_wr) AS gih_wr, min(alsa) AS alsa, min(gih_games) AS g FROM p LEFT JOIN st l ON lower(l.card_name) = lower(name) AND l.expansion = p.expansion GROUP BY ALL),
+k AS (SELECT lower(card_name) AS n FROM mtg_cards_v2 UNION SELECT lower(name_en_front) FROM mtg_cards_v2)
+SELECT expansion, name, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' WHEN lower(name) IN (SELECT n FROM k) THEN 'not in set' ELSE 'unverified' END AS status, CASE WHEN n = 1 THEN gih_wr END AS gih_wr, CASE WHEN n = 1 THEN alsa END AS alsa, CASE WHEN n = 1 THEN g < 500 END AS small_sample FROM h"""
+
+
+@query("d32_pack", _PACKS)
 def _(s, d):
+    """A pack for every set, of all names of the set after it."""
     st = load(s, d, "limited_card_stats")
-    return G.pack_report(st.where("expansion = 'AAAB'"), "card_name", st, "AAAA")
+    # One row per set.
+    sets = st.select("expansion").distinct().withColumn("i", F.row_number().over(Window.orderBy("expansion")))
+    after = sets.select(F.col("expansion").alias("own"), (F.col("i") + 1).alias("i")).join(sets.select(F.col("expansion").alias("other"), "i"), "i")
+    packs = after.join(st.select(F.col("expansion").alias("other"), "card_name"), "other").select(F.col("own").alias("expansion"), "card_name")
+    cards = load(s, d, "mtg_cards_v2")
+    known = cards.select("card_name").unionByName(cards.select(F.col("name_en_front").alias("card_name"))).where("card_name IS NOT NULL")
+    stats = st.select("expansion", "card_name", "gih_games", "gih_wr", "alsa").distinct()
+    return G.pack_report(packs, "card_name", stats, "expansion", known, "card_name")
 
 
 def _costs(s, d):
@@ -151,22 +185,28 @@ def _(s, d):
     return K.pool_summary(c, K.classify(F.col("layout"), F.col("type_line"), F.col("cmc").cast("string")), F.col("cmc"))
 
 
-@query("d37_codes", "SELECT deck_id, 'ok' AS state, string_agg(card_name, ';' ORDER BY card_name) AS names FROM (SELECT DISTINCT deck_id, regexp_replace(lower(card_name), '[^a-z ]', '', 'g') AS card_name FROM deck_cards) WHERE card_name <> '' GROUP BY deck_id")
+_TYPES = ("Creature", "Instant", "Sorcery", "Artifact", "Enchantment", "Land")
+
+
+@query("d36_pool_facets", f"""WITH c AS (SELECT *, CASE WHEN layout IS NULL OR layout NOT IN ({", ".join(repr(x) for x in K.LAYOUTS)}) THEN 'unclassified' WHEN coalesce(type_line LIKE '%Land%', false) THEN 'lands' WHEN cmc IS NULL THEN 'not castable' ELSE 'curve' END AS b, list_filter([{", ".join(repr(x) for x in _TYPES)}], lambda t: contains(coalesce(type_line, ''), t)) AS k FROM mtg_cards_v2)
+SELECT 'bucket' AS facet, b AS member, count(*) AS n FROM c GROUP BY ALL UNION ALL SELECT 'curve', least(cmc::INT, 7)::VARCHAR, count(*) FROM c WHERE b = 'curve' GROUP BY ALL
+UNION ALL SELECT 'colours', CASE WHEN len(coalesce(colors, [])) = 0 THEN 'C' ELSE array_to_string(list_sort(colors), '') END AS m, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'colour', m, count(*) FROM (SELECT unnest(list_distinct(colors)) AS m FROM c) GROUP BY ALL
+UNION ALL SELECT 'type', m, count(*) FROM (SELECT unnest(CASE WHEN len(k) = 0 THEN ['other'] ELSE k END) AS m FROM c) GROUP BY ALL""")
 def _(s, d):
-    n = load(s, d, "deck_cards").select("deck_id", F.regexp_replace(F.lower("card_name"), "[^a-z ]", "").alias("n")).where("n <> ''")
-    g = n.groupBy("deck_id").agg(F.array_sort(F.collect_set("n")).alias("n")).withColumn("scope", F.lit("ABC"))
-    back = K.decode_codes(K.encode_codes(g, "SD1", "scope", F.col("n")).select("deck_id", "code"), "code")
-    return back.select("deck_id", "state", F.array_join("names", ";").alias("names"))
+    c = load(s, d, "mtg_cards_v2")
+    return K.pool_facets(c, K.classify(F.col("layout"), F.col("type_line"), F.col("cmc").cast("string")), F.col("cmc"), F.col("colors"), F.col("type_line"), _TYPES)
 
 
-@query("d37_apply_picks", "SELECT 1 AS game, * FROM (VALUES (2, 'b', 'resent'), (3, 'x', 'conflict'), (4, 'd', 'added'), (5, 'e', 'added'), (7, 'g', 'gap')) v(position, item, state)")
+@query("d37_codes", "SELECT deck_id, CASE WHEN count(*) > 999 OR bool_or(regexp_matches(card_name, '[\\x00-\\x1f\\x7f]')) THEN 'malformed' ELSE 'ok' END AS state, CASE WHEN state = 'ok' THEN string_agg(card_name, ';' ORDER BY card_name) END AS names FROM (SELECT DISTINCT deck_id, replace(card_name, '|', '/') AS card_name FROM deck_cards) WHERE card_name <> '' GROUP BY deck_id")
 def _(s, d):
-    known = s.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "game int, position int, item string")
-    picks = s.createDataFrame([(1, 2, "b"), (1, 3, "x"), (1, 4, "d"), (1, 5, "e"), (1, 7, "g")], "game int, position int, item string")
-    return K.apply_picks(known, picks, "game")
+    """Every deck as a code and back; the bar parts the fields, so it is written as a slash."""
+    n = load(s, d, "deck_cards").select("deck_id", F.replace(F.col("card_name"), F.lit("|"), F.lit("/")).alias("n")).where("n <> ''")
+    g = n.groupBy("deck_id").agg(F.array_sort(F.collect_set("n")).alias("n")).withColumn("scope", F.lit("ABC"))
+    back = K.decode_codes(K.encode_codes(g, "SD1", "scope", F.col("n")).select("deck_id", "code"), "code")
+    return back.select("deck_id", "state", F.array_join("names", ";").alias("names"))
 
 
-@query("d37_all_picks", """WITH l AS (SELECT l_orderkey AS game, l_linenumber::INT AS position, min(l_partkey) AS item FROM lineitem GROUP BY ALL), k AS (SELECT * FROM l WHERE position <= 2),
+@query("d37_apply_picks", """WITH l AS (SELECT l_orderkey AS game, l_linenumber::INT AS position, min(l_partkey) AS item FROM lineitem GROUP BY ALL), k AS (SELECT * FROM l WHERE position <= 2),
 p AS (SELECT game, position, CASE WHEN item % 5 = 0 THEN -item ELSE item END AS item FROM l WHERE position <> 4), h AS (SELECT game, max(position) AS last FROM k GROUP BY 1), j AS (SELECT p.*, k.item AS old, coalesce(h.last, 0) AS last FROM p LEFT JOIN k USING (game, position) LEFT JOIN h USING (game))
 SELECT game, position, item::VARCHAR AS item, CASE WHEN position <= last THEN CASE WHEN old = item THEN 'resent' ELSE 'conflict' END WHEN position - last = (SELECT count(*) FROM p q WHERE q.game = j.game AND q.position > j.last AND q.position <= j.position) THEN 'added' ELSE 'gap' END AS state FROM j""")
 def _(s, d):
@@ -176,13 +216,35 @@ def _(s, d):
     return K.apply_picks(lines.where("position <= 2").withColumn("item", F.col("item").cast("string")), sent, "game")
 
 
+def _mentions(s, d):
+    """Mentions of all documents against the names of all cards."""
+    cards = load(s, d, "mtg_cards_v2").select("id", "digital", *[c for columns in K.NAME_COLUMNS for c in columns])
+    return K.verify_texts(load(s, d, "documents"), "doc_id", "text", cards)
+
+
+_DICTIONARY = """WITH f AS (SELECT digital, card_name, coalesce(nullif(name_en_front, ''), split_part(card_name, ' // ', 1)) AS ef, coalesce(nullif(name_ja_front, ''), nullif(split_part(coalesce(japanese_name, ''), ' // ', 1), '')) AS jf, * EXCLUDE (digital, card_name) FROM mtg_cards_v2),
+forms AS (SELECT *, CASE WHEN jf IS NOT NULL THEN '《' || jf || '/' || ef || '》' ELSE ef END AS front_form, CASE WHEN coalesce(name_ja_back, '') <> '' THEN '《' || name_ja_back || '/' || name_en_back || '》' ELSE name_en_back END AS back_form FROM f),
+n AS (SELECT lower(card_name) AS name, front_form AS form, 0 AS part, digital, card_name AS c, 0 AS rank FROM forms UNION ALL SELECT lower(name_en_front), front_form, 1, digital, card_name, 1 FROM forms UNION ALL SELECT lower(name_en_back), back_form, 2, digital, card_name, 2 FROM forms
+  UNION ALL SELECT lower(japanese_name), front_form, 3, digital, card_name, 0 FROM forms UNION ALL SELECT lower(name_ja_front), front_form, 3, digital, card_name, 1 FROM forms WHERE coalesce(name_en_front, '') <> '' UNION ALL SELECT lower(name_ja_back), back_form, 3, digital, card_name, 2 FROM forms WHERE coalesce(name_en_back, '') <> ''),
+own AS (SELECT name, form, part, digital, c, rank FROM n WHERE coalesce(name, '') <> ''),
+both_ AS (SELECT * FROM own UNION ALL SELECT lower(form), form, 4 + part, digital, c, rank FROM own),
+dict AS (SELECT name, arg_min(form, (part, digital, c, rank)) AS form FROM both_ GROUP BY 1),
+m AS (SELECT doc_id AS key, unnest(regexp_extract_all(text, '《[^《》]*》')) AS written FROM documents),
+parts AS (SELECT DISTINCT written, unnest(string_split(substr(written, 2, length(written) - 2), '/')) AS part, generate_subscripts(string_split(substr(written, 2, length(written) - 2), '/'), 1) AS pos FROM m),
+by_part AS (SELECT written, arg_min(form, pos) AS form FROM parts JOIN dict ON name = lower(trim(part)) GROUP BY 1),
+judged AS (SELECT key, m.written, coalesce(a.form, b.form, p.form) AS canonical FROM m LEFT JOIN dict a ON a.name = lower(m.written) LEFT JOIN dict b ON b.name = lower(substr(m.written, 2, length(m.written) - 2)) LEFT JOIN by_part p ON p.written = m.written),
+bracketed AS (SELECT key, written, canonical, CASE WHEN canonical IS NULL THEN 'unknown' WHEN canonical = written THEN 'ok' ELSE 'rewrite' END AS state FROM judged)"""
+
+
 @query("d38_verify")
 def _(s, d):
-    cards = load(s, d, "mtg_cards_v2")
-    if cards.count() > MOST_NAMES:
-        raise ValueError(f"the dictionary has more than {MOST_NAMES} entries")
-    names = K.name_forms(cards.select("digital", *[c for columns in K.NAME_COLUMNS for c in columns]).collect())
-    return K.verify_mentions(load(s, d, "documents"), "doc_id", "text", names)
+    return _mentions(s, d)
+
+
+@query("d38_bracketed", f"{_DICTIONARY} SELECT key, written, canonical, state, count(*) AS n FROM bracketed GROUP BY ALL")
+def _(s, d):
+    """The mentions in brackets."""
+    return _mentions(s, d).where("state <> 'bare'").groupBy("key", "written", "canonical", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("d39_release_state", "SELECT id, CASE WHEN created_on IS NULL OR layout IS NULL THEN 'unknown' WHEN created_on > DATE '2024-06-01' THEN 'upcoming' WHEN DATE '2024-06-01' - created_on < 7 THEN 'awaiting' ELSE 'ordinary' END AS state FROM mtg_cards_v2")
@@ -195,13 +257,6 @@ RULES = [("harm", r"deal (?P<amount>\d+) harm to (?P<target>[a-z ]+?)[.,]"), ("l
 
 
 @query("d40_d42_clauses", r"""WITH t AS (SELECT id, regexp_replace(oracle_text, '\([^()]*\)', '', 'g') AS x FROM mtg_cards_v2)
-SELECT id AS key, 'look' AS rule, regexp_extract(m, '(?i)put the top (\d+)', 1)::INT AS amount, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)put the top \d+ cards aside')) AS m FROM t) GROUP BY ALL
-UNION ALL SELECT id, 'harm', regexp_extract(m, '(?i)deal (\d+)', 1)::INT, count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)deal \d+ harm to [a-z ]+?[.,]')) AS m FROM t) GROUP BY ALL""")
-def _(s, d):
-    return K.clauses(load(s, d, "mtg_cards_v2"), "id", "oracle_text", RULES).where("rule IN ('look', 'harm')").groupBy("key", "rule", "amount").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("d40_d42_all_clauses", r"""WITH t AS (SELECT id, regexp_replace(oracle_text, '\([^()]*\)', '', 'g') AS x FROM mtg_cards_v2)
 SELECT id AS key, 'look' AS rule, regexp_extract(m, '(?i)put the top (\d+)', 1)::INT AS amount, NULL AS target, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)put the top \d+ cards aside')) AS m FROM t) GROUP BY ALL
 UNION ALL SELECT id, 'harm', regexp_extract(m, '(?i)deal (\d+)', 1)::INT, regexp_extract(m, '(?i)harm to ([a-z ]+?)[.,]', 1), count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)deal \d+ harm to [a-z ]+?[.,]')) AS m FROM t) GROUP BY ALL
 UNION ALL SELECT id, 'gain', regexp_extract(m, '(?i)gain (\d+)', 1)::INT, nullif(regexp_extract(m, '(?i)for every ([a-z ]+?)[.,]', 1), ''), count(*) FROM (SELECT id, unnest(regexp_extract_all(x, '(?i)gain \d+ life(?: for every [a-z ]+?)?[.,]')) AS m FROM t) GROUP BY ALL
@@ -210,18 +265,26 @@ def _(s, d):
     return K.clauses(load(s, d, "mtg_cards_v2"), "id", "oracle_text", RULES).groupBy("key", "rule", "amount", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d45_faces")
+_FACES = """SELECT id, [{'c': CASE WHEN type_line LIKE '%Land%' THEN '' ELSE '{' || cmc::INT || '}' END, 't': type_line, 'o': oracle_text},
+  {'c': CASE WHEN name_en_back IS NOT NULL AND id % 2 = 0 THEN '{1}' END, 't': CASE WHEN id % 3 = 0 THEN 'Land' ELSE type_line END, 'o': name_en_back}] AS faces FROM mtg_cards_v2"""
+
+
+@query("d45_faces", f"SELECT id, coalesce(array_to_string(list_transform(list_filter(faces, lambda f: coalesce(f.c, '') <> '' AND NOT coalesce(contains(f.t, 'Land'), false)), lambda f: coalesce(f.o, '')), chr(10) || '//' || chr(10)), '') AS text FROM ({_FACES})")
 def _(s, d):
+    """Faces of all cards: the front with its cost, unless it is a land, and the back, with a cost on every second card."""
     c = load(s, d, "mtg_cards_v2")
-    faces = F.array(F.struct(F.lit("{1}").alias("mana_cost"), "type_line", "oracle_text"), F.struct(F.when(F.col("name_en_back").isNotNull(), "{2}").alias("mana_cost"), F.lit("Land").alias("type_line"), F.lit("x").alias("oracle_text")))
-    return c.select("id", K.face_filter(faces).alias("text"))
+    cost = F.when(F.col("type_line").contains("Land"), "").otherwise(F.concat(F.lit("{"), F.col("cmc").cast("int").cast("string"), F.lit("}")))
+    back = F.struct(F.when(F.col("name_en_back").isNotNull() & (F.col("id") % 2 == 0), "{1}").alias("mana_cost"), F.when(F.col("id") % 3 == 0, "Land").otherwise(F.col("type_line")).alias("type_line"), F.col("name_en_back").alias("oracle_text"))
+    return c.select("id", K.face_filter(F.array(F.struct(cost.alias("mana_cost"), "type_line", "oracle_text"), back)).alias("text"))
 
 
-@query("d46_keywords", "SELECT id, string_agg(w, ',' ORDER BY w) AS words FROM (SELECT DISTINCT id, unnest(list_filter(['harm', 'life', 'hidden', 'spell'], lambda k: contains(' ' || regexp_replace(lower(oracle_text), '[^a-z]+', ' ', 'g') || ' ', ' ' || k || ' '))) AS w FROM mtg_cards_v2 WHERE oracle_text IS NOT NULL) GROUP BY id")
+@query("d46_keywords", """WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(type_line), '[^a-z]+')) AS word FROM mtg_cards_v2) WHERE word <> ''), k AS (SELECT list(word) AS words FROM w)
+SELECT id, array_to_string(list_sort(list_intersect(list_distinct(regexp_split_to_array(lower(split_part(coalesce(oracle_text, ''), ' // ', 1)), '[^a-z]+')), words)), ',') AS words FROM mtg_cards_v2, k""")
 def _(s, d):
-    words = F.array_distinct(F.split(F.lower("oracle_text"), "[^a-z]+"))
-    found = F.array_sort(F.array_intersect(F.array(*[F.lit(k) for k in ("harm", "life", "hidden", "spell")]), words))
-    return load(s, d, "mtg_cards_v2").where("oracle_text IS NOT NULL").select("id", found.alias("f")).where(F.size("f") > 0).select("id", F.array_join("f", ",").alias("words"))
+    """Which of a vocabulary's words stand in the text of each card's front; the vocabulary is that of all type lines."""
+    c = load(s, d, "mtg_cards_v2")
+    vocabulary = c.select(F.explode(F.split(F.lower("type_line"), "[^a-z]+")).alias("word")).where("word <> ''").distinct()
+    return K.front_keywords(c, "id", F.coalesce("oracle_text", F.lit("")), vocabulary, "word").select("id", F.array_join("words", ",").alias("words"))
 
 
 @query("d47_printings", "WITH r AS (SELECT card_name, expansion AS c, computed_at AS t, coalesce(db_card_name, '') AS l, event_type <> 'PremierDraft' AS g FROM limited_card_stats) SELECT card_name, string_agg(DISTINCT c, ',' ORDER BY c) FILTER (NOT g OR card_name NOT IN (SELECT card_name FROM r WHERE NOT g)) AS sets, arg_max(l, (t, l)) AS local FROM r GROUP BY 1")
@@ -247,9 +310,23 @@ def _(s, d):
     return load(s, d, "mtg_cards_v2").select("id", K.prefer(F.col("japanese_name"), F.col("card_name")).alias("shown"))
 
 
-@query("d54_rate_limit")
+_LIMITED = """WITH RECURSIVE e AS (SELECT {key} AS key, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT key, us, event_id, rn, true AS admitted, [us] AS held FROM e WHERE rn = 1
+  UNION ALL SELECT e.key, e.us, e.event_id, e.rn, len(list_filter(r.held, lambda h: e.us - h < {us})) < {most},
+    CASE WHEN len(list_filter(r.held, lambda h: e.us - h < {us})) < {most} THEN list_append(list_filter(r.held, lambda h: e.us - h < {us}), e.us) ELSE list_filter(r.held, lambda h: e.us - h < {us}) END
+  FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+SELECT key, event_id, admitted, CASE WHEN NOT admitted THEN round((list_min(held) + {us} - us) / 1e6, 3) END AS wait_seconds FROM r"""
+
+
+@query("d54_rate_limit", _LIMITED.format(key="user_id::VARCHAR", us=6 * 3600 * 1_000_000, most=3))
 def _(s, d):
-    return J.rate_limit_batch(load(s, d, "events"), "user_id", "ts", 3, 6 * 3600)
+    return J.rate_limit_batch(load(s, d, "events"), "user_id", "ts", 3, 6 * 3600, order="event_id").select("key", "event_id", "admitted", F.round("wait_seconds", 3).alias("wait_seconds"))
+
+
+@query("d54_rate_limit_total")
+def _(s, d):
+    """Both limits together: three calls of a key and fifty of all keys in six hours."""
+    return J.rate_limit_total(load(s, d, "events"), "user_id", "ts", 3, 50, 6 * 3600, order="event_id").select("key", "event_id", "admitted", "refused_by")
 
 
 @query("d55_outcomes", "SELECT event_id, CASE event_type WHEN 'error' THEN 'failure' ELSE CASE WHEN value > 90 THEN 'slow' ELSE 'fine' END END AS outcome FROM events")
@@ -257,17 +334,29 @@ def _(s, d):
     return load(s, d, "events").select("event_id", K.outcome(F.col("event_type"), F.col("value"), 90.0).alias("outcome"))
 
 
-@query("d56_fidelity")
+@query("d38_rewritten", "SELECT doc_id AS key, true AS settled FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    """The corrected texts, checked again: nothing is left to rewrite in them, and what was canonical still is."""
+    cards = load(s, d, "mtg_cards_v2").select("id", "digital", *[c for columns in K.NAME_COLUMNS for c in columns])
+    docs = load(s, d, "documents").where("text IS NOT NULL")
+    once = K.verify_texts(docs, "doc_id", "text", cards)
+    again = K.verify_texts(K.rewritten(docs, "doc_id", "text", once), "key", "text", cards)
+    left = again.groupBy("key").agg(F.count_if(F.col("state") == "rewrite").alias("left"))
+    return docs.select(F.col("doc_id").alias("key")).join(left, "key", "left").select("key", (F.coalesce("left", F.lit(0)) == 0).alias("settled"))
+
+
+@query("d56_fidelity", f"{_DICTIONARY} SELECT key, count(*) AS n, round(count(*) FILTER (state = 'ok')::DOUBLE / count(*), 4) AS faithful FROM bracketed GROUP BY key")
 def _(s, d):
-    return K.fidelity(QUERIES["d38_verify"](s, d).where("state IN ('ok', 'rewrite', 'unknown')"))
+    return K.fidelity(_mentions(s, d).where("state IN ('ok', 'rewrite', 'unknown')"))
 
 
-@query("d57_strata", "SELECT lang, least(count(*), 5) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1")
+@query("d57_strata", "SELECT lang, doc_id, place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('3:' || doc_id), doc_id) AS place FROM documents WHERE lang IS NOT NULL) WHERE place <= 5")
 def _(s, d):
     from tallyloom.operators.relational import first_n_per_bucket
 
-    docs = load(s, d, "documents").where("lang IS NOT NULL")
-    return first_n_per_bucket(docs, F.col("lang"), F.xxhash64(F.lit(3), F.col("doc_id")), "doc_id", 5).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    docs = load(s, d, "documents").where("lang IS NOT NULL").select("lang", "doc_id")
+    order = F.md5(F.concat_ws(":", F.lit("3"), F.col("doc_id")))
+    return first_n_per_bucket(docs, F.col("lang"), order, "doc_id", 5).select("lang", "doc_id", "place")
 
 
 @query("d58_calendar", "SELECT id FROM deck_list WHERE tournament_date BETWEEN DATE '2026-01-01' - 21 AND DATE '2026-01-01' + 45")
@@ -290,22 +379,17 @@ def _(s, d):
 # Readers over texts made of the tables
 
 
-@query("s08_deck_text", "SELECT deck_id AS key, CASE WHEN b = 'side' THEN 'side' ELSE 'main' END AS board, \"count\" AS n, card_name FROM (SELECT deck_id, lower(regexp_replace(board, '[^a-zA-Z]', '', 'g')) AS b, \"count\", trim(regexp_replace(lower(card_name), '[^a-z ]', '', 'g')) AS card_name FROM deck_cards) WHERE card_name <> ''")
+@query("s08_deck_text", "SELECT deck_id AS key, CASE WHEN b = 'side' THEN 'side' ELSE 'main' END AS board, \"count\" AS n, card_name FROM (SELECT deck_id, lower(regexp_replace(board, '[^\\p{L}\\p{N}]+', '', 'g')) AS b, \"count\", trim(replace(replace(card_name, chr(10), ''), chr(13), ''), ' ') AS card_name FROM deck_cards) WHERE card_name <> '' AND \"count\" IS NOT NULL")
 def _(s, d):
-    l = load(s, d, "deck_cards").select("deck_id", squash("board").alias("b"), "count", F.trim(F.regexp_replace(F.lower("card_name"), "[^a-z ]", "")).alias("n")).where("n <> ''")
+    """Every deck written as text and read back, names as they are."""
+    name = F.trim(F.regexp_replace("card_name", r"[\r\n]", ""))
+    l = load(s, d, "deck_cards").select("deck_id", squash("board").alias("b"), "count", name.alias("n")).where("n <> ''")
     line = F.concat(F.when(F.col("b") == "side", "SB: ").otherwise(""), F.col("count").cast("string"), F.lit(" [SET] "), F.col("n"))
     text = l.groupBy("deck_id").agg(F.concat_ws("\n", F.lit("// NAME"), F.collect_list(line)).alias("text"))
     return R.deck_text(text, "deck_id", "text").select("key", "board", "n", "card_name")
 
 
-@query("s07_rulebook", "SELECT id AS key, '12.' || (id % 9) || 'a' AS number, comment || ' and so on' AS body FROM card_rulings WHERE comment NOT LIKE '%  %'")
-def _(s, d):
-    r = load(s, d, "card_rulings").where(~F.col("comment").contains("  "))
-    text = F.concat(F.lit("Preface\n\n12."), (F.col("id") % 9).cast("string"), F.lit("a "), F.col("comment"), F.lit("\nand so on\n"))
-    return R.rulebook(r.select("id", text.alias("t")), "id", "t")
-
-
-@query("s07_rulebook_all", "SELECT id AS key, '12.' || (id % 9) || 'a' AS number, trim(comment) || ' and so on' AS body FROM card_rulings WHERE trim(comment) <> ''")
+@query("s07_rulebook", "SELECT id AS key, '12.' || (id % 9) || 'a' AS number, trim(comment) || ' and so on' AS body FROM card_rulings WHERE trim(comment) <> ''")
 def _(s, d):
     r = load(s, d, "card_rulings").where(F.trim("comment") != "")
     text = F.concat(F.lit("Preface\n\n12."), (F.col("id") % 9).cast("string"), F.lit("a "), F.col("comment"), F.lit("\nand so on\n"))
@@ -350,11 +434,11 @@ def _(s, d):
     return Q.run_sql(s, "-- #DEMO\nSELECT n_name, n_regionkey FROM nation ORDER BY n_name;", 10)
 
 
-@query("p18_decorated", "SELECT c.card_name, c.id, CASE WHEN japanese_name IS NULL THEN card_name ELSE japanese_name || '/' || card_name END AS card_name_display FROM mtg_cards_v2 c ORDER BY id LIMIT 40")
+@query("p18_decorated", "SELECT c.card_name, c.id, CASE WHEN japanese_name IS NULL THEN card_name ELSE japanese_name || '/' || card_name END AS card_name_display FROM mtg_cards_v2 c")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")
     names = c.select("card_name", F.concat_ws("/", "japanese_name", "card_name").alias("display"))
-    return Q.decorate(c.orderBy("id").limit(40).select("card_name", "id"), names, "card_name", "display")
+    return Q.decorate(c.select("card_name", "id"), names, "card_name", "display")
 
 
 # Streams over the events as they stand
@@ -369,16 +453,46 @@ def _stream(s, d, build, mode="append"):
     return J.run_once(build(events), name, mode, f"{checkpoint_dir(s)}/{name}")
 
 
-@query("st_first_seen", "SELECT count(DISTINCT event_id) AS n FROM events")
+@query("st_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def _(s, d):
+    return _stream(s, d, lambda e: J.first_seen(e.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", None)).select("user_id", "event_type")
+
+
+@query("st_tumbling", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(s, d):
-    return _stream(s, d, lambda e: J.first_seen(e, ["event_id"], "ts", None)).agg(F.count(F.lit(1)).alias("n"))
+    got = _stream(s, d, lambda e: J.tumbling_totals(e, ["event_type"], "ts", "value"), "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("st_tumbling", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("st_sliding", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([to_timestamp(epoch(ts)::BIGINT // 10 * 10 - 10 * k)::TIMESTAMPTZ AT TIME ZONE 'UTC' FOR k IN range(6)]) AS w FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)) GROUP BY ALL")
 def _(s, d):
-    return _stream(s, d, lambda e: J.tumbling_totals(e, ["event_type"], "ts", "value"), "complete").groupBy("event_type").agg(F.sum("n").alias("n"))
+    got = _stream(s, d, lambda e: J.sliding_rates(e, "user_id", "ts"), "complete")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 
-@query("st_sliding", "SELECT user_id, count(*) * 6 AS n FROM events GROUP BY 1")
+@query("st_paired", "SELECT a.event_id AS opened, b.event_id AS closed FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR")
 def _(s, d):
-    return _stream(s, d, lambda e: J.sliding_rates(e, "user_id", "ts"), "complete").groupBy("user_id").agg(F.sum("n").alias("n"))
+    """Entry and end rows of two streams within an hour of each other; nothing is late in finished input."""
+    kinds = lambda e, kind, name: e.where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    return _stream(s, d, lambda e: J.paired_calls(kinds(e, "view", "opened"), kinds(e, "click", "closed"), "ts", "user_id", "1 hour", late="100 days")).select("opened", "closed")
+
+
+@query("st_changes", "SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
+def _(s, d):
+    """Batches of events upserted by type into a table that is replaced as a whole; a replayed batch leaves the same table."""
+    folder = f"{checkpoint_dir(s)}/tl_{uuid.uuid4().hex}"
+    version = {"n": 0}
+    fields = "event_type string, n bigint, last bigint"
+
+    def old():
+        return s.read.schema(fields).parquet(f"{folder}/v{version['n']}") if version["n"] else s.createDataFrame([], fields)
+
+    def write(df):
+        df.write.mode("overwrite").parquet(f"{folder}/v{version['n'] + 1}")
+        version["n"] += 1
+
+    e = J.read_stream(s, f"{d}/events.parque[t]", s.read.parquet(f"{d}/events.parquet").schema)
+    totals = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+    q = totals.writeStream.outputMode("update").foreachBatch(J.apply_changes(old, write, ["event_type"], ["n", "last"])).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return old().select("event_type", "n", "last")

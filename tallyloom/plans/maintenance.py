@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.common import load
 from tallyloom.operators import maintain as M
+from tallyloom.session import checkpoint_dir
 
 KEYS, VALUES = ["population_id", "card_id"], ["main_deck_count", "side_deck_count"]
 
@@ -37,7 +40,19 @@ def k02_verify(s, d):
 
 
 def k02_verify_applied(s, d):
-    return M.verify_equal(M.diff_apply(_old(s, d), _new(s, d), KEYS, VALUES), _new(s, d))
+    """After the whole difference nothing differs; after the difference of some populations the others still do."""
+    whole = M.verify_equal(M.diff_apply(_old(s, d), _new(s, d), KEYS, VALUES), _new(s, d)).withColumn("applied", F.lit("all"))
+    some = M.diff_apply(_old(s, d), _new(s, d).where("population_id < 50"), KEYS, VALUES, F.col("population_id") < 50)
+    return whole.unionByName(M.verify_equal(some, _new(s, d)).withColumn("applied", F.lit("some")))
+
+
+def k06_reload(s, d):
+    """A table reloaded twice; each time the pointer leads to the version written last."""
+    folder = f"{checkpoint_dir(s)}/tl_{uuid.uuid4().hex}"
+    M.reload_table(_old(s, d), folder)
+    first = M.current_table(s, folder).withColumn("load_no", F.lit(1))
+    M.reload_table(_new(s, d), folder)
+    return first.unionByName(M.current_table(s, folder).withColumn("load_no", F.lit(2)))
 
 
 def k07_sync(s, d):
@@ -89,7 +104,7 @@ QUERIES = {
     "k03_upsert": lambda s, d: M.upsert(_old(s, d), _new(s, d), KEYS),
     "k04_insert_absent": lambda s, d: M.insert_absent(_old(s, d), _new(s, d), KEYS),
     "k05_sweep": lambda s, d: M.sweep(_old(s, d), F.col("main_deck_count") >= 10, _new(s, d), KEYS),
-    "k06_reload": lambda s, d: _new(s, d),
+    "k06_reload": k06_reload,
     "k07_sync": k07_sync,
     "k08_ghosts": lambda s, d: M.ghosts(_old(s, d), _new(s, d), KEYS),
     "k09_changed_only": lambda s, d: M.diff_actions(_old(s, d), _new(s, d), KEYS, VALUES).where("action = 'update'"),
@@ -107,11 +122,11 @@ ORACLE = {
     "k01_diff_actions": _DIFF,
     "k01_diff_apply_scoped": f"SELECT * FROM {B} WHERE population_id < 50 UNION ALL SELECT * FROM {A} WHERE population_id >= 50",
     "k02_verify": f"SELECT *, only_in_a = 0 AND only_in_b = 0 AS ok FROM (SELECT (SELECT count(*) FROM (SELECT * FROM {A} EXCEPT ALL SELECT * FROM {B})) AS only_in_a, (SELECT count(*) FROM (SELECT * FROM {B} EXCEPT ALL SELECT * FROM {A})) AS only_in_b)",
-    "k02_verify_applied": "SELECT 0 AS only_in_a, 0 AS only_in_b, true AS ok",
+    "k02_verify_applied": f"WITH p AS (SELECT * FROM {B} WHERE population_id < 50 UNION ALL SELECT * FROM {A} WHERE population_id >= 50) SELECT 'all' AS applied, 0 AS only_in_a, 0 AS only_in_b, true AS ok UNION ALL SELECT 'some', a, b, a = 0 AND b = 0 FROM (SELECT (SELECT count(*) FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM {B})) AS a, (SELECT count(*) FROM (SELECT * FROM {B} EXCEPT ALL SELECT * FROM p)) AS b)",
     "k03_upsert": f"SELECT * FROM {B} UNION ALL SELECT * FROM {A} o WHERE NOT EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
     "k04_insert_absent": f"SELECT * FROM {B} n WHERE NOT EXISTS (SELECT 1 FROM {A} o WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
     "k05_sweep": f"SELECT * FROM {A} o WHERE main_deck_count < 10 OR EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
-    "k06_reload": f"SELECT * FROM {B}",
+    "k06_reload": f"SELECT *, 1 AS load_no FROM {A} UNION ALL SELECT *, 2 FROM {B}",
     "k07_sync": "SELECT id, 'type_line' AS changed FROM mtg_cards_v2 WHERE id % 7 = 0 AND type_line IS DISTINCT FROM 'Token'",
     "k08_ghosts": f"SELECT * FROM {A} o WHERE NOT EXISTS (SELECT 1 FROM {B} n WHERE n.card_id = o.card_id AND n.population_id = o.population_id)",
     "k09_changed_only": f"SELECT * FROM ({_DIFF}) WHERE action = 'update'",

@@ -357,7 +357,7 @@ def _(s, d):
     return load(s, d, "cooccurrence_populations").select("population_id", F.array_join(F.array_sort("sources"), "|").alias("sorted"))
 
 
-@query("o11_round_robin")
+@query("o11_round_robin", "SELECT id, type_line, round FROM (SELECT id, type_line, row_number() OVER (PARTITION BY type_line ORDER BY md5('1:' || id), id) AS round FROM mtg_cards_v2) ORDER BY round, type_line NULLS FIRST LIMIT 60")
 def _(s, d):
     return R.round_robin(load(s, d, "mtg_cards_v2"), "type_line", "id", 60).select("id", "type_line", "round")
 
@@ -375,9 +375,12 @@ def _(s, d):
     return load(s, d, "orders").select(F.col("o_custkey").alias("k")).unionAll(load(s, d, "customer").select("c_custkey"))
 
 
-@query("t02_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("t02_except", "SELECT 'before' AS side, * FROM (SELECT o_custkey AS k FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') UNION ALL SELECT 'after', * FROM (SELECT o_custkey AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')")
 def _(s, d):
-    return load(s, d, "customer").select(F.col("c_custkey").alias("k")).subtract(load(s, d, "orders").select("o_custkey"))
+    """Customers with orders only before, and only after, a day."""
+    o = load(s, d, "orders").select(F.col("o_custkey").alias("k"), (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("b"))
+    a, b = o.where("b").select("k"), o.where("NOT b").select("k")
+    return a.subtract(b).withColumn("side", F.lit("before")).unionByName(b.subtract(a).withColumn("side", F.lit("after")))
 
 
 @query("t03_distinct_in_order", "SELECT event_type, min(event_id) AS event_id FROM events GROUP BY 1")

@@ -31,13 +31,23 @@ def deck_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def deck_text(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Deck lists as text: ``count [set] name`` lines, ``SB:`` for the side board, ``//`` comments: ``key, line_no, board, n, card_name``."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(text, r"\r?\n")).alias("line_no", "line"))
+    """Deck lists as text: ``count [set] name`` lines, ``SB:`` for the side board, ``//`` comments: ``key, line_no, board, n, card_name``.
+
+    A line is a card if its first word is a number and a name follows; all
+    other lines are left out.
+    """
+    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")).alias("line_no", "line"))
     line = F.trim("line")
-    body = F.trim(F.regexp_replace(line, r"^SB:\s*", ""))
-    pattern = r"^(\d+)\s+(?:\[[^\]]*\]\s+)?(.+)$"
-    kept = lines.where(~line.startswith("//") & body.rlike(pattern))
-    return kept.select("key", "line_no", F.when(line.startswith("SB:"), "side").otherwise("main").alias("board"), F.regexp_extract(body, pattern, 1).cast("int").alias("n"), F.trim(F.regexp_extract(body, pattern, 2)).alias("card_name"))
+    side = line.startswith("SB:")
+    body = F.trim(F.when(side, F.substr(line, F.lit(4))).otherwise(line))
+    words = F.filter(F.split(body, r"\s"), lambda w: w != "")
+    head = F.coalesce(F.get(words, F.lit(0)), F.lit(""))
+    count = F.when(F.regexp_count(head, F.lit(r"\D")) == 0, head.try_cast("int"))
+    rest = F.trim(F.substr(body, F.length(head) + 1))
+    tagged = rest.startswith("[") & (F.instr(rest, "]") > 0)
+    name = F.trim(F.when(tagged, F.substr(rest, F.instr(rest, "]") + 1)).otherwise(rest))
+    parsed = lines.where(~line.startswith("//") & (F.size(words) > 0)).select("key", "line_no", F.when(side, "side").otherwise("main").alias("board"), count.alias("n"), name.alias("card_name"))
+    return parsed.where("n IS NOT NULL AND card_name <> ''")
 
 
 def wide_csv(spark: SparkSession, path: str, prefixes: tuple[str, ...] = ("opening_hand_", "drawn_", "deck_", "pack_card_")) -> DataFrame:

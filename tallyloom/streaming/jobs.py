@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyloom.operators.maintain import diff_apply
@@ -48,18 +50,12 @@ def admit(times: list[float], seen: list[float], most: int, seconds: float) -> t
 
     A call exactly ``seconds`` old no longer counts.
     """
-    kept, verdict, wait = list(seen), [], []
+    held, verdict, wait = deque(seen), [], []
     for t in times:
-        while kept and t - kept[0] >= seconds:
-            kept.pop(0)
-        if len(kept) < most:
-            kept.append(t)
-            verdict.append(True)
-            wait.append(None)
-        else:
-            verdict.append(False)
-            wait.append(kept[0] + seconds - t)
-    return verdict, kept, wait
+        good, left = _admit_one(held, t, most, seconds)
+        verdict.append(good)
+        wait.append(left)
+    return verdict, list(held), wait
 
 
 def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60, late: str = "1 minute") -> DataFrame:
@@ -85,23 +81,86 @@ def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds:
     return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean, wait_seconds double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rate_limit_batch(df: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60) -> DataFrame:
-    """:func:`rate_limit` over finished input: keys are sorted within partitions and read as a stream, one key's window in memory at a time."""
+def rate_limit_batch(df: DataFrame, key: str, stamp: str, most: int = 60, seconds: int = 60, order: str | None = None) -> DataFrame:
+    """:func:`rate_limit` over finished input, with all columns: ``key`` (text), the others, ``admitted``, ``wait_seconds``.
+
+    Verdicts depend on all that was admitted before, so a key's calls are read
+    in order (of equal times by ``order``) by one task; they are sorted on disk
+    if need be and pass through in batches, and what is held is at most
+    ``most`` times. A null time is refused.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, []
+        current, held = None, deque()
         for pdf in batches:
             verdicts, waits = [], []
             for k, t in zip(pdf["key"], pdf["us"]):
                 if k != current:
-                    current, kept = k, []
-                v, kept, w = admit([t / 1e6], kept, most, seconds)
-                verdicts += v
-                waits += w
+                    current, held = k, deque()
+                good, wait = (False, None) if t != t or t is None else _admit_one(held, t / 1e6, most, seconds)
+                verdicts.append(good)
+                waits.append(wait)
             yield pdf.assign(admitted=verdicts, wait_seconds=pd.Series(waits, dtype="float64", index=pdf.index))
 
-    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(stamp).cast("timestamp")).alias("us"))
-    return rows.repartition("key").sortWithinPartitions("key", "us").mapInPandas(run, "key string, us bigint, admitted boolean, wait_seconds double")
+    rest = [c for c in df.columns if c not in (key, "key", "us", "admitted", "wait_seconds")]
+    rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(stamp).cast("timestamp")).alias("us"), *rest)
+    arranged = rows.repartition("key").sortWithinPartitions("key", "us", *([order] if order else []))
+    return arranged.mapInPandas(run, T.StructType([*arranged.schema.fields, T.StructField("admitted", T.BooleanType()), T.StructField("wait_seconds", T.DoubleType())]))
+
+
+def _admit_one(held: deque, t: float, most: int, seconds: float) -> tuple[bool, float | None]:
+    """Verdict on one call and the wait if it is refused; ``held`` is brought up to date."""
+    while held and t - held[0] >= seconds:
+        held.popleft()
+    if len(held) < most:
+        held.append(t)
+        return True, None
+    return False, held[0] + seconds - t
+
+
+def rate_limit_total(df: DataFrame, key: str, stamp: str, most: int = 60, most_total: int = 300, seconds: int = 60, order: str | None = None) -> DataFrame:
+    """Two limits at once, of a key and of all keys together: adds ``admitted`` and ``refused_by`` (key, total).
+
+    A call counts against both only if both admit it. The verdict on a call
+    depends on all calls before it, whatever their key, so this is one stream
+    in order of time; long times without calls part it: where no call came for
+    ``seconds``, nothing before matters, and the stretches between such gaps
+    are dealt to different tasks.
+    """
+    us = F.unix_micros(F.col(stamp).cast("timestamp"))
+    timed = df.where(F.col(stamp).isNotNull()).withColumn("__us", us)
+    step = seconds * 1_000_000
+    calls = timed.withColumn("__s", F.floor(F.col("__us") / step))
+    # Windows that hold calls are few against the calls; a stretch begins where the window before is empty.
+    slots = calls.select("__s").distinct().withColumn("__new", F.coalesce(F.col("__s") - F.lag("__s").over(Window.orderBy("__s")) > 1, F.lit(True)))
+    stretches = slots.select("__s", F.max(F.when(F.col("__new"), F.col("__s"))).over(Window.orderBy("__s")).alias("__slot"))
+    part = calls.join(stretches, "__s")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, every, own = None, deque(), {}
+        for pdf in batches:
+            verdicts, by = [], []
+            for part_, k, t in zip(pdf["__slot"], pdf["key"], pdf["__us"]):
+                if part_ != current:
+                    current, every, own = part_, deque(), {}
+                t = t / 1e6
+                mine = own.setdefault(k, deque())
+                for held in (mine, every):
+                    while held and t - held[0] >= seconds:
+                        held.popleft()
+                reason = "key" if len(mine) >= most else "total" if len(every) >= most_total else None
+                if reason is None:
+                    mine.append(t)
+                    every.append(t)
+                verdicts.append(reason is None)
+                by.append(reason)
+            yield pdf.drop(columns=["__slot", "__us"]).assign(admitted=verdicts, refused_by=by)
+
+    rest = [c for c in df.columns if c not in (key, "key", "admitted", "refused_by")]
+    rows = part.select("__slot", F.col(key).cast("string").alias("key"), "__us", *rest)
+    arranged = rows.repartition("__slot").sortWithinPartitions("__slot", "__us", *([order] if order else []))
+    shape = T.StructType([*[f for f in arranged.schema.fields if f.name not in ("__slot", "__us")], T.StructField("admitted", T.BooleanType()), T.StructField("refused_by", T.StringType())])
+    return arranged.mapInPandas(run, shape)
 
 
 def apply_changes(old: Callable[[], DataFrame], write: Callable[[DataFrame], None], keys: Sequence[str], values: Sequence[str], stamp: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -124,12 +183,13 @@ def apply_changes(old: Callable[[], DataFrame], write: Callable[[DataFrame], Non
     return run
 
 
-def paired_calls(entries: DataFrame, ends: DataFrame, stamp: str, key: str, within: str = "1 hour") -> DataFrame:
-    """Entry and end rows of the same call joined within a time bound on both streams."""
-    a = entries.withWatermark(stamp, within).alias("a")
-    b = ends.withWatermark(stamp, within).alias("b")
+def paired_calls(entries: DataFrame, ends: DataFrame, stamp: str, key: str, within: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Entry and end rows of the same call joined within a time bound on both streams; ``late`` is how late rows may come (``within`` if not given)."""
+    a = entries.withWatermark(stamp, late or within).alias("a")
+    b = ends.withWatermark(stamp, late or within).alias("b")
     on = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"b.{stamp}") >= F.col(f"a.{stamp}")) & (F.col(f"b.{stamp}") <= F.col(f"a.{stamp}") + F.expr(f"INTERVAL {within}"))
-    return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col(f"a.{stamp}").alias("started"), F.col(f"b.{stamp}").alias("ended"))
+    rest = [F.col(f"a.{c}") for c in entries.columns if c not in (key, stamp)] + [F.col(f"b.{c}") for c in ends.columns if c not in (key, stamp)]
+    return a.join(b, on).select(F.col(f"a.{key}").alias(key), F.col(f"a.{stamp}").alias("started"), F.col(f"b.{stamp}").alias("ended"), *rest)
 
 
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:

@@ -143,8 +143,17 @@ def test_castable_refusals(spark):
     with pytest.raises(ValueError):
         P.grid(spark, {"a": list(range(10)), "b": list(range(10))})
     assert [tuple(r) for r in P.grid(spark, {"a": [2, 1, 2], "b": [5, 6]}).orderBy("row_no").collect()] == [(0, 2, 5), (1, 2, 6), (2, 1, 5), (3, 1, 6)]
-    assert P.register_sql(spark) == ["cards_seen", "ways"]
-    assert spark.sql("SELECT ways(60, 7), ways(5, 9), cards_seen(3, true, 0)").first()[:] == (float(math.comb(60, 7)), 0.0, 9)
+    names = P.register_sql(spark)
+    assert len(names) == 10 and all(n.startswith("mtg_") for n in names)
+    assert spark.sql("SELECT mtg_comb(60, 7), mtg_comb(5, 9), mtg_cards_seen(3, true, 0), mtg_cards_seen(3, false), mtg_hypergeom_atleast(60, 4, 7, NULL)").first()[:] == (float(math.comb(60, 7)), 0.0, 9, 10, None)
+    assert spark.sql("SELECT mtg_int_array_ok(NULL, 1), mtg_castable(60, array(10), array(4), array(array(1, 1)), array(1), 2, true, 0), mtg_prob_by_turn(60, 4, 1, true) = mtg_hypergeom_atleast(60, 4, 7, 1)").first()[:] == (False, None, True)
+
+
+def test_answers_tell_bad_input_from_undefined(spark):
+    calls = [("at_least", 60, 4, 0, 7, 1, True, 1, 0), ("combo_by_turn", 10, 6, 6, 0, 1, True, 1, 0), ("odds", 60, 4, 0, 7, 1, True, 1, 0), ("by_turn", 60, 4, 0, 7, 0, True, 1, 0), ("by_turn", 60, 61, 0, 7, 1, True, 1, 0), ("by_turn", None, 4, 0, 7, 1, True, 1, 0), (None, 60, 4, 0, 7, 1, True, 1, 0)]
+    df = spark.createDataFrame(calls, "kind string, deck_size int, copies int, copies_b int, draws int, turn int, on_play boolean, at_least int, mulligans int")
+    got = [(r["status"], r["percent"]) for r in P.answer_chances(df).collect()]
+    assert got == [(P.OK, "40.0%"), (P.UNDEFINED, None), (P.UNKNOWN_KIND, None), (P.OUT_OF_RANGE, None), (P.OUT_OF_RANGE, None), (P.OUT_OF_RANGE, None), (P.UNKNOWN_KIND, None)]
 
 
 def test_text(spark):
@@ -152,13 +161,40 @@ def test_text(spark):
     got = [r[0] for r in df.select(N.similarity_of(F.col("a"), F.col("b"))).collect()]
     assert got[0] == pytest.approx(0.363636, abs=1e-6) and got[1] == 1 and got[2] == 0 and got[3] == 0
     assert [T.stem(w) for w in ("running", "hopping", "relational", "ponies", "caresses", "agreed", "happy", "sky", "adoption", "controlling")] == ["run", "hop", "relat", "poni", "caress", "agre", "happi", "sky", "adopt", "control"]
-    assert T.score_names("Lightning", ["Lightning Bolt"]) == 0.9 and T.score_names("the", ["Hearth Elemental"]) == 0.0
-    assert T.score_names("Old Lightning Bolt Foil", ["Lightning Bolt"]) == 0.85 and T.score_names("", ["x"]) == 0.0
-    assert T.score_names("Bolt, Lightning!", ["lightning bolt"]) >= 0.8
     r = spark.createDataFrame([("Ａ＆Ｂ", "a &amp; b")], "x string, y string").select(T.name_form(F.col("x")), T.html_unescape(F.col("y")), T.sequence_ratio(F.col("x"), F.col("x"))).first()
     assert tuple(r) == ("a&b", "a & b", 1.0)
 
 
+def test_near_in_list(spark):
+    entries = spark.createDataFrame([("S", "Lightning Bolt", ["Lightning Bolt", "稲妻の一撃", None]), ("S", "Hearth Elemental", ["Hearth Elemental"]), ("S", "Ring", ["Ring"]), ("T", "Lightning Bolt", ["Lightning Bolt"])], "g string, k string, names array<string>")
+    asked = ["Lightning", "the", "Old Lightning Bolt Foil", "", "Bolt, Lightning!", "LIGHTNING-BOLT", "Ｒｉｎｇ", "ring", "Rin", "稲妻の一撃!", "稲妻", "火 稲妻の", "Lightnng Bolt", None]
+    q = spark.createDataFrame([("S", a, 1) for a in asked], "g string, a string, k int")
+    score = {(r["query"], r["key"]): r["score"] for r in N.near_in_list(q, "a", entries, "g", "names", "k", 5, 0.5).collect()}
+    bolt = {a: s for (a, k), s in score.items() if k == "Lightning Bolt"}
+    assert [bolt.get(a) for a in ("Lightning", "Old Lightning Bolt Foil", "LIGHTNING-BOLT", "稲妻の一撃!", "稲妻")] == [0.9, 0.85, 1.0, 1.0, 0.6]
+    assert bolt["Bolt, Lightning!"] == 0.8 and bolt["Lightnng Bolt"] > 0.9 and "" not in bolt
+    assert score["Ｒｉｎｇ", "Ring"] == score["ring", "Ring"] == 1.0 and ("the", "Hearth Elemental") not in score and ("Rin", "Ring") not in score
+    plain = {(r["query"], r["key"]): r["score"] for r in N.near_in_list(q, "a", entries, "g", "names", "k", 5, 0.5, fuzzy=False).collect()}
+    assert all(score[k] >= v for k, v in plain.items()) and ("Lightnng Bolt", "Lightning Bolt") not in {k for k, v in plain.items() if v > 0.8}
+    ties = N.near_in_list(q.where("a = 'Lightning'"), "a", entries.union(spark.createDataFrame([("S", "Lightning X", ["Lightning X"])], entries.schema)), "g", "names", "k", 1).first()
+    assert (ties["key"], ties["ties_left"]) == ("Lightning Bolt", 1)
+    assert rows(N.near_in_list(q, "a", entries.limit(0), "g", "names", "k")) == []
+
+
+def test_near_names_by_rare_trigrams(spark):
+    words = ["kestrel", "kestral", "of the lake", "lake", "of the moon", "moon", "", "x", "kes", None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    grams = lambda t: {("  " + x + " ")[i : i + 3] for x in re.findall("[a-z]+", t) for i in range(len(x) + 1)}
+    want = set()
+    for a in words:
+        for i, b in enumerate(words):
+            if a and b and (s := len(grams(a) & grams(b)) / len(grams(a) | grams(b))) > 0.3:
+                want.add((a, i, round(s, 6)))
+    got = {(r["query"], r["key"], r["similarity"]) for r in N.near_names(df, "w", df, "w", "i", 100).collect()}
+    assert got == want
+    assert rows(N.near_names(df, "w", df.limit(0), "w", "i")) == []
+
+
 def test_resolution(spark):
     cards = spark.createDataFrame(
         [(1, "Fire // Ice", "Fire", "Ice", False), (2, "Ice", "Ice", None, False), (3, "Wall", "Wall", None, True), (4, "Wall Two // Moss", "Wall Two", "Moss", False), (5, "Peat // Moss", "Peat", "Moss", False), (6, "wall", "wall", None, False)],
@@ -216,6 +252,14 @@ def test_sql_gate(spark):
     assert Q.run_sql(spark, "-- x\nSELECT id FROM range(100);", 1000).count() == 50
     with pytest.raises(Exception, match="larger than"):
         Q.guard_rows(spark.range(1).select(F.repeat(F.lit("x"), 400_000).alias("t")), 5).collect()
+    with pytest.raises(Exception, match="larger than"):
+        Q.guard_rows(spark.range(1).select(F.repeat(F.lit("x"), 400_000).alias("t"), F.lit(1).alias("t")), 5).collect()
+    spark.range(3).createOrReplaceTempView("three")
+    for bad in ("SELECT reflect('java.lang.System', 'getProperty', 'user.dir')", "SELECT id, java_method('java.lang.Math', 'abs', -1) FROM three", "SELECT * FROM parquet.`/tmp/x`", "WITH t AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM t", "SELECT (SELECT max(try_reflect('java.lang.System', 'lineSeparator')) FROM three)", "SELECT TRANSFORM(id) USING 'cat' FROM three", "SELECT id FROM three WHERE id IN (SELECT count(*) FROM json.`/x`)", "SELECT input_file_name() FROM three"):
+        with pytest.raises(Q.Refused):
+            Q.run_sql(spark, bad)
+    for good in ("WITH t AS (SELECT id, 'reflect(1)' AS x FROM three) SELECT a.id, sum(a.id) OVER (ORDER BY a.id) s FROM t a JOIN t b ON a.id = b.id WHERE a.id IN (SELECT id FROM three) AND EXISTS (SELECT 1 FROM three) ORDER BY 1", "SELECT id % 2, count(*), collect_list(id) FROM three GROUP BY 1 HAVING count(*) > 0 UNION ALL SELECT 1, 1, array(1)", "SELECT * FROM three PIVOT (count(*) FOR id IN (1, 2))", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 4) SELECT * FROM r", "SELECT id, e FROM three LATERAL VIEW explode(array(1, 2)) x AS e", "SELECT x.n FROM three, LATERAL (SELECT id + 1 AS n) x", "SELECT * FROM VALUES (1), (2) v(a) EXCEPT SELECT 1", "SELECT id FROM three LIMIT 2 OFFSET 1", "SELECT DISTINCT id, (SELECT max(id) FROM three) FROM three TABLESAMPLE (50 PERCENT)"):
+        Q.run_sql(spark, good).collect()
     assert Q.render(spark.createDataFrame([(None, "y" * 500)], "a int, b string"))[1].startswith("NULL | y") and len(Q.render(spark.createDataFrame([(None, "y" * 500)], "a int, b string"))[1]) < 200
 
 
@@ -254,6 +298,8 @@ def test_rate_limit(spark, tmp_path):
     e = spark.createDataFrame([("u", f"2026-01-01 00:00:{s:02d}") for s in (0, 1, 2, 10, 11)] + [("v", "2026-01-01 00:00:05")], "u string, t string").selectExpr("u", "cast(t as timestamp) ts")
     got = [r["admitted"] for r in J.rate_limit_batch(e, "u", "ts", 2, 10).where("key = 'u'").orderBy("us").collect()]
     assert got == [True, True, False, True, True]
+    both = {(r["key"], r["us"] // 1_000_000 % 60): (r["admitted"], r["refused_by"]) for r in J.rate_limit_total(e.withColumn("us", F.unix_micros("ts")).withColumnRenamed("us", "us2").withColumn("us", F.col("us2")), "u", "ts", 2, 2, 10).collect()}
+    assert both == {("u", 0): (True, None), ("u", 1): (True, None), ("u", 2): (False, "key"), ("v", 5): (False, "total"), ("u", 10): (True, None), ("u", 11): (True, None)}
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = J.read_stream(spark, str(tmp_path / "in"), e.schema)
     out = J.run_once(J.rate_limit(stream, "u", "ts", 2, 10), "limited_calls", "append", str(tmp_path / "cp"))
@@ -279,7 +325,7 @@ def test_all_rulings_are_read(spark, tmp_path):
     from tallyloom.plans import registered
 
     spark.createDataFrame([(1, "two  blanks"), (2, None), (3, "plain")], "id int, comment string").write.parquet(f"{tmp_path}/card_rulings.parquet")
-    assert rows(registered()[0]["s07_rulebook_all"](spark, str(tmp_path))) == [(1, "12.1a", "two  blanks and so on"), (3, "12.3a", "plain and so on")]
+    assert rows(registered()[0]["s07_rulebook"](spark, str(tmp_path))) == [(1, "12.1a", "two  blanks and so on"), (3, "12.3a", "plain and so on")]
 
 
 def test_changes_of_one_key_in_a_batch(spark):
@@ -306,10 +352,10 @@ def test_first_seen_in_files_out_of_order(spark, tmp_path):
     from tallyloom.plans import registered
 
     # Newest first in three batches of files, as the watermark drops rows two batches on; event i is in files i and i + 1.
-    e = spark.range(250).selectExpr("id AS file", "explode(array(id, id + 1)) AS event_id").selectExpr("event_id", "file", "timestamp'2025-06-01' - make_interval(0, 0, 0, 0, cast(event_id * 5 AS int)) AS ts")
+    e = spark.range(250).selectExpr("id AS file", "explode(array(id, id + 1)) AS user_id").selectExpr("user_id", "file", "'x' AS event_type", "timestamp'2025-06-01' - make_interval(0, 0, 0, 0, cast(user_id * 5 AS int)) AS ts")
     e.repartitionByRange(250, "file").drop("file").write.parquet(f"{tmp_path}/events.parquet")
     assert len(list((tmp_path / "events.parquet").glob("*.parquet"))) > 200
-    assert rows(registered()[0]["st_first_seen"](spark, str(tmp_path))) == [(251,)]
+    assert rows(registered()[0]["st_first_seen"](spark, str(tmp_path))) == sorted([(i, "x") for i in range(251)], key=repr)
 
 
 def test_pick_states_and_combos(spark):
@@ -362,3 +408,96 @@ def test_bare_names_in_running_text(spark):
     want = sorted(((k, a, w) for k, t in enumerate(texts) for a, w in brute(t)), key=repr)
     assert rows(got) == want
     assert (0, 0, "太陽の指輪") in want and (2, 4, "Old Wall") in want and (3, 1, "Brainstorm") in want and len(want) > 8
+
+
+def test_mentions_in_blocks_of_the_dictionary(spark, sf_dir, monkeypatch):
+    cards = spark.read.parquet(f"{sf_dir}/mtg_cards_v2.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    one = rows(K.verify_texts(docs, "doc_id", "text", cards))
+    listed = K.name_forms(cards.collect())
+    assert rows(K.verify_mentions(docs, "doc_id", "text", listed)) == one
+    monkeypatch.setattr(K, "BLOCK_NAMES", 4000)
+    assert rows(K.verify_texts(docs, "doc_id", "text", cards)) == one and {r[-1] for r in one} >= {"ok", "bare"}
+
+
+def test_rewriting(spark):
+    t = spark.createDataFrame([(1, "Ice and 《Ice》, 《Fire/Ice》. Old Wall"), (2, "none"), (3, None)], "id int, t string")
+    m = K.verify_mentions(t, "id", "t", [("Frost", "《Fire/Ice》"), ("Ice", "《Fire/Ice》"), ("Old Wall", "《壁/Old Wall》")])
+    got = {r["key"]: (r["text"], r["n_changed"]) for r in K.rewritten(t, "id", "t", m).collect()}
+    assert got == {1: ("Ice and 《Fire/Ice》, 《Fire/Ice》. 《壁/Old Wall》", 2), 2: ("none", 0), 3: (None, 0)}
+
+
+def test_pair_counts_with_hot_baskets(spark, monkeypatch):
+    from collections import Counter
+    from itertools import combinations, product
+
+    from tallyloom.operators import pairs as X
+
+    monkeypatch.setattr(X, "HOT_SHARE", 0.3)
+    left = [(s, b, i) for s in (1, 2) for b in range(6) for i in range(b * 2)] + [(1, 99, i) for i in range(60)] + [(1, None, 1), (1, 2, None)]
+    right = [(s, b, i) for s in (1, 2) for b in range(3, 8) for i in range(3, 3 + b)] + [(1, 99, i) for i in range(5)]
+    a, b = (spark.createDataFrame([(*r, 0) for r in x], "s int, b int, i int, n int") for x in (left, right))
+    sets = [{}, {}]
+    for k, data in enumerate((left, right)):
+        for s, x, i in data:
+            if x is not None and i is not None:
+                sets[k].setdefault((s, x), set()).add(i)
+    one = Counter((s, *p) for (s, _), v in sets[0].items() for p in combinations(sorted(v), 2))
+    two = Counter((k[0], *p) for k, v in sets[0].items() for p in product(v, sets[1].get(k, ())))
+    for chunk in (4, 256):
+        assert {tuple(r)[:3]: r["n"] for r in X.pair_counts(a, ["s", "b"], "i", chunk, ["s"]).collect()} == one
+        assert {tuple(r)[:3]: r["n"] for r in X.cross_counts(a, b, ["s", "b"], "i", chunk, ["s"]).collect()} == two
+    assert X.pair_counts(a.limit(0), ["s", "b"], "i").count() == 0 and X.cross_counts(a, b.limit(0), ["s", "b"], "i").count() == 0
+
+
+def test_answers_on_fixtures(spark):
+    from tallyloom.operators import answers as A
+
+    cards = spark.createDataFrame(
+        [(1, "Fire Song", "火の歌", False, 5, {"modern": "legal"}, "Instant", "deal 2 harm"), (2, "Fire", None, False, None, {"modern": "banned"}, "Instant", "song of fire"), (3, "Fire Hall", None, True, 1, {}, "Land", None), (4, "Icy Hall", "氷", False, 2, {"modern": "legal"}, "Land", "a hall")],
+        "id int, card_name string, japanese_name string, digital boolean, edhrec_rank int, legalities map<string,string>, type_line string, oracle_text string",
+    )
+    q = spark.createDataFrame([("fire",), ("火",), ("hall land",), ("Fyre Song",), ("zzzz",), (" ",), (None,)], "query string")
+    text = ["card_name", "japanese_name", "type_line", "oracle_text"]
+    got = {}
+    for r in A.search_cards(q, "query", cards, text, 2).collect():
+        got.setdefault(r["query"], []).append((r["status"], r["id"], r["stage"]))
+    got = {k: sorted(v, key=repr) for k, v in got.items()}
+    assert got["fire"] == [("ok", 1, 0), ("ok", 2, 0)] and got["火"] == [("ok", 1, 0)] and got["hall land"] == [("ok", 4, 1)] and got["Fyre Song"] == [("ok", 1, 2)]
+    assert got["zzzz"] == [("no match", None, None)] and got[" "] == got[None] == [("bad input", None, None)]
+    assert {r["id"] for r in A.search_cards(q.where("query = 'fire'"), "query", cards, text, 5, legal="modern").collect()} == {1}
+    assert {r["id"] for r in A.search_cards(q.where("query = 'fire'"), "query", cards, text, 5, digital=None).collect()} == {1, 2, 3}
+    assert A.search_cards(q, "query", cards.limit(0), text).where("status = 'ok'").count() == 0
+
+    rules = spark.createDataFrame([("702.1", False, "A trampling creature deals damage"), ("702.1a", False, "tramples over blockers"), ("702.19", False, "other rule"), ("Trample", True, "trample"), ("702.1.2", False, "x-y z")], "number string, is_glossary boolean, body string")
+    asked = spark.createDataFrame([("702.1",), ("702.1.",), ("trample",), ("trample rule zebra",), ("x-y",), ("qqq",), ("",)], "query string")
+    found = {}
+    for r in A.find_rules(asked, "query", rules, 5).orderBy("place").collect():
+        found.setdefault(r["query"], []).append((r["mode"], r["number"]) if r["status"] == "ok" else r["status"])
+    assert found["702.1"] == found["702.1."] == [("number", "702.1"), ("number", "702.1.2"), ("number", "702.1a")]
+    assert found["trample"][0] == ("all", "Trample") and len(found["trample"]) == 3 and found["trample rule zebra"][0][0] == "any" and found["x-y"][0] == ("all", "702.1.2")
+    assert found["qqq"] == ["no match"] and found[""] == ["bad input"]
+    k = A.first_with_more(spark.range(5).withColumn("g", F.lit(1)), ["g"], [F.col("id")], 5)
+    assert {r["more"] for r in k.collect()} == {False} and {r["more"] for r in A.first_with_more(spark.range(6).withColumn("g", F.lit(1)), ["g"], [F.col("id")], 5).collect()} == {True}
+
+
+def test_scopes_and_packs(spark):
+    scopes = spark.createDataFrame([("ABC", "Alpha Bay"), ("BAY", "Bay of Stars"), ("XYZ", None)], "code string, name string")
+    q = spark.createDataFrame([("#draft abc",), ("Sealed: alpha bay",), ("stars",), ("bay",), ("Limited",), ("alph",), ("nope",), (None,)], "q string")
+    got = {r["q"]: (r["code"], r["status"]) for r in G.resolve_scopes(q, "q", scopes.withColumn("key", F.col("code")), "key", "code", "name").withColumnRenamed("key", "code").collect()}
+    assert got == {"#draft abc": ("ABC", "resolved"), "Sealed: alpha bay": ("ABC", "resolved"), "stars": ("BAY", "resolved"), "bay": ("BAY", "resolved"), "Limited": (None, "unknown"), "alph": ("ABC", "resolved"), "nope": (None, "unknown"), None: (None, "unknown")}
+    stats = spark.createDataFrame([("S", "Wall", 400, 0.5, 2.0), ("S", "Twin", 1, 0.5, 2.0), ("S", "twin", 2, 0.5, 2.0), ("T", "Hill", 900, 0.5, 2.0)], "expansion string, card_name string, gih_games int, gih_wr double, alsa double")
+    packs = spark.createDataFrame([("S", x) for x in ("wall", "TWIN", "Hill", "Typo", None)] + [("T", "Hill")], "expansion string, card_name string")
+    known = spark.createDataFrame([("Wall",), ("Twin",), ("Hill",)], "n string")
+    got = {(r["expansion"], r["name"]): (r["status"], r["small_sample"]) for r in G.pack_report(packs, "card_name", stats, "expansion", known, "n").collect()}
+    assert got == {("S", "wall"): ("exact", True), ("S", "TWIN"): ("ambiguous", None), ("S", "Hill"): ("not in set", None), ("S", "Typo"): ("unverified", None), ("T", "Hill"): ("exact", False)}
+
+
+def test_reload_is_atomic(spark, tmp_path):
+    M.reload_table(spark.range(3), str(tmp_path / "t"))
+    old = M.current_table(spark, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="bad"):
+        M.reload_table(spark.range(5).select(F.raise_error(F.lit("bad")).cast("bigint").alias("id")), str(tmp_path / "t"))
+    assert M.current_table(spark, str(tmp_path / "t")).count() == old.count() == 3
+    M.reload_table(spark.range(7), str(tmp_path / "t"))
+    assert M.current_table(spark, str(tmp_path / "t")).count() == 7 and old.count() == 3
