@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.common import reach_workers
+
 LANGUAGES = ("en", "ja", "de", "fr", "es", "it")
 #: Buckets of the hashed subwords, size of their vectors, lengths of the subwords.
 BUCKET_BITS, SIZE, LENGTHS = 16, 16, (2, 3, 4)
@@ -260,6 +262,7 @@ def training_paragraphs(documents: DataFrame, checked: DataFrame, languages: Seq
     # Both samples are bounded by the parameters, so they may be broadcast.
     sample = chosen(labels, CHECKED_PER_LANGUAGE, True).unionByName(chosen(stated, STATED_PER_LANGUAGE, False))
     best = sample.groupBy("doc_id").agg(F.max_by("label", "trusted").alias("label"), F.max("trusted").alias("trusted"))
+    reach_workers(documents.sparkSession)
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(best), "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -305,6 +308,7 @@ def language_segments(documents: DataFrame, model: Model) -> DataFrame:
     texts, card lists and bare names have no stretch.
     """
     schema = "doc_id bigint, segment_no int, first_char int, last_char int, n_paragraphs int, lang string, confidence double"
+    reach_workers(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

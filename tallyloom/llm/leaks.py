@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.common import reach_workers
 from tallyloom.session import checkpoint_dir
 
 #: Evaluation items per pass over the corpus; longer lists are matched in blocks of about this many.
@@ -188,6 +189,7 @@ def leaked_items(documents: DataFrame, doc_id: str, text: str, items: DataFrame,
     """
     if not 1 <= run_words <= 64 or not 0 <= max_edits < run_words:
         raise ValueError("run_words must be 1 to 64, max_edits less")
+    reach_workers(documents.sparkSession)
     listed = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     slim = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id bigint, item_id bigint, edits int, passage_words int"

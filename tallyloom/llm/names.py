@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.common import reach_workers
 from tallyloom.session import checkpoint_dir
 
 #: Names of the canonical list that a worker holds at once; a longer list is matched in blocks of about this many.
@@ -321,6 +322,7 @@ def resolve_names(values: DataFrame, value: str, canon: DataFrame, canon_id: str
     # The work lies in the computing, not in the bytes: a fixed number of tasks keeps adaptive execution from joining them into one.
     tasks = 3 * values.sparkSession.sparkContext.defaultParallelism
     once = values.select(F.col(value).cast("string").alias("value")).distinct().repartition(tasks, "value")
+    reach_workers(values.sparkSession)
     checkpoint_dir(values.sparkSession)
     names = _folded(canon, canon_id, aliases).checkpoint()
     count = names.count()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.common import all_of, heavy_keys
+from tallyloom.common import all_of, heavy_keys, reach_workers
 from tallyloom.session import checkpoint_dir
 
 #: Rows a worker holds before it prunes them.
@@ -292,6 +292,7 @@ def top_items(df: DataFrame, groups: Sequence[str], score: str, item: str, n: in
     for c in (item, score):
         if not isinstance(df.schema[c].dataType, _CODED):
             raise TypeError(f"{c} has no order that a code can keep")
+    reach_workers(df.sparkSession)
     slim = df.select(*groups, F.col(item), F.col(score))
     if distinct:
         slim = slim.distinct()
