@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators.pairs import cross_counts, pair_counts
+from tallyloom.operators.resolve import display_form
 
 RECENT_DAYS = 90
 
@@ -268,6 +269,23 @@ def colour_partners(baskets: DataFrame, lines: DataFrame, cards: DataFrame, anch
     )
 
 
+def card_partners(baskets: DataFrame, lines: DataFrame, cards: DataFrame, format_name: str, card: str, since: Column, board: str = "main", least_with: int = 3) -> DataFrame:
+    """:func:`colour_partners` of a card by its name, in a format's lists from a day on.
+
+    The name is a full one, else a front; of several cards the smallest id. The
+    partners come with their display form, and with the card's colours. An
+    unknown card or format gives no rows.
+    """
+    named = cards.where((F.col("card_name") == card) | (F.col("name_en_front") == card))
+    anchor = named.orderBy((F.col("card_name") == card).desc_nulls_last(), "id").limit(1)
+    inside = baskets.where((F.col("format") == format_name) & (F.col("day") >= since)).select("basket")
+    got = colour_partners(inside, lines, cards, anchor.select("id").scalar(), board, least_with)
+    shown = cards.select(F.col("id").alias("partner"), display_form(F.col("japanese_name"), F.col("card_name")).alias("shown"))
+    colours = anchor.select(F.array_join(F.filter(F.array(*[F.lit(c) for c in "WUBRG"]), lambda c: F.array_contains("colors", c)), "").alias("c")).select("c").scalar()
+    order = ["n_with", "pct_with", "n_partner", "pct_back", "pct_base", "ratio", "n_anchor_lists", "n_color_lists"]
+    return got.join(shown, "partner").select(F.col("shown").alias("partner"), *order, F.coalesce(colours, F.lit("")).alias("color_group"))
+
+
 def adoption(baskets: DataFrame, lines: DataFrame, cards: DataFrame, excluded: str = "land") -> DataFrame:
     """Share of a format's baskets that hold an item on the main board. Not deduplicated; all baskets count below the line.
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.common import all_of, null_safe_hash, same
+from tallyloom.common import null_safe_hash, same
 
 
 def diff_actions(old: DataFrame, new: DataFrame, keys: Sequence[str], values: Sequence[str], scope: Column | None = None) -> DataFrame:

@@ -93,9 +93,14 @@ def match_names(values: DataFrame, value: str, cards: DataFrame) -> DataFrame:
     return v.join(best, "value", "left").select("value", F.col("b.name").alias("db_name"), kind.alias("match_kind"))
 
 
+def display_form(local: Column, name: Column) -> Column:
+    """Local and English name together in brackets, or the English name alone."""
+    return F.when(local.isNotNull(), F.concat(F.lit("《"), local, F.lit("/"), name, F.lit("》"))).otherwise(name)
+
+
 def display_name(cards: DataFrame) -> DataFrame:
-    """``id, display``: local and English name together, or the English name alone; ``«local/English»`` in angle brackets of the local script."""
-    return cards.select("id", F.when(F.col("japanese_name").isNotNull(), F.concat(F.lit("《"), F.col("japanese_name"), F.lit("/"), F.col("card_name"), F.lit("》"))).otherwise(F.col("card_name")).alias("display"))
+    """``id, display``: see :func:`display_form`."""
+    return cards.select("id", display_form(F.col("japanese_name"), F.col("card_name")).alias("display"))
 
 
 def near_names(queries: DataFrame, query: str, names: DataFrame, name: str, key: str, k: int = 3, least: float = 0.3, ties: bool = False) -> DataFrame:

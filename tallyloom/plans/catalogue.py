@@ -434,6 +434,33 @@ def _(s, d):
     return Q.run_sql(s, "-- #DEMO\nSELECT n_name, n_regionkey FROM nation ORDER BY n_name;", 10)
 
 
+_TOP = "(SELECT format_name AS f, arg_max(card_id, (n, -card_id)) AS anchor FROM (SELECT format_name, card_id, count(DISTINCT deck_id) AS n FROM deck_cards JOIN deck_list d ON d.id = deck_id WHERE card_id IS NOT NULL AND lower(regexp_replace(board, '[^\\p{L}\\p{N}]+', '', 'g')) = 'main' GROUP BY ALL) WHERE format_name IS NOT NULL GROUP BY 1)"
+_PARTNERS = rf"""WITH top AS {_TOP}, a AS (SELECT f, c.id, c.card_name, coalesce(c.colors, []) AS colors FROM top JOIN mtg_cards_v2 c ON c.id = anchor),
+l AS (SELECT DISTINCT a.f, deck_id AS basket, lower(regexp_replace(board, '[^\p{{L}}\p{{N}}]+', '', 'g')) AS board, card_id AS item FROM deck_cards JOIN deck_list d ON d.id = deck_id JOIN a ON a.f = d.format_name WHERE card_id IS NOT NULL AND tournament_date >= DATE '2026-07-01' - 400),
+firsts AS (SELECT f, min(basket) AS basket FROM (SELECT f, basket, md5(string_agg(board || ':' || item, ',' ORDER BY board, item)) AS s FROM l GROUP BY ALL) GROUP BY f, s), it AS (SELECT l.* FROM l JOIN firsts USING (f, basket)),
+have AS (SELECT f, basket, list(DISTINCT c) AS have FROM (SELECT f, basket, unnest(colors) AS c FROM it JOIN mtg_cards_v2 m ON m.id = item WHERE board = 'main') GROUP BY ALL),
+j AS (SELECT f, firsts.basket, list_has_all(coalesce(have, []), a.colors) AS same, EXISTS (SELECT 1 FROM it WHERE it.f = f AND it.basket = firsts.basket AND it.item = a.id AND it.board = 'main') AS has FROM firsts JOIN a USING (f) LEFT JOIN have USING (f, basket)),
+t AS (SELECT f, count(*) FILTER (has) AS na, count(*) FILTER (same) AS nc FROM j GROUP BY 1), k AS (SELECT f, item, count(*) FILTER (has) AS n_with, count(*) FILTER (same) AS n_partner FROM it JOIN j USING (f, basket) WHERE board = 'side' GROUP BY ALL)
+SELECT k.f AS format_name, CASE WHEN japanese_name IS NULL THEN m.card_name ELSE '《' || japanese_name || '/' || m.card_name || '》' END AS partner, n_with, round(100.0::DOUBLE * n_with / nullif(na, 0), 1) AS pct_with, n_partner, round(100.0::DOUBLE * n_with / nullif(n_partner, 0), 1) AS pct_back, round(100.0::DOUBLE * n_partner / nullif(nc, 0), 1) AS pct_base,
+  round((n_with::DOUBLE / nullif(na, 0)) / nullif(n_partner::DOUBLE / nullif(nc, 0), 0), 2) AS ratio, na AS n_anchor_lists, nc AS n_color_lists, array_to_string(list_filter(['W', 'U', 'B', 'R', 'G'], lambda c: list_contains(a.colors, c)), '') AS color_group
+FROM k JOIN t ON t.f = k.f JOIN a ON a.f = k.f JOIN mtg_cards_v2 m ON m.id = item WHERE item <> a.id AND n_with >= 2 AND NOT contains(coalesce(type_line, ''), 'Basic Land')"""
+
+
+@query("u_card_partners", _PARTNERS)
+def _(s, d):
+    """The table function in SQL text, for the most played card of every format, over side boards."""
+    from tallyloom.plans import baskets as PB
+
+    decks, cards, lists = load(s, d, "deck_cards").where(squash("board") == "main"), load(s, d, "mtg_cards_v2"), load(s, d, "deck_list")
+    counted = decks.join(lists.select(F.col("id").alias("deck_id"), "format_name"), "deck_id").where("card_id IS NOT NULL AND format_name IS NOT NULL").groupBy("format_name", "card_id").agg(F.countDistinct("deck_id").alias("n"))
+    top = counted.groupBy("format_name").agg(F.max(F.struct("n", -F.col("card_id"))).alias("b")).select("format_name", (-F.col("b.col2")).alias("id")).join(cards.select("id", "card_name"), "id")
+    # One call for each format, of which there are few: they are arguments of the statement.
+    calls = [f"SELECT '{r['format_name']}' AS format_name, * FROM mtg_card_partners('{r['format_name']}', '{r['card_name'].replace(chr(39), chr(39) * 2)}', 400, 'side', 2)" for r in top.orderBy("format_name").collect()]
+    if not calls:
+        calls = ["SELECT '' AS format_name, * FROM mtg_card_partners('none', 'none')"]
+    return s.sql(Q.with_partners(s, " UNION ALL ".join(calls), PB.baskets(s, d), PB.lines(s, d), cards, F.lit("2026-07-01").cast("date")))
+
+
 @query("p18_decorated", "SELECT c.card_name, c.id, CASE WHEN japanese_name IS NULL THEN card_name ELSE japanese_name || '/' || card_name END AS card_name_display FROM mtg_cards_v2 c")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and characters returned at most; a row larger than this is an error.
@@ -74,6 +75,34 @@ def _asked(value, relations: list[str], functions: list[str]) -> None:
             _asked(v, relations, functions)
 
 
+#: Name and arguments, with their defaults, of the table function for partners (fixed values).
+PARTNERS, DAYS, BOARD, LEAST_WITH = "mtg_card_partners", 90, "main", 3
+_CALL = re.compile(PARTNERS + r"\s*\((?P<args>(?:[^()']|'(?:[^'\\]|\\.|'')*')*)\)", re.IGNORECASE)
+
+
+def with_partners(spark: SparkSession, sql: str, baskets: DataFrame, lines: DataFrame, cards: DataFrame, today: Column | None = None) -> str:
+    """The statement with every ``mtg_card_partners(format, card, days = 90, board = 'main', min_with = 3)`` replaced by a view of its rows.
+
+    Spark's own SQL functions can't pass a parameter into nested aggregates, so
+    each call becomes the plan of :func:`basket.card_partners`, lazily. The
+    arguments must be constants. ``baskets`` and ``lines`` as in that module;
+    ``today`` ends the window (the current date if not given).
+    """
+    from tallyloom.operators.basket import card_partners
+
+    def view(call: re.Match) -> str:
+        values = list(spark.sql(f"SELECT {call.group('args')}").first())
+        if not 2 <= len(values) <= 5:
+            raise Refused("arguments", f"{PARTNERS} takes two to five arguments")
+        format_name, card, days, board, least = [*values, *(DAYS, BOARD, LEAST_WITH)[len(values) - 2 :]]
+        since = F.date_sub(F.current_date() if today is None else today, int(days))
+        name = f"partners_{uuid.uuid4().hex}"
+        card_partners(baskets, lines, cards, format_name, card, since, board, int(least)).createOrReplaceTempView(name)
+        return name
+
+    return _CALL.sub(view, sql)
+
+
 def run_sql(spark: SparkSession, sql: str, max_rows: int = 30) -> DataFrame:
     """The admitted query with at most ``max_rows`` rows; oversized rows raise.
 

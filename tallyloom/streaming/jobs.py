@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.common import reach_workers
 from tallyloom.operators.maintain import diff_apply
 
 
@@ -77,6 +78,7 @@ def rate_limit(stream: DataFrame, key: str, stamp: str, most: int = 60, seconds:
         state.setTimeoutTimestamp(max(int(max(times) * 1000) + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [str(k[0])] * len(pdf), "ts": pdf["ts"], "admitted": verdict, "wait_seconds": wait})
 
+    reach_workers(stream.sparkSession)
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(stamp).alias("ts")).withWatermark("ts", late)
     return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, admitted boolean, wait_seconds double", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -102,6 +104,7 @@ def rate_limit_batch(df: DataFrame, key: str, stamp: str, most: int = 60, second
                 waits.append(wait)
             yield pdf.assign(admitted=verdicts, wait_seconds=pd.Series(waits, dtype="float64", index=pdf.index))
 
+    reach_workers(df.sparkSession)
     rest = [c for c in df.columns if c not in (key, "key", "us", "admitted", "wait_seconds")]
     rows = df.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(stamp).cast("timestamp")).alias("us"), *rest)
     arranged = rows.repartition("key").sortWithinPartitions("key", "us", *([order] if order else []))
@@ -156,6 +159,7 @@ def rate_limit_total(df: DataFrame, key: str, stamp: str, most: int = 60, most_t
                 by.append(reason)
             yield pdf.drop(columns=["__slot", "__us"]).assign(admitted=verdicts, refused_by=by)
 
+    reach_workers(df.sparkSession)
     rest = [c for c in df.columns if c not in (key, "key", "admitted", "refused_by")]
     rows = part.select("__slot", F.col(key).cast("string").alias("key"), "__us", *rest)
     arranged = rows.repartition("__slot").sortWithinPartitions("__slot", "__us", *([order] if order else []))
