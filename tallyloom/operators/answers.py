@@ -210,6 +210,36 @@ def find_partners(requests: DataFrame, windows: DataFrame, counts: DataFrame, pa
     return out.select("format", "relation", "anchor", status.alias("status"), *shown)
 
 
+def draft_pools(requests: DataFrame, key: str, code: str, scope: str, picks: str, version: str = "SD1") -> DataFrame:
+    """Pools carried on from their codes: ``key, status, names, code``.
+
+    ``requests``: a code (null for a new pool), the scope, and an array of picks
+    (``position`` from 1, ``item``). A code that was changed gives ``bad input``
+    with no names; a pick that contradicts the pool gives ``conflict``, one that
+    leaves a place open ``gap``, and the pool stays as it was, with its code.
+    Else the new names stand behind the known ones, under a new code. Picks that
+    are known already change nothing. An empty pool has no code.
+    """
+    from tallyloom.operators.catalogue import apply_picks, decode_codes, encode_codes
+
+    none = F.array().cast("array<string>")
+    r = requests.select(F.col(key).alias("key"), F.col(code).alias("old"), F.col(scope).alias("wanted"), F.col(picks).alias("picks"))
+    read = decode_codes(r, "old", [version])
+    fine = F.col("old").isNull() | ((F.col("state") == "ok") & (F.col("scope") == F.col("wanted")))
+    read = read.select("key", "old", "wanted", "picks", fine.alias("fine"), F.when(F.col("old").isNotNull() & fine, F.col("names")).otherwise(none).alias("known"))
+    known = read.select("key", F.posexplode("known").alias("at", "item")).select("key", (F.col("at") + 1).alias("position"), "item")
+    sent = read.where("fine").select("key", F.explode("picks").alias("p")).select("key", "p.position", F.col("p.item").cast("string").alias("item"))
+    states = apply_picks(known, sent, "key").groupBy("key").agg(
+        F.bool_or(F.col("state") == "conflict").alias("conflict"), F.bool_or(F.col("state") == "gap").alias("gap"),
+        F.array_sort(F.collect_list(F.when(F.col("state") == "added", F.struct("position", "item")))).alias("added"),
+    )
+    joined = read.join(states, "key", "left")
+    status = F.when(~F.col("fine"), BAD_INPUT).when(F.col("conflict"), "conflict").when(F.col("gap"), "gap").otherwise(OK)
+    out = joined.withColumn("status", status).withColumn("names", F.when(F.col("status") == OK, F.concat("known", F.coalesce(F.col("added.item"), none))).otherwise(F.col("known")))
+    coded = encode_codes(out.drop("code"), version, "wanted", F.col("names"))
+    return coded.select("key", "status", "names", F.when(F.col("fine") & (F.size("names") > 0), F.col("code")).alias("code"))
+
+
 def display_names(names: DataFrame, name: str, cards: DataFrame, as_of: Column, first: str, kind: str) -> DataFrame:
     """How typed names are shown: ``query, status, id, display, candidates, state``.
 

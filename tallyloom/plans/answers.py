@@ -148,3 +148,26 @@ def report(s, d):
     """All cards as lines of a markdown and of a tab-separated report."""
     c = load(s, d, "mtg_cards_v2").select("id", "card_name", "japanese_name")
     return A.report_lines(c, "markdown").withColumn("kind", F.lit("markdown")).unionByName(A.report_lines(c).withColumn("kind", F.lit("tsv")))
+
+
+@query("t_draft_pools", """WITH l AS (SELECT l_orderkey AS game, l_linenumber::INT AS position, min(l_partkey) AS item FROM lineitem GROUP BY ALL), g AS (SELECT DISTINCT game FROM l),
+c AS (SELECT game, row_number() OVER (PARTITION BY game ORDER BY position) AS position, item::VARCHAR AS item FROM l WHERE position <= 2 AND game % 11 <> 0), h AS (SELECT game, count(*) AS last FROM c GROUP BY 1),
+k AS (SELECT * FROM c WHERE game % 7 <> 0), p AS (SELECT game, position, (CASE WHEN item % 5 = 0 AND position <= 2 THEN -item ELSE item END)::VARCHAR AS item FROM l WHERE (position <> 4 OR game % 2 = 0) AND game NOT IN (SELECT game FROM h WHERE game % 7 = 0)),
+j AS (SELECT p.*, k.item AS old, coalesce(h.last, 0) AS last FROM p LEFT JOIN k USING (game, position) LEFT JOIN h USING (game)),
+s AS (SELECT *, CASE WHEN position <= last THEN CASE WHEN old = item THEN 'resent' ELSE 'conflict' END WHEN position - last = (SELECT count(*) FROM p q WHERE q.game = j.game AND q.position > j.last AND q.position <= j.position) THEN 'added' ELSE 'gap' END AS state FROM j),
+a AS (SELECT game, bool_or(state = 'conflict') AS conflict, bool_or(state = 'gap') AS gap, string_agg(CASE WHEN state = 'added' THEN item END, ';' ORDER BY position) AS added FROM s GROUP BY 1), n AS (SELECT game, string_agg(item, ';' ORDER BY position) AS names FROM k GROUP BY 1)
+SELECT *, status <> 'bad input' AND names <> '' AS coded FROM (SELECT g.game AS key, CASE WHEN g.game % 7 = 0 AND last IS NOT NULL THEN 'bad input' WHEN conflict THEN 'conflict' WHEN gap THEN 'gap' ELSE 'ok' END AS status, CASE WHEN status = 'ok' THEN concat_ws(';', n.names, added) ELSE coalesce(n.names, '') END AS names
+FROM g LEFT JOIN h ON h.game = g.game LEFT JOIN a ON a.game = g.game LEFT JOIN n ON n.game = g.game)""")
+def draft_pools(s, d):
+    """Every order as a pool: two lines come as a code, which every seventh order has spoilt and every eleventh lacks, the others as picks."""
+    from tallyloom.operators import catalogue as K
+
+    lines = load(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("game"), F.col("l_linenumber").cast("int").alias("position")).agg(F.min("l_partkey").alias("item"))
+    first = lines.where("position <= 2 AND game % 11 <> 0").groupBy("game").agg(F.array_sort(F.collect_list(F.struct("position", F.col("item").cast("string").alias("item")))).alias("f"))
+    codes = K.encode_codes(first.withColumn("scope", F.lit("ABC")), "SD1", "scope", F.col("f.item")).select("game", F.when(F.col("game") % 7 == 0, F.concat("code", F.lit("x"))).otherwise(F.col("code")).alias("code"))
+    item = F.when((F.col("item") % 5 == 0) & (F.col("position") <= 2), -F.col("item")).otherwise(F.col("item")).cast("string").alias("item")
+    picks = lines.groupBy("game").agg(F.collect_list(F.when((F.col("position") != 4) | (F.col("game") % 2 == 0), F.struct("position", item))).alias("picks"))
+    got = A.draft_pools(picks.join(codes, "game", "left").withColumn("scope", F.lit("ABC")), "game", "code", "scope", "picks")
+    # The new codes must read back as the names.
+    back = K.decode_codes(got.where("code IS NOT NULL").select("key", "code", F.col("names").alias("shown")), "code").where("state = 'ok' AND names = shown").select("key", F.lit(True).alias("coded"))
+    return got.join(back, "key", "left").select("key", "status", F.array_join("names", ";").alias("names"), F.coalesce("coded", F.lit(False)).alias("coded"))

@@ -179,6 +179,43 @@ def _(s, d):
     return _costs(s, d).select("p_partkey", F.array_join(F.transform(C.pip_masks(c), lambda x: x.cast("string")), ",").alias("masks"), C.generic(c).alias("generic"))
 
 
+_PIP = "CASE x WHEN '{W}' THEN 1 WHEN '{U/R}' THEN 10 WHEN '{C}' THEN 32 END"
+_LIST = f"[{_SYM.format(1)}, {_SYM.format(5)}, {_SYM.format(7)}]".replace("{{", "{").replace("}}", "}")
+_PLANS = f"""WITH s AS (SELECT p_partkey, list_filter({_LIST}, lambda x: x <> '') AS s FROM part),
+p AS (SELECT p_partkey, s, CASE WHEN len(s) = 0 THEN 'no symbol' WHEN list_contains(s, '{{Q}}') THEN 'unknown symbol' END AS error, list_filter(list_transform(s, lambda x: {_PIP}), lambda m: m IS NOT NULL) AS pips, len(list_filter(s, lambda x: x = '{{2}}')) * 2 AS generic, len(list_filter(s, lambda x: x = '{{2/G}}')) AS n_two,
+  list_concat(CASE WHEN list_contains(s, '{{X}}') THEN ['X counts as 0'] ELSE [] END, CASE WHEN list_contains(s, '{{B/P}}') THEN ['{{B/P}} is paid with life'] ELSE [] END) AS notes FROM s),
+t AS (SELECT *, list_sort(list_distinct(list_concat(pips, CASE WHEN n_two > 0 THEN [16] ELSE [] END))) AS types, list_transform(range(0, (1 << n_two)::INT), lambda b: n_two - bit_count(b::INT)) AS greens FROM p)
+SELECT p_partkey, error, CASE WHEN error IS NULL THEN array_to_string(notes, ';') END AS notes, CASE WHEN error IS NULL THEN array_to_string(types, ',') END AS types,
+  CASE WHEN error IS NULL THEN array_to_string(list_transform(greens, lambda g: CASE WHEN len(types) = 0 THEN '0' ELSE array_to_string(list_transform(types, lambda y: len(list_filter(pips, lambda m: m = y)) + CASE WHEN y = 16 THEN g ELSE 0 END), '+') END || '=' || (generic + 2 * (n_two - g) + len(pips) + g)), ' ') END AS ways FROM t"""
+
+
+@query("d34_plans", _PLANS)
+def _(s, d):
+    """What every cost asks of sources, and all ways to pay it."""
+    plan = C.cost_plan(F.col("cost"))
+    p = _costs(s, d).select("p_partkey", plan.alias("plan"))
+    w = p.select("p_partkey", "plan", C.ways_to_pay(F.col("plan")).alias("w"))
+    ways = F.transform("w.ways", lambda x: F.concat(F.array_join(x["need"].cast("array<string>"), "+"), F.lit("="), x["mana"].cast("string")))
+    good = F.col("plan.error").isNull()
+    return w.select("p_partkey", F.col("plan.error").alias("error"), F.when(good, F.array_join("plan.notes", ";")).alias("notes"), F.when(good, F.array_join(F.col("w.types").cast("array<string>"), ",")).alias("types"), F.when(good, F.array_join(ways, " ")).alias("ways"))
+
+
+@query("f_castable_costs", "WITH RECURSIVE t AS (SELECT p_partkey, CASE WHEN error IS NULL THEN 'ok' ELSE error END AS status FROM (" + _PLANS + ")) SELECT p_partkey, status, CASE WHEN status = 'ok' THEN true END AS rising FROM t")
+def _(s, d):
+    """The chance to pay every cost by each turn with three classes of sources; it never falls from turn to turn."""
+    from tallyloom.functions import probability as P
+
+    plan = C.cost_plan(F.col("cost"))
+    lands = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("count")) for m, n in ((1, 8), (24, 6), (2, 3), (32, 0), (3, 2))])
+    p = _costs(s, d).select("p_partkey", plan.alias("plan"))
+    p = p.select("p_partkey", "plan.error", C.ways_to_pay(F.col("plan")).alias("w")).withColumn("c", C.source_classes(lands, F.col("w.types")))
+    asked = p.where("error IS NULL").select("p_partkey", "w", "c", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("turn"))
+    chance = asked.withColumn("p", P.castable(F.lit(60), F.col("c.count"), F.col("c.canpay"), F.col("w.ways.need"), F.col("w.ways.mana"), F.col("turn"), F.lit(True), F.lit(0)))
+    by = chance.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("turn", "p"))).alias("l"), F.count("p").alias("n"))
+    rising = by.select("p_partkey", ((F.col("n") == 6) & F.forall(F.sequence(F.lit(1), F.lit(5)), lambda i: F.get("l", i)["p"] >= F.get("l", i - 1)["p"])).alias("rising"))
+    return p.join(rising, "p_partkey", "left").select("p_partkey", F.coalesce("error", F.lit("ok")).alias("status"), "rising")
+
+
 @query("d35_d36_pool", "SELECT CASE WHEN coalesce(type_line LIKE '%Land%', false) THEN 'lands' WHEN cmc IS NULL THEN 'not castable' ELSE 'curve' END AS bucket, CASE WHEN NOT coalesce(type_line LIKE '%Land%', false) AND cmc IS NOT NULL THEN least(cmc::INT, 7) END AS value, count(*) AS n FROM mtg_cards_v2 GROUP BY ALL")
 def _(s, d):
     c = load(s, d, "mtg_cards_v2")

@@ -30,6 +30,12 @@ def deck_documents(spark: SparkSession, path: str) -> DataFrame:
     return flat.select("file", "deck_name", "board", F.col("c.name").alias("card_name"), F.col("c.count").alias("n"))
 
 
+def unreadable_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files of a folder of JSON documents that hold no readable deck: ``file``; one row for each, so that none is lost without notice."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("v"))
+    return whole.where(F.col("v").isNull() | F.try_variant_get("v", "$.data", "variant").isNull()).select("file")
+
+
 def deck_text(df: DataFrame, key: str, text: str) -> DataFrame:
     """Deck lists as text: ``count [set] name`` lines, ``SB:`` for the side board, ``//`` comments: ``key, line_no, board, n, card_name``.
 

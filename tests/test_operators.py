@@ -235,6 +235,18 @@ def test_costs(spark):
     assert got[0][2] == "not_judged" and got[0][3] == "W/U"
 
 
+def test_ways_to_pay(spark):
+    df = spark.createDataFrame([("{1}{W/U}{2/G}{X}",), ("{3}",), ("{B/P}{W}{W}",), ("",), ("{W}x",), ("{Q}",), (None,), ("{2/G}{2/G}{2/R}",)], "c string").withColumn("p", C.cost_plan(F.col("c"))).withColumn("w", C.ways_to_pay(F.col("p")))
+    got = [(r["p"]["error"], list(r["w"]["types"] or []), [(list(x["need"]), x["mana"]) for x in r["w"]["ways"] or []], list(r["p"]["notes"] or [])) if r["p"]["error"] is None else r["p"]["error"] for r in df.collect()]
+    assert got[0] == (None, [3, 16], [([1, 1], 3), ([1, 0], 4)], ["X counts as 0"])
+    assert got[1] == (None, [], [([0], 3)], []) and got[2] == (None, [1], [([2], 2)], ["{B/P} is paid with life"])
+    assert got[3:7] == ["no symbol", "text outside of symbols", "unknown symbol", "no symbol"] and len(got[7][2]) == 8 and got[7][2][0] == ([1, 2], 3) and got[7][2][7] == ([0, 0], 6)
+    lands = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(n).alias("count")) for m, n in ((1, 3), (3, 2), (16, 4), (32, 5), (2, 0))])
+    k = df.limit(2).select(C.source_classes(lands, F.col("w.types")).alias("k")).collect()
+    assert [tuple(x) for x in k[0]["k"]] == [(0, 5), (1, 5), (2, 4)] and [tuple(x) for x in k[1]["k"]] == [(0, 14)]
+    assert P.castable_value(20, [5, 5, 4], [0, 1, 2], [[1, 1], [1, 0]], [3, 4], 4, True, 0) == pytest.approx(brute_castable([5, 5, 4], [0, 1, 2], [[1, 1], [1, 0]], [3, 4], 20, 10, 4), abs=1e-6)
+
+
 def test_codes_reject_every_change(spark):
     g = spark.createDataFrame([(1, "ABC", ["Alpha", "Beta x"])], "id int, scope string, names array<string>")
     code = K.encode_codes(g, "SD1", "scope", F.col("names")).first()["code"]
@@ -271,6 +283,9 @@ def test_readers(spark, tmp_path):
     (tmp_path / "decks").mkdir()
     (tmp_path / "decks" / "d.json").write_text('{"data": {"name": "D", "mainBoard": [{"name": "x", "count": 4}], "sideBoard": [], "commander": null}}')
     assert [tuple(r)[1:] for r in S.deck_documents(spark, str(tmp_path / "decks")).collect()] == [("D", "main", "x", 4)]
+    (tmp_path / "decks" / "bad.json").write_text('{"data": {"name": ')
+    (tmp_path / "decks" / "none.json").write_text('{"x": 1}')
+    assert sorted(r[0].rsplit("/", 1)[-1] for r in S.unreadable_documents(spark, str(tmp_path / "decks")).collect()) == ["bad.json", "none.json"]
     (tmp_path / "w.csv").write_text("won,deck_a,opening_hand_a,drawn_a\nTrue,1,,2\nFalse,NA,1,0\n")
     assert {r["item"]: (r["gp_games"], r["oh_games"]) for r in G.game_stats(S.wide_csv(spark, str(tmp_path / "w.csv"))).collect()} == {"a": (1, 1)}
     t = spark.createDataFrame([("// NAME x\n4 [ABC] Fire\nSB: 2 Ice\nbad\n",), (None,)], "t string").withColumn("k", F.lit(1))
