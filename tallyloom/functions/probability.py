@@ -67,11 +67,6 @@ def combo_by_turn(deck, a, b, turn, on_play, mulligans) -> Column:
     return F.when(a + b > deck, None).otherwise(F.round(p, 6))
 
 
-def int_array_ok(values: Column, n: Column) -> Column:
-    """An array of ``n`` whole numbers, none null or negative."""
-    return F.coalesce((F.size(values) == n) & F.forall(values, lambda v: v.isNotNull() & (v >= 0)), F.lit(False))
-
-
 def _comb_sql(n: str, k: str) -> str:
     small = f"least({k}, {n} - ({k}))"
     product = f"aggregate(sequence(1, greatest({small}, 1)), 1D, (p, j) -> p * ({n} - {small} + j) / j)"

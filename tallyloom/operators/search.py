@@ -1,4 +1,4 @@
-"""Search cascades over texts: names first, all terms, any term, substring, fuzzy."""
+"""Parts of searches over texts: by number, by ranked terms, by all of several words. The cascades over many questions are in ``answers``."""
 
 from __future__ import annotations
 
@@ -7,38 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import search_tokens, similarity, stems, trigrams
-
-
-def card_search(cards: DataFrame, text: str, k: int = 10, physical_only: bool = True) -> DataFrame:
-    """Names that contain the text, equal ones first; then entries that hold every term in any text column; fuzzy names only if both are empty.
-
-    One plan: each stage is a flag on the row, so the table is read once.
-    Output: ``id, card_name, stage`` (0 name, 1 text, 2 fuzzy), ``place``.
-    """
-    text, k = text.strip(), max(1, min(k, 20))
-    if not text:
-        return cards.select("id", "card_name", F.lit(0).alias("stage"), F.lit(0).alias("place")).limit(0)
-    rows = cards.where(~F.col("digital")) if physical_only else cards
-    q = F.lit(text.lower())
-    inside = lambda c, t: F.coalesce(F.contains(F.lower(c), t), F.lit(False))
-    name_hit = inside("card_name", q) | inside("japanese_name", q)
-    text_hit = F.lit(True)
-    for term in text.lower().split():
-        t = F.lit(term)
-        text_hit = text_hit & (inside("card_name", t) | inside("japanese_name", t) | inside("type_line", t) | inside("oracle_text", t))
-    grams = trigrams(F.lit(text))
-    close = F.greatest(similarity(trigrams(F.col("card_name")), grams), F.coalesce(similarity(trigrams(F.col("japanese_name")), grams), F.lit(0.0)))
-    equal = (F.lower("card_name") == q) | F.coalesce(F.lower("japanese_name") == q, F.lit(False))
-    staged = rows.select("id", "card_name", "edhrec_rank", equal.alias("equal"), F.when(name_hit, 0).when(text_hit, 1).otherwise(2).alias("stage"), close.alias("close"))
-    staged = staged.where((F.col("stage") < 2) | (F.col("close") > 0.3))
-    first = staged.agg(F.min("stage").alias("m")).select("m").scalar()
-    kept = staged.where((F.col("stage") < 2) | (first == 2))
-    order = [F.col("stage"), F.col("equal").desc(), F.when(F.col("stage") == 2, -F.col("close")), F.col("edhrec_rank").asc_nulls_last(), F.col("card_name")]
-    top = kept.orderBy(*order).limit(k)
-    from pyspark.sql import Window
-
-    return top.select("id", "card_name", "stage", F.row_number().over(Window.orderBy(*order)).alias("place"))  # k rows
+from tallyloom.functions.text import search_tokens, stems
 
 
 def number_lookup(rules: DataFrame, number: str) -> DataFrame:
@@ -70,25 +39,6 @@ def ranked_search(index: DataFrame, text: str, k: int = 12) -> DataFrame:
     return kept.orderBy(F.col("score").desc(), "key").limit(k)
 
 
-def text_lookup(texts: DataFrame, key: str, text: str, query: str, k: int = 12) -> DataFrame:
-    """:func:`ranked_search`, and where it finds nothing the texts that contain the query as written."""
-    ranked = ranked_search(term_index(texts, key, text), query, k)
-    none = ranked.agg((F.count(F.lit(1)) == 0).alias("e")).select("e").scalar()
-    plain = texts.where(F.contains(F.lower(text), F.lit(query.strip().lower()))).where(none).select(F.col(key).alias("key"), F.lit(0).alias("n_terms"), F.lit(0.0).alias("score"), F.lit("substring").alias("mode"))
-    return ranked.unionByName(plain.orderBy("key").limit(k))
-
-
-def lookup_by_name(table: DataFrame, column: str, name: str) -> DataFrame:
-    """Rows of a name: as written, else ignoring case, else of the only name that contains it."""
-    same = F.col(column) == name
-    low = F.lower(column) == name.lower()
-    part = F.contains(F.lower(column), F.lit(name.lower()))
-    staged = table.where(low | part).withColumn("stage", F.when(same, 0).when(low, 1).otherwise(2))
-    first = staged.agg(F.min("stage").alias("m")).select("m").scalar()
-    names = staged.where("stage = 2").agg(F.countDistinct(column).alias("n")).select("n").scalar()
-    return staged.where((F.col("stage") == first) & ((F.col("stage") < 2) | (names == 1)))
-
-
 def contains_all(columns: Sequence[str], terms: Sequence[str]) -> Column:
     """Every term stands in at least one of the columns, ignoring case."""
     out = F.lit(True)

@@ -93,12 +93,6 @@ def f_trigrams(s, d):
     return joined.select("a", "b", F.round(T.similarity(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
-def d25_search(s, d):
-    c = _cards(s, d)
-    tagged = [S.card_search(c, q, 10).withColumn("q", F.lit(q)) for q in ("kestrel", "rival gain", "kestral of lixpenhy")]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-
-
 _OK = "coalesce(contains(lower(card_name), {0}), false) OR coalesce(contains(lower(japanese_name), {0}), false) OR coalesce(contains(lower(type_line), {0}), false) OR coalesce(contains(lower(oracle_text), {0}), false)"
 D25_TEXT_SQL = f"SELECT id FROM mtg_cards_v2 WHERE NOT digital AND ({_OK.format(chr(39) + 'rival' + chr(39))}) AND ({_OK.format(chr(39) + 'gain' + chr(39))})"
 
@@ -124,16 +118,18 @@ def d27_text(s, d):
     return a.unionByName(b)
 
 
-def d28_rulings(s, d):
-    r = load(s, d, "card_rulings")
-    first = r.where("card_name IS NOT NULL").agg(F.min("card_name").alias("n")).first()[0]
-    exact = S.lookup_by_name(r, "card_name", first).select("id", "stage")
-    return exact.unionByName(S.lookup_by_name(r, "card_name", first.upper()).select("id", "stage"))
+#: Small Latin letters and their full-width forms.
+_HALF = "abcdefghijklmnopqrstuvwxyz"
+_FULL = "".join(chr(ord(c) + 0xFEE0) for c in _HALF)
 
 
 def f_text_tools(s, d):
     c = _cards(s, d)
-    return c.select("id", T.has_word_run(F.col("oracle_text"), F.lit("Each rival")).alias("run"), T.strip_parentheses(F.concat(F.col("card_name"), F.lit(" (reminder)"))).alias("bare"), F.coalesce(T.is_japanese(F.col("japanese_name")), F.lit(False)).alias("ja"))
+    name = F.col("card_name")
+    return c.select(
+        "id", T.has_word_run(F.col("oracle_text"), F.lit("Each rival")).alias("run"), T.strip_parentheses(F.concat(name, F.lit(" (reminder)"))).alias("bare"), F.coalesce(T.is_japanese(F.col("japanese_name")), F.lit(False)).alias("ja"),
+        T.strip_ruby(F.concat(F.col("japanese_name"), F.lit("（かな）"))).alias("no_ruby"), T.html_unescape(F.concat(F.replace(F.replace(name, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#39;")), F.lit(" &lt;b&gt;"))).alias("unescaped"), T.name_form(F.translate(name, _HALF, _FULL)).alias("form"),
+    )
 
 
 QUERIES = {
@@ -148,11 +144,9 @@ QUERIES = {
     "d24_match": d24_match,
     "d23_near_by_trigrams": near_by_trigrams,
     "f_trigrams": f_trigrams,
-    "d25_search": d25_search,
     "d25_terms": d25_terms,
     "d27_number": d27_number,
     "d27_text": d27_text,
-    "d28_rulings": d28_rulings,
     "f_text_tools": f_text_tools,
 }
 _ALIASES = r"""WITH c AS (SELECT card_name, min(id) AS id FROM mtg_cards_v2 GROUP BY 1), f AS (SELECT name_en_front, min(id) AS id FROM mtg_cards_v2 GROUP BY 1 HAVING count(*) = 1),
@@ -175,6 +169,20 @@ _PARTS = """WITH q AS (SELECT DISTINCT upper(p_name) AS query FROM part UNION SE
 h AS (SELECT query, (query <> p_name)::INT AS stage, p_size > 25 AS digital, p_partkey AS id FROM q JOIN part ON lower(query) = lower(p_name)),
 b AS (SELECT query, min((stage, digital)) AS b FROM h GROUP BY 1), k AS (SELECT query, min(stage) AS stage, count(*) AS n, min(id) AS id FROM h JOIN b USING (query) WHERE (stage, digital) = b GROUP BY 1)
 SELECT query, CASE WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n > 1 THEN n END AS n, stage FROM k"""
+#: The forms of the terms asked for; all have one stem.
+_TERMS = {"pair": "pair(s|ed|ing|ings)?", "went": "wents?", "late": "late(s|d|ly|ness)?", "control": "control(s|led|ling|ler|lers|lings)?", "deck": "deck(s|ed|ing|er|ers|ings)?", "zebra": "zebras?"}
+_TF = ", ".join(f"len(list_filter(w, lambda x: regexp_full_match(x, '{form}'))) AS {term}" for term, form in _TERMS.items())
+
+
+def _ranked(name, terms):
+    n = " + ".join(f"({t} > 0)::INT" for t in terms)
+    score = " + ".join(f"CASE WHEN {t} > 0 THEN {t} / ({t} + length / 100.0::DOUBLE) ELSE 0 END" for t in terms)
+    hits = f"(SELECT key, {n} AS n_terms, round({score}, 6) AS score FROM tf WHERE {n} > 0)"
+    return f"(SELECT key, n_terms, score, CASE WHEN most = {len(terms)} THEN 'all' ELSE 'any' END AS mode, '{name}' AS q FROM (SELECT *, max(n_terms) OVER () AS most FROM {hits}) WHERE most < {len(terms)} OR n_terms = {len(terms)} ORDER BY score DESC, key LIMIT 12)"
+
+
+_RANKED = f"""WITH t AS (SELECT doc_id AS key, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({", ".join(repr(w) for w in T.STOP_WORDS)})) AS w FROM documents), tf AS (SELECT key, len(w) AS length, {_TF} FROM t)
+SELECT * FROM {_ranked("all", ["pair", "went", "late", "control", "deck"])} UNION ALL SELECT * FROM {_ranked("any", ["pair", "zebra"])}"""
 _MATCH = r"""WITH v AS (SELECT DISTINCT card_name AS value FROM limited_card_stats WHERE card_name IS NOT NULL), c AS (SELECT DISTINCT card_name, split_part(card_name, ' // ', 1) AS front FROM mtg_cards_v2),
 k AS (SELECT value, CASE WHEN value LIKE 'A-%' THEN substr(value, 3) END AS plain, CASE WHEN contains(value, '?') THEN regexp_replace(value, '[^\x00-\x7f]|\?', '?', 'g') END AS marked FROM v),
 m AS (SELECT card_name, regexp_replace(card_name, '[^\x00-\x7f]|\?', '?', 'g') AS marked FROM c WHERE regexp_matches(card_name, '[^\x00-\x7f]') UNION SELECT card_name, regexp_replace(front, '[^\x00-\x7f]|\?', '?', 'g') FROM c WHERE regexp_matches(front, '[^\x00-\x7f]')),
@@ -203,10 +211,10 @@ ORACLE = {
     "d21_display": "SELECT id, CASE WHEN japanese_name IS NULL THEN card_name ELSE '《' || japanese_name || '/' || card_name || '》' END AS display FROM mtg_cards_v2",
     "d23_near_by_trigrams": NEAR_SQL,
     "f_trigrams": f"SELECT a, b, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 6) AS similarity FROM (SELECT DISTINCT p_name AS a, {_TRI.format('p_name')} AS x FROM part) JOIN (SELECT DISTINCT p_name AS b, {_TRI.format('p_name')} AS y FROM part) ON a < b AND len(list_intersect(x, y)) > 0",
+    "d27_text": _RANKED,
     "d24_match": _MATCH,
     "d23_in_set": _IN_SET,
     "d25_terms": D25_TEXT_SQL,
     "d27_number": "SELECT p_partkey, number FROM (SELECT p_partkey, (p_size % 20) || ['', '.3', 'a', '0', '.3b'][(p_partkey % 5 + 1)::INT] AS number FROM part) WHERE regexp_full_match(number, '12(\\.\\d+[a-z]?|[a-z])?')",
-    "d28_rulings": "SELECT id, 0 AS stage FROM card_rulings WHERE card_name = (SELECT min(card_name) FROM card_rulings) UNION ALL SELECT id, 1 FROM card_rulings WHERE lower(card_name) = lower((SELECT min(card_name) FROM card_rulings))",
-    "f_text_tools": "SELECT id, coalesce(contains(' ' || trim(regexp_replace(lower(oracle_text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' each rival '), NULL) AS run, card_name AS bare, coalesce(regexp_matches(japanese_name, '[ぁ-んァ-ン一-龯]'), false) AS ja FROM mtg_cards_v2",
+    "f_text_tools": "SELECT id, coalesce(contains(' ' || trim(regexp_replace(lower(oracle_text), '[^\\p{L}\\p{N}]+', ' ', 'g')) || ' ', ' each rival '), NULL) AS run, card_name AS bare, coalesce(regexp_matches(japanese_name, '[ぁ-んァ-ン一-龯]'), false) AS ja, japanese_name AS no_ruby, card_name || ' <b>' AS unescaped, " + _FORM.format("card_name") + " AS form FROM mtg_cards_v2",
 }

@@ -442,6 +442,11 @@ def _(s, d):
     return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 1).alias("r"), F.expr("l_orderkey div 7").alias("q"), (c("l_orderkey") % 7).alias("m"), F.round(c("l_extendedprice") / F.nullif(c("l_tax"), F.lit(0.0)), 4).alias("g"), F.least(F.expr("CAST(l_quantity AS INT) div 10").cast("int"), F.lit(4)).alias("bucket"))
 
 
+@query("f_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 1) AS q, round_even(l_quantity / 2, 0) AS h FROM lineitem")
+def _(s, d):
+    return load(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 1).alias("q"), F.bround(F.col("l_quantity") / 2, 0).alias("h"))
+
+
 @query("f_json", "SELECT event_id, (props->>'k')::INT AS k FROM events")
 def _(s, d):
     return load(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
