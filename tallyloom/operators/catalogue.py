@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyloom.common import reach_workers
+from tallyloom.operators.resolve import near_names
 from tallyloom.session import checkpoint_dir
 
 
@@ -356,6 +357,13 @@ def verify_texts(texts: DataFrame, key: str, text: str, cards: DataFrame) -> Dat
     return grouped.mapInPandas(settle, _MENTIONS)
 
 
+def mention_candidates(mentions: DataFrame, cards: DataFrame, k: int = 3, least: float = 0.35) -> DataFrame:
+    """The cards most similar by trigrams to each distinct unknown mention: ``asked`` (without brackets), ``id``, ``card_name``, ``similarity``, ``place``."""
+    asked = mentions.where("state = 'unknown'").select(F.expr("substring(written, 2, length(written) - 2)").alias("asked")).distinct()
+    got = near_names(asked, "asked", cards, "card_name", "id", k, least)
+    return got.select(F.col("query").alias("asked"), F.col("key").alias("id"), F.col("name").alias("card_name"), "similarity", "place")
+
+
 def rewritten(texts: DataFrame, key: str, text: str, mentions: DataFrame) -> DataFrame:
     """Texts with every ``rewrite`` and ``bare`` mention replaced by its canonical form: ``key``, ``text``, ``n_changed``.
 

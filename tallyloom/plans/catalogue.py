@@ -11,6 +11,7 @@ from tallyloom.common import load, squash
 from tallyloom.functions import costs as C
 from tallyloom.operators import catalogue as K
 from tallyloom.operators import games as G
+from tallyloom.plans import names as PN
 from tallyloom.plans import sqlgate as Q
 from tallyloom.session import checkpoint_dir
 from tallyloom.sources import readers as R
@@ -40,7 +41,7 @@ def wide_games(s, d):
     o = load(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", "True").otherwise("false").alias("won"), F.concat("o_orderpriority", F.lit("-4-0")).alias("rank"), (F.col("o_totalprice") % 9).cast("int").alias("num_turns"), F.substring("o_orderpriority", 3, 2).alias("main_colors"), (F.col("o_custkey") % 4 == 0).alias("splash"))
     cells = l.select("l_orderkey", F.explode(F.array("c", "k")).alias("c"))
     names = [f"{p}{i}" for p in ("opening_hand_", "drawn_", "deck_") for i in range(N_ITEMS)]
-    return cells.groupBy("l_orderkey").pivot("c", names).count().join(o, "l_orderkey")
+    return o.join(cells.groupBy("l_orderkey").pivot("c", names).count(), "l_orderkey", "left")
 
 
 _LONG = f"""WITH o AS (SELECT o_orderkey, o_orderstatus = 'F' AS won, lower(split_part(o_orderpriority, '-', 1)) AS rank FROM orders),
@@ -59,7 +60,7 @@ def _(s, d):
     return G.game_stats(wide_games(s, d).withColumn("rank", G.tier(F.col("rank"))), groups=["rank"])
 
 
-@query("a16_rate_rollup", "SELECT substr(o_orderpriority, 3, 2) AS main_colors, o_custkey % 4 = 0 AS splash, count(*) AS games, count(*) FILTER (o_orderstatus = 'F') AS wins, sum((o_totalprice % 9)::INT - CASE WHEN (o_totalprice % 9)::INT > o_totalprice % 9 THEN 1 ELSE 0 END)::BIGINT AS turns, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 4) AS wr FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY ALL")
+@query("a16_rate_rollup", "SELECT substr(o_orderpriority, 3, 2) AS main_colors, o_custkey % 4 = 0 AS splash, count(*) AS games, count(*) FILTER (o_orderstatus = 'F') AS wins, sum((o_totalprice % 9)::INT - CASE WHEN (o_totalprice % 9)::INT > o_totalprice % 9 THEN 1 ELSE 0 END)::BIGINT AS turns, round(count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*), 4) AS wr FROM orders GROUP BY ALL")
 def _(s, d):
     return G.rate_rollup(wide_games(s, d), ["main_colors", "splash"], "won", {"turns": F.col("num_turns")})
 
@@ -371,6 +372,20 @@ def _(s, d):
     return load(s, d, "events").select("event_id", K.outcome(F.col("event_type"), F.col("value"), 90.0).alias("outcome"))
 
 
+@query("d38_candidates", "WITH u AS (SELECT DISTINCT regexp_replace(card_name, '[《》]', '', 'g') AS asked FROM limited_card_stats WHERE db_card_name IS NULL), n AS (SELECT DISTINCT lower(x) AS name FROM (SELECT unnest([card_name, name_en_front, name_en_back, japanese_name, name_ja_front, name_ja_back]) AS x FROM mtg_cards_v2) WHERE x <> ''), "
+       "b AS (SELECT asked FROM u WHERE lower(asked) NOT IN (SELECT name FROM n) AND NOT EXISTS (SELECT 1 FROM n WHERE name IN (SELECT lower(trim(part, ' ')) FROM (SELECT unnest(string_split(asked, '/')) AS part)))), "
+       "q AS (SELECT asked, len(t) AS qn, unnest(t) AS g FROM (SELECT asked, {0} AS t FROM b)), c AS (SELECT id, card_name, len(t) AS cn, unnest(t) AS g FROM (SELECT id, card_name, {1} AS t FROM mtg_cards_v2)), "
+       "s AS (SELECT asked, id, card_name, round(count(*)::DOUBLE / (any_value(qn) + any_value(cn) - count(*)), 6) AS similarity FROM q JOIN c USING (g) GROUP BY ALL) "
+       "SELECT * FROM (SELECT asked, id, card_name, similarity, row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, id, card_name) AS place FROM s WHERE similarity > 0.35) WHERE place <= 3".format(PN._TRI.format("asked"), PN._TRI.format("card_name")))
+def _(s, d):
+    """Candidates for bracketed names that no card has: names typed elsewhere, as texts of one mention each."""
+    cards = load(s, d, "mtg_cards_v2")
+    typed = load(s, d, "limited_card_stats").where("db_card_name IS NULL").select("card_name").distinct()
+    texts = typed.select(F.xxhash64("card_name").alias("k"), F.concat(F.lit("《"), F.regexp_replace("card_name", "[《》]", ""), F.lit("》")).alias("t"))
+    found = K.verify_texts(texts, "k", "t", cards.select("id", "digital", *[c for columns in K.NAME_COLUMNS for c in columns]))
+    return K.mention_candidates(found, cards)
+
+
 @query("d38_rewritten", "SELECT doc_id AS key, true AS settled FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     """The corrected texts, checked again: nothing is left to rewrite in them, and what was canonical still is."""
