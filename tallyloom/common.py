@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def at_once(spark: SparkSession, *steps: Callable):
+    """Results of independent steps that start jobs, such as checkpoints, run at the same time so that small jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def squash(value: Column | str) -> Column:
     """Formatting-free form: letters and digits only, case ignored; null stays null."""
     value = F.col(value) if isinstance(value, str) else value

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.common import load, squash
+from tallyloom.common import at_once, load, squash
 from tallyloom.operators import basket as B
 from tallyloom.operators.pairs import pair_counts
 from tallyloom.session import checkpoint_dir
@@ -44,19 +44,23 @@ class Build:
         self.windows = B.population_windows(populations(spark), self.decks, END)
         self._derive()
 
-    def _derive(self, write=lambda df: df) -> None:
+    def _derive(self, write=lambda *dfs: dfs) -> None:
         self.sigs = B.basket_signatures(self.lines)
         self.raw = B.windowed_baskets(self.windows, self.decks, self.sigs)
-        self.reps = write(B.representatives(self.raw))
+        (self.reps,) = write(B.representatives(self.raw))
         basic = self.cards.where(F.col("type_line").startswith("Basic")).select(F.col("id").alias("item"))
-        self.main, self.side = map(write, B.item_sets(self.reps, self.lines, self.windows, basic))
+        self.main, self.side = write(*B.item_sets(self.reps, self.lines, self.windows, basic))
 
     @cached_property
     def written(self) -> "Build":
         """The same build with lines, windows, representatives and item sets checkpointed in the shared folder, each derived from the one before."""
         checkpoint_dir(self.spark)
-        self.lines, self.windows = self.lines.checkpoint(), self.windows.checkpoint()
-        self._derive(lambda df: df.checkpoint())
+
+        def write(*dfs: DataFrame) -> list[DataFrame]:
+            return at_once(self.spark, *[df.checkpoint for df in dfs])
+
+        self.lines, self.windows = write(self.lines, self.windows)
+        self._derive(write)
         return self
 
     @property
