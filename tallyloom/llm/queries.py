@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.common import current_rows, load, squash
+from tallyloom.common import at_once, current_rows, load, squash
 from tallyloom.llm.formatting import hidden_duplicates, payload_fields
 from tallyloom.llm.containers import fill_containers, fill_report, token_count
 from tallyloom.llm.languages import document_languages, fit_languages, language_segments, stated_language
@@ -27,10 +27,13 @@ def _sq(column: str) -> str:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists, cards, raw = (load(spark, sf_dir, t) for t in ("deck_list", "deck_cards", "raw_deck_lines"))
-    deck = hidden_duplicates(spark, lists, "id", {"source": squash("source"), "deck_name": squash("deck_name"), "tournament_date": F.col("tournament_date"), "placement": F.col("placement")})
-    line = hidden_duplicates(spark, cards, "id", {"deck_id": F.col("deck_id"), "card_name": squash("card_name"), "board": squash("board"), "count": F.col("count")})
     fields = {k: squash(v) for k, v in payload_fields(F.col("payload"), ("card_name", "count", "board", "source")).items()}
-    received = hidden_duplicates(spark, raw, "line_id", {"deck_id": F.col("deck_id"), **fields})
+    deck, line, received = at_once(
+        spark,
+        lambda: hidden_duplicates(spark, lists, "id", {"source": squash("source"), "deck_name": squash("deck_name"), "tournament_date": F.col("tournament_date"), "placement": F.col("placement")}),
+        lambda: hidden_duplicates(spark, cards, "id", {"deck_id": F.col("deck_id"), "card_name": squash("card_name"), "board": squash("board"), "count": F.col("count")}),
+        lambda: hidden_duplicates(spark, raw, "line_id", {"deck_id": F.col("deck_id"), **fields}),
+    )
     named = [d.select(F.lit(n).alias("table_name"), "keep_id", "copy_id") for n, d in (("deck_list", deck), ("deck_cards", line), ("raw_deck_lines", received))]
     return named[0].unionByName(named[1]).unionByName(named[2])
 
