@@ -33,6 +33,8 @@ _RUNS = re.compile(r"[ァ-ヺー]+|[^ァ-ヺー]+")
 
 def fold(text: str) -> list[str]:
     """Words of a name without case, accents and punctuation; Japanese is split where katakana begins or ends."""
+    if text.isascii():
+        return _WORD.findall(text.lower())
     out: list[str] = []
     plain = []
     for ch in unicodedata.normalize("NFKC", text):
@@ -219,11 +221,12 @@ class Canon:
         ranked = min(((slips(text, "".join(self.names[i]), 2), self.ids[i]) for i in near), default=None)
         return ranked if ranked and ranked[0] <= 2 else None
 
-    def closest(self, words: Sequence[str], meaning: Mapping[str, Mapping[str, float]], weight: Mapping[str, float], size: Sequence[float]) -> tuple[float, int, int] | None:
+    def closest(self, words: Sequence[str], meaning: Mapping[str, Mapping[str, float]], weight: Mapping[str, float], size: Sequence[float], spell: bool = False) -> tuple[float, int, int] | None:
         """The most similar name by its words with slips, ties by the closer spelling, then the smaller id: (similarity, slips, id).
 
         ``meaning``: for each word of the value what it stands for; ``weight`` and
-        ``size``: of the list's words, and of this list's names.
+        ``size``: of the list's words, and of this list's names. Slips are only
+        counted between tied names, or with ``spell``.
         """
         meant = [meaning[w] for w in dict.fromkeys(words) if meaning.get(w)]
         # Words that weigh next to nothing are counted last and bring in no name of their own.
@@ -242,11 +245,15 @@ class Canon:
             total += max(weight[w] for w in got)
         if not gain:
             return None
-        rank = {i: round(g / (total + size[i] - g), 9) for i, g in gain.items()}
-        top = max(rank.values())
+        rank = {i: g / (total + size[i] - g) for i, g in gain.items()}
+        best_rank = max(rank.values())
+        top = round(best_rank, 9)
+        tied = [i for i, r in rank.items() if r > best_rank - 2e-9 and round(r, 9) == top]
+        if len(tied) == 1 and not spell:
+            return top, 0, self.ids[tied[0]]
         text = " ".join(words)
         far = len(text) > FAR
-        distance, entry = min((len(text) - len(name) if far else slips(text, name, max(len(text), len(name))), self.ids[i]) for i, r in rank.items() if r == top for name in [" ".join(self.names[i])])
+        distance, entry = min((len(text) - len(name) if far else slips(text, name, max(len(text), len(name))), self.ids[i]) for i in tied for name in [" ".join(self.names[i])])
         return top, distance, entry
 
     def resolve(self, value: str | None) -> tuple[int, str, float]:
@@ -417,7 +424,7 @@ def _best_in(shared, size):
                 meaning = {m["asked"]: {x["word"]: x["share"] for x in m["meant"]} for m in meant} if meant is not None else {}
                 weight = {x["word"]: x["weight"] for m in meant for x in m["meant"]} if meant is not None else {}
                 sure = all(w in meaning or not needed(w) for w in ws)
-                best = (known.closest(ws, meaning, weight, sizes) if sure else None) or (None, None, None)
+                best = (known.closest(ws, meaning, weight, sizes, True) if sure else None) or (None, None, None)
                 joined = (known.joined(ws) if ws and not sure else None) or (None, None)
                 rows.append((value, [list(h) for h in known.hits(ws)], *best, *joined))
             out = pd.DataFrame(rows, columns=["value", "hits", "similarity", "slips", "entry", "joined_slips", "joined_entry"])
