@@ -9,7 +9,7 @@ from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from hashlib import md5
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,11 +293,12 @@ def _folded(canon: DataFrame, canon_id: str, aliases: Sequence[str]) -> DataFram
     """Distinct names of the list, folded, with the smallest id of each."""
     listed = canon.where(F.col(canon_id).isNotNull()).select(F.col(canon_id).cast("bigint").alias("entry"), F.explode(F.array(*aliases)).alias("alias")).where(F.col("alias").isNotNull())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"name": [" ".join(fold(a)) for a in pdf["alias"]], "entry": pdf["entry"]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [" ".join(fold(a)) for a in batch.column("alias").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("entry")], ["name", "entry"])
 
-    return listed.mapInPandas(run, "name string, entry bigint").where("name <> ''").groupBy("name").agg(F.min("entry").alias("entry"))
+    return listed.mapInArrow(run, "name string, entry bigint").where("name <> ''").groupBy("name").agg(F.min("entry").alias("entry"))
 
 
 _OUT = "value string, entry_id bigint, match_kind string, similarity double"
@@ -337,17 +338,20 @@ def resolve_names(values: DataFrame, value: str, canon: DataFrame, canon_id: str
         return _in_blocks(once, names, count, tasks)
     shared = _shared(names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared()
-        for pdf in batches:
-            got = [known.resolve(v) for v in pdf["value"]]
-            yield pd.DataFrame({"value": pdf["value"], "entry_id": [g[0] for g in got], "match_kind": [g[1] for g in got], "similarity": [g[2] for g in got]})
+        for batch in batches:
+            got = [known.resolve(v) for v in batch.column("value").to_pylist()]
+            columns = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("value"), *columns], ["value", "entry_id", "match_kind", "similarity"])
 
-    return once.mapInPandas(run, _OUT)
+    return once.mapInArrow(run, _OUT)
 
 
 def _in_blocks(once: DataFrame, names: DataFrame, count: int, tasks: int) -> DataFrame:
     """:func:`resolve_names` for a list too long for one worker; what a task holds is one block of it."""
+    import pandas as pd
+
     blocks = -(-count // BLOCK_NAMES)
     words = names.select("name", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
     free = F.col("word").isin(sorted(FREE_WORDS))
@@ -404,6 +408,8 @@ def _in_blocks(once: DataFrame, names: DataFrame, count: int, tasks: int) -> Dat
 
 
 def _meant_in(shared):
+    import pandas as pd
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared()
         for pdf in batches:
@@ -414,6 +420,8 @@ def _meant_in(shared):
 
 
 def _best_in(shared, size):
+    import pandas as pd
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared()
         sizes = [size.value[" ".join(n)] for n in known.names]
