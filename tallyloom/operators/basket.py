@@ -251,10 +251,11 @@ def colour_partners(baskets: DataFrame, lines: DataFrame, cards: DataFrame, anch
     first = plain_signatures(kept).groupBy("sig").agg(F.min("basket").alias("basket")).select("basket")
     items = kept.where(F.col("item").isNotNull()).join(first, "basket", "left_semi").select("basket", "item", "board").distinct()
     colours = cards.select(F.col("id").alias("item"), F.coalesce("colors", F.array().cast("array<string>")).alias("colors"), F.coalesce("type_line", F.lit("")).alias("type_line"), "card_name")
-    wanted = colours.where(F.col("item") == anchor).limit(1).select(F.col("colors").alias("wanted"))
+    wanted = colours.where(F.col("item") == anchor).limit(1).select("colors").scalar()
     per_list = items.where("board = 'main'").join(colours, "item").select("basket", F.explode("colors").alias("c")).groupBy("basket").agg(F.collect_set("c").alias("have"))
-    flagged = first.join(per_list, "basket", "left").crossJoin(F.broadcast(wanted))  # one row
-    flagged = flagged.select("basket", (F.size(F.array_except("wanted", F.coalesce("have", F.array().cast("array<string>")))) == 0).alias("same_colours"))
+    none = F.array().cast("array<string>")
+    covers = F.size(F.array_except(wanted, F.coalesce("have", none))) == 0
+    flagged = first.join(per_list, "basket", "left").select("basket", F.coalesce(covers, F.lit(False)).alias("same_colours"))
     has = items.where((F.col("item") == anchor) & (F.col("board") == "main")).select("basket").distinct().withColumn("has_anchor", F.lit(True))
     flagged = flagged.join(has, "basket", "left").fillna(False, ["has_anchor"])
     na = flagged.agg(F.count_if("has_anchor").alias("v")).select("v").scalar()
