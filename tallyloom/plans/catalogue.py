@@ -523,13 +523,16 @@ def _(s, d):
 # Streams over the events as they stand
 
 
-def _stream(s, d, build, mode="append"):
+def _events(s, d):
     path = f"{d}/events.parquet"
     schema = s.read.parquet(path).schema
     # A single file can't be a stream's source folder; a pattern can.
-    events = J.read_stream(s, f"{d}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.read_stream(s, f"{d}/events.parque[t]", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream(s, d, build, mode="append"):
     name = "tl_" + uuid.uuid4().hex
-    return J.run_once(build(events), name, mode, f"{checkpoint_dir(s)}/{name}")
+    return J.run_once(build(_events(s, d)), name, mode, f"{checkpoint_dir(s)}/{name}")
 
 
 @query("st_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
@@ -545,7 +548,7 @@ def _(s, d):
 
 @query("st_sliding", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n FROM (SELECT user_id, unnest([to_timestamp(epoch(ts)::BIGINT // 10 * 10 - 10 * k)::TIMESTAMPTZ AT TIME ZONE 'UTC' FOR k IN range(6)]) AS w FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)) GROUP BY ALL")
 def _(s, d):
-    got = _stream(s, d, lambda e: J.sliding_rates(e, "user_id", "ts"), "complete")
+    got = J.sliding_totals(_events(s, d), "user_id", "ts", f"{checkpoint_dir(s)}/tl_{uuid.uuid4().hex}")
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "user_id", "n")
 
 

@@ -36,6 +36,46 @@ def sliding_rates(stream: DataFrame, key: str, stamp: str, size: str = "60 secon
     return stream.withWatermark(stamp, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), key, "n")
 
 
+def sliding_totals(stream: DataFrame, key: str, stamp: str, folder: str, size: int = 60, step: int = 10) -> DataFrame:
+    """:func:`sliding_rates` over everything that is there now, ``size`` and ``step`` in seconds; for results of any size.
+
+    The stream holds no state and no row is too late: each batch leaves its
+    counts per key and step in ``folder``, and a batch run twice replaces them.
+    Windows are summed up when the counts are read, key by key in order of
+    time, so that only steps with rows are shuffled, not every window around
+    them; a key has at most one count a step, however many rows it has. A row
+    without a time counts under a window without a start, as often as others do.
+    """
+    if size % step:
+        raise ValueError("a window must be a whole number of steps")
+    counts, seconds = f"{folder}/counts", F.unix_seconds(F.col(stamp))
+    rows = stream.select(F.col(key).alias("__k"), (seconds - F.pmod(seconds, F.lit(step))).alias("__s"))
+
+    def leave(batch: DataFrame, number: int) -> None:
+        batch.groupBy("__k", "__s").agg(F.count(F.lit(1)).alias("__n")).write.mode("overwrite").parquet(f"{counts}/batch={number}")
+
+    q = rows.writeStream.foreachBatch(leave).option("checkpointLocation", f"{folder}/stream").trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(counts)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = len(files.listStatus(path)) if files.exists(path) else 0
+    shape = T.StructType([*rows.schema.fields, T.StructField("__n", T.LongType())])
+    steps = (spark.read.schema(shape).parquet(counts) if batches else spark.createDataFrame([], shape)).select("__k", "__s", "__n")
+    if batches > 1:
+        steps = steps.groupBy("__k", "__s").agg(F.sum("__n").alias("__n"))
+    order = Window.partitionBy("__k").orderBy("__s")
+    # The window that starts ``back`` before a step holds that step and those after it; it is listed at the first step with rows.
+    backs = range(0, size, step)
+    sums = [F.sum("__n").over(order.rangeBetween(0, size - step - back)).alias(f"__n{back}") for back in backs]
+    placed = steps.select("__k", "__s", "__n", F.lag("__s").over(order).alias("__before"), *sums)
+    each = F.array(*[F.struct((F.col("__s") - back).alias("__start"), F.col(f"__n{back}").alias("n")) for back in backs])
+    untimed = F.array(F.struct(F.col("__s").alias("__start"), (F.col("__n") * len(backs)).alias("n")))
+    listed = placed.select("__k", "__before", F.inline(F.when(F.col("__s").isNull(), untimed).otherwise(each)))
+    first = listed.where(F.col("__start").isNull() | F.col("__before").isNull() | (F.col("__start") > F.col("__before")))
+    return first.select(F.timestamp_seconds("__start").alias("start"), F.timestamp_seconds(F.col("__start") + size).alias("end"), F.col("__k").alias(key), "n")
+
+
 def tumbling_totals(stream: DataFrame, groups: Sequence[str], stamp: str, value: str, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     w = F.window(stamp, size)
     return stream.withWatermark(stamp, late).groupBy(w, *groups).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), *groups, "n", "total")

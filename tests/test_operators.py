@@ -373,6 +373,31 @@ def test_first_seen_in_files_out_of_order(spark, tmp_path):
     assert rows(registered()[0]["st_first_seen"](spark, str(tmp_path))) == sorted([(i, "x") for i in range(251)], key=repr)
 
 
+def test_sliding_windows_are_no_state(spark, tmp_path):
+    """All windows of all users were held as state and then in the driver's memory; rows without a time were lost."""
+    from oracle import check, views
+
+    from tallyloom.plans import registered
+
+    # Steps that touch, overlap, lie apart and repeat, over three batches of files of which the last holds the earliest.
+    seconds = [None, 0, 9, 10, 59, 60, 60, 61, 200, 255, 256, 1000]
+    data = [(i, None if t is None else 5000 - 7 * i - t, None if u == 3 else u) for i in range(3) for u in range(4) for t in seconds]
+    e = spark.createDataFrame(data, "file int, t int, user_id int").selectExpr("file", "user_id", "timestamp_seconds(1700000000 + t) AS ts")
+    e.repartitionByRange(3, "file").select("user_id", F.expr("cast(ts AS timestamp_ntz)").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = registered()[0]["st_sliding"], registered()[1]["st_sliding"]
+    assert "MemoryPlan" not in query(spark, str(tmp_path))._jdf.queryExecution().toString()
+    check(spark, views(str(tmp_path)), str(tmp_path), query, sql)
+
+    stream = lambda: J.read_stream(spark, f"{tmp_path}/events.parquet", "user_id int, ts timestamp_ntz", 1).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = J.sliding_totals(stream(), "user_id", "ts", f"{tmp_path}/sliding")
+    assert len(list((tmp_path / "sliding/counts").glob("batch=*"))) == 3 and not (tmp_path / "sliding/stream/state").exists()
+    assert rows(got.where("start IS NOT NULL")) == rows(J.run_once(J.sliding_rates(stream(), "user_id", "ts"), "sliding_rates", "complete", f"{tmp_path}/cp"))
+    # Begun again over the same folder, it finds nothing new and loses nothing.
+    assert rows(J.sliding_totals(stream(), "user_id", "ts", f"{tmp_path}/sliding")) == rows(got)
+    with pytest.raises(ValueError):
+        J.sliding_totals(stream(), "user_id", "ts", f"{tmp_path}/other", 60, 7)
+
+
 def test_pick_states_and_combos(spark):
     t = spark.createDataFrame([(1, "has 《Fire/Ice》 and Old Wall here", ), (2, None), (3, "《nope》")], "id int, t string")
     got = rows(K.verify_mentions(t, "id", "t", [("Ice", "《Fire/Ice》"), ("Old Wall", "Old Wall")]).select("key", "written", "state"))
